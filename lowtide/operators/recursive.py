@@ -145,13 +145,13 @@ def cascade(
     state_type = T.ArrayType(T.DoubleType())
     ids = T.StructType([blocks.schema[k] for k in (*keys, "block_no")])
     states_schema = (
-        T.StructType(ids.fields).add("sos", state_type).add("n", T.LongType()).add("state", state_type)
+        T.StructType(list(ids.fields)).add("sos", state_type).add("n", T.LongType()).add("state", state_type)
     )
     slim = blocks.select(*keys, "block_no", "sos", F.col("samples").cast("array<double>").alias("samples"))
     ends = slim.mapInPandas(_end_states, states_schema)
 
     tier = ends.withColumn("_run", F.floor(F.col("block_no") / fanout))
-    tier_schema = T.StructType(states_schema.fields).add("_run", T.LongType())
+    tier_schema = T.StructType(list(states_schema.fields)).add("_run", T.LongType())
     silent = F.transform("state", lambda _: F.lit(0.0))
 
     runs = tier.groupBy(*keys, "_run").applyInPandas(_compose, tier_schema)
@@ -160,7 +160,7 @@ def cascade(
     else:
         first = blocks.where(F.col("block_no") == 0).select(*keys, F.col(initial).alias("start"))
         runs = runs.join(first, keys)
-    runs_schema = T.StructType(tier_schema.fields).add("start", state_type)
+    runs_schema = T.StructType(list(tier_schema.fields)).add("start", state_type)
     opened = runs.groupBy(*keys).applyInPandas(_scan, runs_schema)
     starts = opened.select(*keys, "_run", F.col("state").alias("start"))
 

@@ -94,6 +94,7 @@ def shift(samples: DataFrame, keys: Sequence[str], ms: float | Column) -> DataFr
     keys = list(keys)
     ms = ms if isinstance(ms, Column) else F.lit(float(ms))
     by = F.floor(ms * F.col("fs") / 1000.0).cast("long")
+    samples = samples.select(*keys, "i", "v", "fs")
     sized = with_group_agg(samples, keys, _n=F.max("i") + 1)
     moved = (
         sized.withColumn("i", F.col("i") + by)

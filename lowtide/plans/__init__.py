@@ -1,6 +1,6 @@
 """Derived tables, pipelines and registered queries."""
 
-from lowtide.plans import signal_queries  # noqa: F401
+from lowtide.plans import filter_queries, signal_queries  # noqa: F401
 from lowtide.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -201,10 +201,10 @@ def advance(spark, sf):
 
 @query("step_response", W + """, t as (select signal_id, i, v, lag(v) over (partition by signal_id order by i) as pv from samples)
 select signal_id, i, round(sum(case when pv is null then 0.0::double else (v + pv)/2/64 end)
- over (partition by signal_id order by i), 9) + 0.0 as y from t""")
+ over (partition by signal_id order by i), 12) + 0.0 as y from t""")
 def step_response(spark, sf):
     out = S.step_response(samples(spark, sf), KEY, block=1 << 16)
-    return out.select(*KEY, "i", rounded(F.col("y"), 9).alias("y"))
+    return out.select(*KEY, "i", rounded(F.col("y"), 12).alias("y"))
 
 
 @query("concatenate", sql_with("channel_samples") + """, n as (select title, ch, max(i)+1 as n from channel_samples group by all),
@@ -226,7 +226,7 @@ def pulse_per_signal(spark, sf):
     return grid.select(*KEY, "i", F.when(middle, 1.0).otherwise(0.0).alias("v"))
 
 
-@query("running_energy", W + """select signal_id, i, round(sum(v*v) over (partition by signal_id order by i), 9) as e from samples""")
+@query("running_energy", W + """select signal_id, i, round(sum(v*v) over (partition by signal_id order by i), 12) as e from samples""")
 def running_energy(spark, sf):
     out = running_sum(samples(spark, sf), KEY, "i", F.col("v") * F.col("v"), "e")
-    return out.select(*KEY, "i", rounded(F.col("e"), 9).alias("e"))
+    return out.select(*KEY, "i", rounded(F.col("e"), 12).alias("e"))

@@ -99,7 +99,7 @@ def main():
         try:
             ok, msg = compare(spark, con, n, QUERIES[n], ORACLES.get(n), sf_dir)
         except Exception as e:  # report and go on
-            ok, msg = False, f"{n}: {type(e).__name__} {str(e)[:1500]}"
+            ok, msg = False, f"{n}: {type(e).__name__} {str(e)[:500]}"
         bad += not ok
         print("ok  " if ok else "BAD ", msg, flush=True)
     print(len(names), "queries", bad, "bad")
