@@ -111,27 +111,43 @@ def linkwitz_transform(fs: Column, f0: Column, q0: Column, fp: Column, qp: Colum
     return section(*quadratic(z0, q0), *quadratic(zp, qp))
 
 
+def of_kind(kind: str, fs: Column, freq: Column, q: Column, gain: Column) -> Column:
+    """The section of one known kind."""
+    makers = {
+        "PeakingEQ": lambda: peaking(fs, freq, q, gain),
+        "LowShelf": lambda: low_shelf(fs, freq, q, gain),
+        "HighShelf": lambda: high_shelf(fs, freq, q, gain),
+        "LowPass1": lambda: low_pass_1(fs, freq),
+        "HighPass1": lambda: high_pass_1(fs, freq),
+        "LowPass2": lambda: low_pass_2(fs, freq, q),
+        "HighPass2": lambda: high_pass_2(fs, freq, q),
+        "AllPass": lambda: all_pass(fs, freq, q),
+        "Gain": lambda: flat_gain(gain),
+        "Passthrough": lambda: flat_gain(F.lit(0.0)),
+    }
+    return makers[kind]()
+
+
 def coefficients(kind: Column, fs: Column, freq: Column, q: Column, gain: Column,
                  f0: Column | None = None, q0: Column | None = None,
                  fp: Column | None = None, qp: Column | None = None) -> Column:
-    """The section of any single-biquad kind; null for an unknown kind."""
-    out = (
-        F.when(kind == "PeakingEQ", peaking(fs, freq, q, gain))
-        .when(kind == "LowShelf", low_shelf(fs, freq, q, gain))
-        .when(kind == "HighShelf", high_shelf(fs, freq, q, gain))
-        .when(kind == "LowPass1", low_pass_1(fs, freq))
-        .when(kind == "HighPass1", high_pass_1(fs, freq))
-        .when(kind == "LowPass2", low_pass_2(fs, freq, q))
-        .when(kind == "HighPass2", high_pass_2(fs, freq, q))
-        .when(kind == "AllPass", all_pass(fs, freq, q))
-        .when(kind == "Gain", flat_gain(gain))
-        .when(kind == "Passthrough", flat_gain(F.lit(0.0)))
-    )
-    if f0 is not None:
-        out = out.when(kind == "LinkwitzTransform", linkwitz_transform(fs, f0, q0, fp, qp))
+    """The section of a kind held in a column; null for an unknown kind."""
+    out = F.when(F.lit(False), flat_gain(F.lit(0.0)))
+    for name in KINDS:
+        if name != "LinkwitzTransform":
+            out = out.when(kind == name, of_kind(name, fs, freq, q, gain))
+        elif f0 is not None:
+            out = out.when(kind == name, linkwitz_transform(fs, f0, q0, fp, qp))
     return out
 
 
+def design(parts, fs) -> Column:
+    """The cascade of a literal design, [(kind, freq, q, gain), ...], as an array of
+    sections at rate ``fs`` (a number or a column)."""
+    rate = fs if isinstance(fs, Column) else F.lit(fs)
+    return F.array(*[of_kind(k, rate, F.lit(float(f)), F.lit(float(q)), F.lit(float(g))) for k, f, q, g in parts])
+
+
 def _half_power(c0: Column, c1: Column, c2: Column, phi: Column) -> Column:
     """|c0 + c1 z^-1 + c2 z^-2|^2 with phi = sin^2(w/2): stays accurate near DC."""
     total = c0 + c1 + c2

@@ -3,13 +3,13 @@
 A cascade is linear, so the state after a block is A * (state before) + e, where
 e is the end state from silence and A depends on the cascade and the block
 length alone. Three passes follow: end states of all blocks (parallel), a scan
-of those small states in two levels (so a long track is no single group), and
+of those small states in tiers (so a long track is no single group), and
 the filter pass with each block's true starting state (parallel).
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lowtide.operators.samples import from_blocks, to_blocks
+from lowtide.session import materialise
 
 FANOUT = 1024
 _CHUNK = 1024
@@ -95,85 +96,102 @@ def _step_matrix(sos: Sequence[float]) -> np.ndarray:
 
 
 class _Powers:
-    """Powers of the step matrix of one cascade, each computed once per group."""
-
-    def __init__(self, sos):
-        self.base, self.known = _step_matrix(sos), {}
-
-    def __getitem__(self, n: int) -> np.ndarray:
-        if n not in self.known:
-            self.known[n] = np.linalg.matrix_power(self.base, int(n))
-        return self.known[n]
-
-
-def _compose(pdf: pd.DataFrame) -> pd.DataFrame:
-    """End state and length of a run of consecutive blocks, from silence."""
-    pdf = pdf.sort_values("block_no")
-    powers = _Powers(pdf["sos"].iat[0])
-    state = np.zeros(len(powers.base))
-    for n, end in zip(pdf["n"], pdf["state"]):
-        state = powers[n] @ state + np.asarray(end)
-    out = pdf.iloc[[0]].copy()
-    out["n"], out["state"] = int(pdf["n"].sum()), [state.tolist()]
-    return out
-
-
-def _scan(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Replace each end state by the true state at the start of its block."""
-    pdf = pdf.sort_values("block_no")
-    powers = _Powers(pdf["sos"].iat[0])
-    state = np.asarray(pdf["start"].iat[0], dtype=float)
-    starts = []
-    for n, end in zip(pdf["n"], pdf["state"]):
-        starts.append(state.tolist())
-        state = powers[n] @ state + np.asarray(end)
-    out = pdf.copy()
-    out["state"] = starts
-    return out
+    """Powers of the step matrix of a cascade, each computed once per batch."""
+
+    def __init__(self):
+        self.steps: dict[bytes, np.ndarray] = {}
+        self.known: dict[tuple[bytes, int], np.ndarray] = {}
+
+    def __call__(self, sos: np.ndarray, n: int) -> np.ndarray:
+        name = sos.tobytes()
+        if (name, n) not in self.known:
+            if name not in self.steps:
+                self.steps[name] = _step_matrix(sos)
+            self.known[name, n] = np.linalg.matrix_power(self.steps[name], n)
+        return self.known[name, n]
+
+
+_STATE = T.ArrayType(T.DoubleType())
+_PIECE = T.StructType([T.StructField("n", T.LongType()), T.StructField("state", _STATE)])
+
+
+def _walk(powers: _Powers, sos, pieces, start) -> Iterator[np.ndarray]:
+    """The state before each piece, then the state after the last one."""
+    sos, state = np.asarray(sos, dtype=float), np.asarray(start, dtype=float)
+    yield state
+    for piece in pieces:
+        state = powers(sos, int(piece["n"])) @ state + np.asarray(piece["state"], dtype=float)
+        yield state
+
+
+def _compose(sos: pd.Series, pieces: pd.Series) -> pd.DataFrame:
+    """Length and end state, from silence, of consecutive pieces taken as one."""
+    powers, sizes, ends = _Powers(), [], []
+    for coef, run in zip(sos, pieces):
+        *_, last = _walk(powers, coef, run, np.zeros(2 * len(coef) // 5))
+        sizes.append(sum(int(p["n"]) for p in run))
+        ends.append(last)
+    return pd.DataFrame({"n": sizes, "state": ends})
+
+
+def _starts(sos: pd.Series, pieces: pd.Series, start: pd.Series) -> pd.Series:
+    """The true state at the start of every piece."""
+    powers = _Powers()
+    return pd.Series([list(_walk(powers, c, run, z))[:-1] for c, run, z in zip(sos, pieces, start)])
+
+
+_compose_udf = F.pandas_udf(_compose, _PIECE)
+_starts_udf = F.pandas_udf(_starts, T.ArrayType(_STATE))
+
+
+def _carry(pieces: DataFrame, keys: list[str], first: DataFrame | None, fanout: int, tiers: int) -> DataFrame:
+    """(keys..., at, start) for pieces (keys..., at, sos, n, state). Each tier folds
+    ``fanout`` neighbours into one piece; only the last tier spans a whole series,
+    ``fanout ** (tiers - 1)`` times shorter than it."""
+    by = [*keys, "_run"] if tiers > 1 else keys
+    folded = pieces.withColumn("_run", F.floor(F.col("at") / fanout)) if tiers > 1 else pieces
+    for key in by:  # said for both uses of the fold, so its shuffle is shared
+        folded = folded.where(F.col(key).isNotNull())
+    folded = folded.groupBy(*by).agg(
+        F.first("sos").alias("sos"), F.array_sort(F.collect_list(F.struct("at", "n", "state"))).alias("_p")
+    )
+    if tiers > 1:
+        one = folded.select(*keys, F.col("_run").alias("at"), "sos", _compose_udf("sos", "_p").alias("_c"))
+        above = _carry(one.select(*keys, "at", "sos", "_c.n", "_c.state"), keys, first, fanout, tiers - 1)
+        folded = folded.join(above.withColumnRenamed("at", "_run"), by)
+    elif first is None:
+        folded = folded.withColumn("start", F.transform(F.col("_p")[0]["state"], lambda _: F.lit(0.0)))
+    else:
+        folded = folded.join(first, keys)
+    zipped = F.arrays_zip(F.col("_p")["at"].alias("at"), _starts_udf("sos", "_p", "start").alias("start"))
+    return folded.select(*keys, F.explode(zipped).alias("_z")).select(*keys, "_z.at", "_z.start")
 
 
 def cascade(
-    blocks: DataFrame, keys: Sequence[str], fanout: int = FANOUT, initial: str | None = None
+    blocks: DataFrame, keys: Sequence[str], fanout: int = FANOUT, tiers: int = 2, initial: str | None = None
 ) -> DataFrame:
     """Run each row's cascade ``sos`` (flat, five doubles per section) causally over
-    its series. ``blocks`` has (keys..., block_no, start_i, samples, sos) and the
-    cascade is one per key. The state before the first block is silence, or the
-    array column named by ``initial``.
+    its series. ``blocks`` has (keys..., block_no, samples, sos, ...) and the cascade
+    is one per key. The state before the first block is silence, or the array column
+    named by ``initial``. Add a tier for every factor ``fanout`` in series length.
     """
     keys = list(keys)
     passed = [c for c in blocks.columns if c not in (*keys, "block_no", "sos", "samples", initial)]
-    state_type = T.ArrayType(T.DoubleType())
-    ids = T.StructType([blocks.schema[k] for k in (*keys, "block_no")])
-    states_schema = (
-        T.StructType(list(ids.fields)).add("sos", state_type).add("n", T.LongType()).add("state", state_type)
-    )
-    slim = blocks.select(*keys, "block_no", "sos", F.col("samples").cast("array<double>").alias("samples"))
-    ends = slim.mapInPandas(_end_states, states_schema)
-
-    tier = ends.withColumn("_run", F.floor(F.col("block_no") / fanout))
-    tier_schema = T.StructType(list(states_schema.fields)).add("_run", T.LongType())
-    silent = F.transform("state", lambda _: F.lit(0.0))
-
-    runs = tier.groupBy(*keys, "_run").applyInPandas(_compose, tier_schema)
-    if initial is None:
-        runs = runs.withColumn("start", silent)
-    else:
+    ids = [blocks.schema[k] for k in keys]
+    slim = blocks.select(*keys, F.col("block_no").cast("long").alias("at"), "sos", F.col("samples").cast(_STATE).alias("samples"))
+    shape = T.StructType([
+        *ids, T.StructField("at", T.LongType()), T.StructField("sos", _STATE),
+        T.StructField("n", T.LongType()), T.StructField("state", _STATE),
+    ])
+    first = None
+    if initial is not None:
         first = blocks.where(F.col("block_no") == 0).select(*keys, F.col(initial).alias("start"))
-        runs = runs.join(first, keys)
-    runs_schema = T.StructType(list(tier_schema.fields)).add("start", state_type)
-    opened = runs.groupBy(*keys).applyInPandas(_scan, runs_schema)
-    starts = opened.select(*keys, "_run", F.col("state").alias("start"))
+    starts = _carry(slim.mapInPandas(_end_states, shape), keys, first, fanout, tiers)
 
-    known = tier.groupBy(*keys, "_run").cogroup(starts.groupBy(*keys, "_run")).applyInPandas(
-        lambda inner, opening: _scan(inner.assign(start=[opening["start"].iat[0]] * len(inner))), runs_schema
-    )
-
-    full = blocks.withColumn("samples", F.col("samples").cast("array<double>"))
-    full = full.join(known.select(*keys, "block_no", "state"), [*keys, "block_no"])
-    if initial is not None:
-        full = full.drop(initial)
+    full = blocks.withColumn("samples", F.col("samples").cast(_STATE))
+    full = full.join(starts.select(*keys, F.col("at").alias("block_no"), F.col("start").alias("state")), [*keys, "block_no"])
     fields = [*keys, "block_no", *passed, "samples"]
-    out_schema = T.StructType([f for name in fields for f in full.schema if f.name == name])
+    out_schema = T.StructType([full.schema[name] for name in fields])
     return full.select(*fields, "sos", "state").mapInPandas(_filter_from, out_schema)
 
 
@@ -244,6 +262,7 @@ def zero_phase(
     width = (F.col("_n") + F.col("_e") * 2 - 1).alias("_w")
     ends = sized.select(*keys, width, "_e", "_n")
     turned = one_way(padded).join(ends, keys).select(*keys, (F.col("_w") - F.col("i")).alias("i"), "v")
+    turned = materialise(turned, "forward")  # the second pass reads it twice
     back = one_way(turned).join(ends, keys)
     back = back.select(*keys, (F.col("_w") - F.col("i") - F.col("_e")).alias("i"), "v", "_n")
     return back.where((F.col("i") >= 0) & (F.col("i") < F.col("_n"))).drop("_n")

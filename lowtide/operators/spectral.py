@@ -225,7 +225,8 @@ def _transform(series: pd.Series, fs: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-impulse_transform = F.pandas_udf(_transform, "array<struct<f:double,re:double,im:double>>")
+_POINT = T.StructType([T.StructField(n, T.DoubleType()) for n in ("f", "re", "im")])
+impulse_transform = F.pandas_udf(_transform, T.ArrayType(_POINT))
 
 
 def impulse_response_curves(impulses: DataFrame, keys: Sequence[str]) -> DataFrame:
