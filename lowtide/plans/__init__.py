@@ -1,6 +1,6 @@
 """Derived tables, pipelines and registered queries."""
 
-from lowtide.plans import channel_queries, curve_queries, filter_queries, signal_queries, spectral_queries  # noqa: F401
+from lowtide.plans import catalogue_queries, channel_queries, curve_queries, filter_queries, signal_queries, spectral_queries  # noqa: F401
 from lowtide.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
