@@ -14,12 +14,12 @@ def general(v: Column, digits: int = 6) -> Column:
     """Shortest of fixed and exponent form with ``digits`` significant digits (%g)."""
     v = v.cast("double") + F.lit(0.0)
     parts = F.split(F.format_string(f"%.{digits - 1}e", v), "e")
-    power = parts[1].cast("int")
+    power = F.get(parts, F.lit(1)).cast("int")
     fixed = F.call_function(
         "format_string", F.concat(F.lit("%."), F.greatest(F.lit(digits - 1) - power, F.lit(0)).cast("string"), F.lit("f")), v
     )
-    return F.when((power >= -4) & (power < digits), _strip(fixed)).otherwise(
-        F.concat(_strip(parts[0]), F.lit("e"), parts[1])
+    return F.when(v.isNull(), None).when((power >= -4) & (power < digits), _strip(fixed)).otherwise(
+        F.concat(_strip(parts[0]), F.lit("e"), F.get(parts, F.lit(1)))
     )
 
 

@@ -1,6 +1,14 @@
 """Derived tables, pipelines and registered queries."""
 
-from lowtide.plans import catalogue_queries, channel_queries, curve_queries, filter_queries, signal_queries, spectral_queries  # noqa: F401
+from lowtide.plans import (  # noqa: F401
+    catalogue_queries,
+    channel_queries,
+    curve_queries,
+    document_queries,
+    filter_queries,
+    signal_queries,
+    spectral_queries,
+)
 from lowtide.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -51,7 +51,7 @@ def normal(columns, rows):
 _KIND = {
     "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
     "array<string>": "VARCHAR[]", "array<double>": "DOUBLE[]", "array<int>": "INTEGER[]", "array<bigint>": "BIGINT[]",
-    "float": "FLOAT", "timestamp": "TIMESTAMP",
+    "float": "FLOAT", "timestamp_ntz": "TIMESTAMP", "timestamp": "TIMESTAMP",
 }
 
 
