@@ -183,7 +183,7 @@ def band_table(limits: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def _savgol(window: int, order: int):
     half = window // 2
-    basis = np.vander(np.arange(-half, half + 1, dtype=float), order + 1, increasing=True)
+    basis = np.vander(np.arange(-half, half + 1) / max(half, 1), order + 1, increasing=True)
     fit = np.linalg.pinv(basis)  # polynomial coefficients of a window
     hat = basis @ fit  # fitted value at each place of a window
 

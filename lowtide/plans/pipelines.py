@@ -44,3 +44,30 @@ def slice_spectrum(
     firsts = part.groupBy(*keys).agg(F.min("i").alias("_first"), (F.max("i") - F.min("i") + 1).alias("n"))
     moved = part.join(firsts, keys).withColumn("i", F.col("i") - F.col("_first"))
     return P.avg_spectrum(S.to_blocks(moved, [*keys, "fs", "n"]), keys, nperseg=nperseg)
+
+
+def filtered_spectrum(spark, search: str, response: DataFrame, target_fs: int = 1000) -> DataFrame:
+    """Audio files to mean spectra with a filter's response added: (path, channel_no,
+    f, db, filtered_db). The converted audio is stored once; ``response`` is one
+    curve (f, db)."""
+    from lowtide.operators import curves as C
+    from lowtide.operators.resample import resample
+    from lowtide.sources.wav import read_wav
+
+    keys = ["path", "channel_no"]
+    blocks = read_wav(spark, search)
+    rates = [r.fs for r in blocks.select("fs").distinct().limit(64).collect()]  # a few standard rates
+    parts = [resample(blocks.where(F.col("fs") == fs), keys, fs, target_fs) for fs in rates]
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p.select(*whole.columns))
+    stored = materialise(whole, "converted")
+    curve = P.avg_spectrum(stored, keys)
+    ids = curve.select(*keys).distinct()
+    points = F.array_sort(F.collect_list(F.struct("f", "db")))
+    one = response.agg(points.alias("_r")).select(F.lit(0).alias("_one"), "_r")  # a single bounded curve
+    each = ids.withColumn("_one", F.lit(0)).join(F.broadcast(one), "_one").select(*keys, F.explode("_r").alias("_p"))
+    bent = C.interpolate(each.select(*keys, "_p.f", "_p.db"), curve.select(*keys, "f"), keys)
+    return curve.select(*keys, "f", "db").join(bent.withColumnRenamed("db", "_add"), [*keys, "f"]).select(
+        *keys, "f", "db", (F.col("db") + F.col("_add")).alias("filtered_db")
+    )

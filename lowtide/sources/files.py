@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from urllib.parse import quote
 
 from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession
@@ -22,20 +23,22 @@ def find_files(spark: SparkSession, search: str) -> DataFrame:
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(path, content): small text files, one row each."""
-    text = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path)
-    return text.select(F.input_file_name().alias("path"), F.col("value").alias("content"))
+    text = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
+    plain = F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B")))
+    return text.select(plain.alias("path"), F.col("value").alias("content"))
 
 
 def stem(path):
     """File name without folder and extension."""
-    name = F.element_at(F.split(F.url_decode(path), "/"), -1)
-    return F.regexp_replace(name, r"\.[^.]*$", "")
+    return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
 
 
 def open_range(path: str, offset: int, size: int) -> bytes:
     """Bytes of a file on any filesystem Arrow knows."""
-    uri = path if "://" in path or not path.startswith("file:") else "file://" + path[len("file:"):]
-    store, inner = arrow_fs.FileSystem.from_uri(uri)
+    if path.startswith("file:"):
+        store, inner = arrow_fs.LocalFileSystem(), "/" + path[len("file:"):].lstrip("/")
+    else:
+        store, inner = arrow_fs.FileSystem.from_uri(quote(path, safe=":/?&=@%"))
     with store.open_input_file(inner) as f:
         f.seek(offset)
         return f.read(size)

@@ -91,7 +91,12 @@ def main():
     sf_dir = sys.argv[1]
     names = sys.argv[2:] or list(QUERIES)
     names = [n for n in QUERIES if any(n == w or (w.endswith("*") and n.startswith(w[:-1])) for w in names)]
-    spark = local_session("8", 8)
+    if os.environ.get("PLAIN"):  # a session without the library's settings
+        from pyspark.sql import SparkSession
+
+        spark = SparkSession.builder.master("local[8]").getOrCreate()
+    else:
+        spark = local_session("8", 8)
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(sf_dir)
     bad = 0
