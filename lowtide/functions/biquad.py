@@ -156,19 +156,23 @@ def _half_power(c0: Column, c1: Column, c2: Column, phi: Column) -> Column:
 
 def response_db(s: Column, w: Column) -> Column:
     """Magnitude of section ``s`` at angular frequency ``w`` (radians per sample)."""
-    phi = F.pow(F.sin(w / 2.0), 2.0)
+    phi = F.pow(F.sin(w / 2.0), F.lit(2.0))
     num = _half_power(s["b0"], s["b1"], s["b2"], phi)
     den = _half_power(F.lit(1.0), s["a1"], s["a2"], phi)
-    return 10.0 * (F.log10(F.greatest(num, F.lit(1e-300))) - F.log10(den))
+    return 10.0 * F.log10(F.greatest(num / den, F.lit(1e-300)))
 
 
 def response_degrees(s: Column, w: Column) -> Column:
-    def angle(c0: Column, c1: Column, c2: Column) -> Column:
-        real = c0 + c1 * F.cos(w) + c2 * F.cos(w * 2.0)
-        imag = -(c1 * F.sin(w)) - c2 * F.sin(w * 2.0)
-        return F.degrees(F.atan2(imag, real))
+    """Phase of section ``s``, in (-180, 180]."""
+    sin1, cos1 = F.sin(w), F.cos(w)
+    sin2, cos2 = sin1 * cos1 * 2.0, cos1 * cos1 * 2.0 - 1.0
 
-    return angle(s["b0"], s["b1"], s["b2"]) - angle(F.lit(1.0), s["a1"], s["a2"])
+    def parts(c0: Column, c1: Column, c2: Column) -> tuple[Column, Column]:
+        return c0 + c1 * cos1 + c2 * cos2, -(c1 * sin1) - c2 * sin2
+
+    br, bi = parts(s["b0"], s["b1"], s["b2"])
+    ar, ai = parts(F.lit(1.0), s["a1"], s["a2"])
+    return F.degrees(F.atan2(bi * ar - br * ai, br * ar + bi * ai))
 
 
 def wrap_degrees(d: Column) -> Column:

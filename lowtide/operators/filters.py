@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -120,38 +121,73 @@ def pass_sections(passes: DataFrame) -> DataFrame:
     return plain.select(*columns).unionByName(curved.select(*columns))
 
 
-def response(
-    filters: DataFrame, points: int, by: Sequence[str] = (SET,), spread: int = 16, per_filter: bool = False
-) -> DataFrame:
-    """Magnitude and phase of each set on ``points`` frequencies from 0 to half the rate.
+SECTIONS_PER_ROW = 64  # sections folded by one call; larger sets are summed by Spark
+POINTS_PER_ROW = 1024
+
+
+def _fold(points: int):
+    """dB and phase of a few sections on one part of the grid."""
+
+    def response(sections: pd.Series, low: pd.Series, high: pd.Series) -> pd.DataFrame:
+        db, phase, grids = [], [], {}
+        for flat, first, last in zip(sections, low, high):
+            if first not in grids:
+                half = np.arange(first, last + 1) * (np.pi / points / 2.0)
+                grids[first] = (np.sin(half) ** 2, np.exp(-2j * half))
+            phi, z = grids[first]
+            total, turn = np.zeros(len(phi)), np.zeros(len(phi))
+            for b0, b1, b2, a1, a2, times in np.asarray(flat, dtype=float).reshape(-1, 6):
+                num = (b0 + b1 + b2) ** 2 - 4 * phi * (b0 * b1 + 4 * b0 * b2 + b1 * b2) + 16 * phi * phi * b0 * b2
+                den = (1 + a1 + a2) ** 2 - 4 * phi * (a1 + 4 * a2 + a1 * a2) + 16 * phi * phi * a2
+                total += times * 10.0 * np.log10(np.maximum(num / den, 1e-300))
+                turn += times * np.degrees(np.angle((b0 + z * (b1 + z * b2)) * np.conj(1 + z * (a1 + z * a2))))
+            db.append(total)
+            phase.append(turn)
+        return pd.DataFrame({"db": db, "phase": phase})
+
+    numbers = T.ArrayType(T.DoubleType())
+    return F.pandas_udf(response, T.StructType([T.StructField("db", numbers), T.StructField("phase", numbers)]))
+
+
+def response(filters: DataFrame, points: int, by: Sequence[str] = (SET,), tasks: int | None = None) -> DataFrame:
+    """(by..., fs, k, f, db, phase) of each set on ``points`` frequencies from 0 to half
+    the rate.
 
-    Sections are copied to ``spread`` grid parts before the only shuffle, so one
-    large set is shared by many tasks; the grid is expanded after it and summed in
-    place. With ``per_filter`` each filter's own response is returned too, with
-    ``seq`` null on the rows of the whole set.
+    Only sections are shuffled; the grid is made afterwards, in parts that are spread
+    over ``tasks`` (by default four times the shuffle partitions, as the output is far
+    larger than what is shuffled). A set of more than ``SECTIONS_PER_ROW`` sections is
+    folded in pieces and the pieces are summed.
     """
     by = list(by)
-    part = -(-points // spread)
-    rows = with_sections(filters).withColumn("_c", copies())
-    rows = rows.withColumn("_part", F.explode(F.array(*[F.lit(p) for p in range(spread)])))
-    rows = rows.select(*by, "seq", "fs", "sos", "_c", "_part").repartition(*by, "_part")
-    low = F.col("_part") * part
-    high = F.least(low + part, F.lit(points)) - 1
-    rows = rows.where(low <= high).withColumn("k", F.explode(F.sequence(low, high)))
-    w = F.col("k") * (math.pi / points)
-    rows = rows.select(
-        *by, "_part", "seq", "fs", "k",
-        (biquad.response_db(F.col("sos"), w) * F.col("_c")).alias("_db"),
-        (biquad.response_degrees(F.col("sos"), w) * F.col("_c")).alias("_ph"),
+    spark = filters.sparkSession
+    tasks = tasks or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    terms = F.array(*[F.col("sos")[c] for c in ("b0", "b1", "b2", "a1", "a2")], copies().cast("double"))
+    piece = F.floor(F.col("seq") / SECTIONS_PER_ROW) if "seq" not in by else F.lit(0)
+    rows = with_sections(filters).select(
+        *by, "fs", F.struct(F.col("seq").alias("at"), terms.alias("t")).alias("_r"), piece.cast("long").alias("_piece")
     )
-    sums = [F.sum("_db").alias("db"), biquad.wrap_degrees(F.sum("_ph")).alias("phase")]
-    keys = [*by, "_part", "fs", "k"]
-    if per_filter:
-        each = [F.col(c) for c in keys]
-        out = rows.groupingSets([each, [*each, F.col("seq")]], *each, F.col("seq")).agg(*sums)
-    else:
-        out = rows.groupBy(*keys).agg(*sums)
-    return out.withColumn("f", F.col("k") * F.col("fs") / (2.0 * points)).drop("_part")
+    packed = rows.groupBy(*by, "fs", "_piece").agg(F.flatten(F.array_sort(F.collect_list("_r"))["t"]).alias("_s"))
+    large = packed.where("_piece > 0").select(*by, "fs").distinct()
+    starts = F.array(*[F.lit(low) for low in range(0, points, POINTS_PER_ROW)])
+
+    def on_grid(sets: DataFrame) -> DataFrame:
+        parts = sets.withColumn("_low", F.explode(starts)).repartition(tasks, *by, "_piece", "_low")
+        high = F.least(F.col("_low") + POINTS_PER_ROW, F.lit(points)) - 1
+        done = parts.select(*by, "fs", "_low", _fold(points)("_s", "_low", high).alias("_y"))
+        cells = done.select(*by, "fs", "_low", F.posexplode(F.arrays_zip("_y.db", "_y.phase")).alias("_j", "_c"))
+        return cells.select(*by, "fs", (F.col("_low") + F.col("_j")).alias("k"), F.col("_c.db").alias("db"), F.col("_c.phase").alias("phase"))
+
+    key = [*by, "fs"]
+    small = on_grid(packed.join(large, key, "left_anti"))
+    pieces = on_grid(packed.join(large, key, "left_semi")).groupBy(*key, "k").agg(F.sum("db").alias("db"), F.sum("phase").alias("phase"))
+    out = small.unionByName(pieces)
+    return out.withColumn("phase", biquad.wrap_degrees(F.col("phase"))).withColumn("f", F.col("k") * F.col("fs") / (2.0 * points))
+
+
+def response_per_filter(filters: DataFrame, points: int, by: Sequence[str] = (SET,)) -> DataFrame:
+    """The response of each set (``seq`` is null) and of each filter in it."""
+    whole = response(filters, points, by).withColumn("seq", F.lit(None).cast("long"))
+    return whole.unionByName(response(filters, points, [*by, "seq"]))
 
 
 def dc_delay(filters: DataFrame, by: Sequence[str] = (SET,)) -> DataFrame:

@@ -21,17 +21,23 @@ def decode(lines: DataFrame) -> DataFrame:
     return lines.select(ID, *[part[k].try_cast("int").alias(c) for k, c in enumerate(("i", "w", "o"))])
 
 
+def fed_by(routes: DataFrame) -> DataFrame:
+    """(matrix, o, fed): the sorted (i, w) pairs of each output; one shuffle serves
+    every operator below."""
+    return routes.groupBy(ID, "o").agg(F.array_sort(F.collect_set(F.struct("i", "w"))).alias("fed"))
+
+
 def direct(routes: DataFrame) -> DataFrame:
     """Outputs fed by exactly one input, unless it is the channel itself."""
-    only = routes.groupBy(ID, "o").agg(F.count(F.lit(1)).alias("_n"), F.first("i").alias("i"), F.first("w").alias("w"))
-    return only.where((F.col("_n") == 1) & (F.col("i") != F.col("o"))).select(ID, "i", "w", "o")
+    only = F.col("fed")[0]
+    single = fed_by(routes).where((F.size("fed") == 1) & (only["i"] != F.col("o")))
+    return single.select(ID, only["i"].alias("i"), only["w"].alias("w"), "o")
 
 
 def summed(routes: DataFrame) -> DataFrame:
     """(matrix, o, inputs): outputs fed by several inputs, inputs sorted as ``i_w``."""
-    name = F.concat_ws("_", F.col("i").cast("string"), F.col("w").cast("string"))
-    out = routes.groupBy(ID, "o").agg(F.array_sort(F.collect_set(name)).alias("inputs"))
-    return out.where(F.size("inputs") > 1)
+    names = F.transform("fed", lambda x: F.concat_ws("_", x["i"].cast("string"), x["w"].cast("string")))
+    return fed_by(routes).where(F.size("fed") > 1).select(ID, "o", F.array_sort(names).alias("inputs"))
 
 
 def collated(routes: DataFrame) -> DataFrame:
@@ -51,13 +57,12 @@ def outputs_by_way(routes: DataFrame) -> DataFrame:
 
 def violations(routes: DataFrame) -> DataFrame:
     """(matrix, o, problem): a direct route onto another input, and a summed output
-    that another summed group reads."""
+    that another summed group reads. Groups are outputs with the same inputs."""
+    fed = fed_by(routes)
     inputs = routes.select(ID, F.col("i").alias("o")).distinct()
-    overwritten = direct(routes).join(inputs, [ID, "o"], "left_semi").select(ID, "o", F.lit("overwrites input").alias("problem"))
-    groups = collated(routes)
-    writes = groups.select(ID, F.explode("outputs").alias("o"), F.col("inputs").alias("_by"))
-    reads = groups.select(
-        ID, F.col("inputs").alias("_in"), F.explode("inputs").alias("_name")
-    ).select(ID, "_in", F.split("_name", "_")[0].cast("int").alias("o")).distinct()
-    clash = writes.join(reads, [ID, "o"]).where(F.col("_by") != F.col("_in"))
+    single = fed.where((F.size("fed") == 1) & (F.col("fed")[0]["i"] != F.col("o")))
+    overwritten = single.join(inputs, [ID, "o"], "left_semi").select(ID, "o", F.lit("overwrites input").alias("problem"))
+    several = fed.where(F.size("fed") > 1)
+    reads = several.select(ID, F.col("fed").alias("_in"), F.explode(F.array_distinct("fed.i")).alias("o")).distinct()
+    clash = several.join(reads, [ID, "o"]).where(F.col("fed") != F.col("_in"))
     return overwritten.unionByName(clash.select(ID, "o", F.lit("feeds another sum").alias("problem")).distinct())

@@ -285,6 +285,6 @@ def least_headroom(spark, sf):
     from lowtide.plans import pipelines
     from lowtide.plans.spectral_queries import sos_of
 
-    done = pipelines.filter_signal(channel_blocks(spark, sf), KEYS, gain=9.0, active=sos_of(LOW_4))
+    done = pipelines.filter_signal(channel_blocks(spark, sf), KEYS, gain=9.0, active=sos_of(spark, LOW_4))
     out = M.least_headroom(S.from_blocks(done, KEYS), KEYS, ["title"])
     return out.select("title", rounded(F.col("headroom_db")).alias("headroom_db"))

@@ -186,7 +186,7 @@ def set_response(spark, sf):
 @query("filter_and_set_response", SUMMED + f"""select filter_set_id, seq, cast(k as integer) as k,
  round(sum(db), 6) + 0.0 as db from resp group by grouping sets ((filter_set_id, k), (filter_set_id, seq, k))""")
 def filter_and_set_response(spark, sf):
-    out = O.response(filters(spark, sf), POINTS, per_filter=True)
+    out = O.response_per_filter(filters(spark, sf), POINTS)
     return out.select("filter_set_id", "seq", F.col("k").cast("int").alias("k"), rounded(F.col("db")).alias("db"))
 
 

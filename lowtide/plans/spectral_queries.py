@@ -25,8 +25,15 @@ LOW_4 = [("LowPass2", 12.0, 0.5 ** 0.5, 0.0)] * 2
 HIGH_4 = [("HighPass2", 6.0, 0.5 ** 0.5, 0.0)] * 2
 
 
-def sos_of(design, fs=64):
-    return R.flat_sos(biquad.design(design, fs))
+_KNOWN: dict[tuple, list[float]] = {}
+
+
+def sos_of(spark, design, fs=64):
+    """A fixed design as literal coefficients, which keeps the plans small."""
+    key = (tuple(design), fs)
+    if key not in _KNOWN:
+        _KNOWN[key] = list(spark.range(1).select(R.flat_sos(biquad.design(design, fs)).alias("s")).first().s)
+    return F.array(*[F.lit(x) for x in _KNOWN[key]])
 
 
 def sql_design(design, fs=64):
@@ -69,7 +76,7 @@ def _rows(blocks):
 @query("biquad_cascade", W + ", " + sql_design(DESIGN) + ", " + sql_recursion("samples", "ss")
        + " select signal_id, i, round(y, 8) + 0.0 as v from rec where i >= 0")
 def biquad_cascade(spark, sf):
-    out = R.cascade(sample_blocks(spark, sf).withColumn("sos", sos_of(DESIGN)), KEY)
+    out = R.cascade(sample_blocks(spark, sf).withColumn("sos", sos_of(spark, DESIGN)), KEY)
     return _rows(out).select(*KEY, "i", rounded(F.col("v"), 8).alias("v"))
 
 
@@ -78,7 +85,7 @@ LONG_ORACLE = sql_with("long") + ", " + sql_design(DESIGN[:1]) + ", " + sql_recu
 
 @query("biquad_cascade_long", LONG_ORACLE + " select signal_id, i, round(y, 7) + 0.0 as v from rec where i >= 0")
 def biquad_cascade_long(spark, sf):
-    out = R.cascade(long_blocks(spark, sf).withColumn("sos", sos_of(DESIGN[:1])), KEY, fanout=16)
+    out = R.cascade(long_blocks(spark, sf).withColumn("sos", sos_of(spark, DESIGN[:1])), KEY, fanout=16)
     return _rows(out).select(*KEY, "i", rounded(F.col("v"), 7).alias("v"))
 
 
@@ -102,7 +109,7 @@ select b.signal_id, cast(last + e - b.i as bigint) as i, round(y, 7) + 0.0 as v
 
 @query("zero_phase", ZERO_PHASE)
 def zero_phase(spark, sf):
-    out = R.zero_phase(samples(spark, sf), KEY, sos_of(DESIGN[:1]), block=64)
+    out = R.zero_phase(samples(spark, sf), KEY, sos_of(spark, DESIGN[:1]), block=64)
     return out.select(*KEY, "i", rounded(F.col("v"), 7).alias("v"))
 
 
@@ -131,7 +138,7 @@ def filter_impulse_response(spark, sf):
        + sql_recursion("samples", "sscssssc", gain="1.75") + " select signal_id, i, round(y, 8) + 0.0 as v from rec where i >= 0")
 def signal_pipeline(spark, sf):
     out = pipelines.filter_signal(
-        sample_blocks(spark, sf), KEY, gain=1.75, before=sos_of(LOW_4), active=sos_of(DESIGN), after=sos_of(HIGH_4), clip=True
+        sample_blocks(spark, sf), KEY, gain=1.75, before=sos_of(spark, LOW_4), active=sos_of(spark, DESIGN), after=sos_of(spark, HIGH_4), clip=True
     )
     return _rows(out).select(*KEY, "i", rounded(F.col("v"), 8).alias("v"))
 

@@ -164,3 +164,17 @@ def test_filter_documents(spark):
     assert (out["a", 0].kind, out["a", 0].family, out["a", 0].order) == ("ComplexLowPass", "LR", 4)
     assert (out["a", 1].kind, out["a", 1].fs) == ("HighPass1", 2000)
     assert out["b", 0].kind is None and out["b", 0].type == "Mystery"
+
+
+def test_response_of_a_large_set(spark):
+    """A set of many sections, split in pieces, equals the sum of its filters."""
+    df = spark.range(300).select(
+        F.lit(1).alias("filter_set_id"), F.col("id").alias("seq"), F.lit("PeakingEQ").alias("kind"), F.lit(1000).alias("fs"),
+        (F.col("id") + 5.0).alias("freq"), F.lit(1.1).alias("q"), (F.col("id") % 7 - 3.0).alias("gain"), F.lit(1).alias("n"),
+    ).unionByName(spark.createDataFrame([(2, 0, "LowShelf", 1000, 20.0, 0.7, 3.0, 2)], "filter_set_id int, seq long, kind string, fs int, freq double, q double, gain double, n int"))
+    got = O.response(df, 1500)
+    each = O.response(df, 1500, by=["filter_set_id", "seq"]).groupBy("filter_set_id", "k").agg(F.sum("db").alias("want"))
+    both = got.join(each, ["filter_set_id", "k"])
+    assert both.count() == 3000
+    assert both.where("abs(db - want) > 1e-8 or phase <= -180 or phase > 180").count() == 0
+    assert got.where("filter_set_id = 2 and k = 0").first().db == pytest.approx(6.0)
