@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -93,3 +94,16 @@ def resample(blocks: DataFrame, keys: Sequence[str], fs: int, new_fs: int, block
         "samples", convert(F.col("_m")[0]["_b"], F.flatten(F.col("_m")["_s"]), F.col("start_i"), size)
     )
     return out.withColumn("n", total).withColumn("fs", F.lit(new_fs)).drop("_m")
+
+
+MAX_RATES = 64
+
+
+def resample_all(blocks: DataFrame, keys: Sequence[str], new_fs: int, block: int = 4096) -> DataFrame:
+    """Convert blocks of several rates, one job branch per rate."""
+    rates = [r.fs for r in blocks.select("fs").distinct().limit(MAX_RATES + 1).collect()]
+    if not rates or len(rates) > MAX_RATES:
+        raise ValueError(f"expected 1 to {MAX_RATES} sample rates")
+    names = [*keys, "fs", "n", "block_no", "start_i", "samples"]
+    parts = [resample(blocks.where(F.col("fs") == fs), keys, fs, new_fs, block).select(*names) for fs in rates]
+    return reduce(DataFrame.unionByName, parts)

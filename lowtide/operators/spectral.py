@@ -211,31 +211,36 @@ def compare(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
     return a.join(b, list(on), "full_outer").withColumn("delta_db", F.col("left_db") - F.col("right_db"))
 
 
-def _transform(series: pd.Series, fs: pd.Series) -> pd.Series:
+def _transform(folded: pd.Series) -> pd.Series:
+    """Response of a folded impulse at half as many frequencies as it has places."""
     out = []
-    for x, rate in zip(series, fs):
-        points = 1 << int(np.ceil(np.log2(rate / 2.0)))
-        x = np.asarray(x, dtype=float)
-        at = np.exp(-1j * np.pi * np.arange(points) / points)
-        if len(x) <= 2 * points:
-            h = np.fft.rfft(x, 2 * points)[:points]
-        else:
-            h = np.polyval(x[::-1], at)
-        out.append([{"f": k * rate / 2.0 / points, "re": float(c.real), "im": float(c.imag)} for k, c in enumerate(h)])
+    for x in folded:
+        h = np.fft.rfft(np.asarray(x, dtype=float))[:-1]
+        out.append([{"re": float(c.real), "im": float(c.imag)} for c in h])
     return pd.Series(out)
 
 
-_POINT = T.StructType([T.StructField(n, T.DoubleType()) for n in ("f", "re", "im")])
-impulse_transform = F.pandas_udf(_transform, T.ArrayType(_POINT))
+_POINT = T.StructType([T.StructField(n, T.DoubleType()) for n in ("re", "im")])
+_transform_udf = F.pandas_udf(_transform, T.ArrayType(_POINT))
 
 
-def impulse_response_curves(impulses: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Magnitude and phase of short impulse responses held one per row
-    (keys..., fs, samples)."""
-    h = impulses.select(*keys, F.explode(impulse_transform("samples", "fs")).alias("h"))
+def impulse_response_curves(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Magnitude and phase of impulse responses (keys..., i, v, fs) on a power-of-two
+    grid from 0 to half the rate.
+
+    The transform repeats after twice the grid size, so samples that far apart are
+    added up first: a response of any length becomes one short row.
+    """
+    keys = list(keys)
+    points = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("fs") / 2.0))).cast("long")
+    folded = samples.groupBy(*keys, "fs", (F.col("i") % (points * 2)).alias("_m")).agg(F.sum("v").alias("_v"))
+    place = F.map_from_entries(F.collect_list(F.struct("_m", "_v")))
+    short = folded.groupBy(*keys, "fs").agg(place.alias("_f")).withColumn("_n", points)
+    row = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_n") * 2 - 1), lambda m: F.coalesce(F.try_element_at("_f", m), F.lit(0.0)))
+    h = short.select(*keys, "fs", "_n", F.posexplode(_transform_udf(row)).alias("_k", "h"))
     size = F.sqrt(F.pow("h.re", 2) + F.pow("h.im", 2))
     return h.select(
-        *keys, F.col("h.f").alias("f"),
+        *keys, (F.col("_k") * F.col("fs") / 2.0 / F.col("_n")).alias("f"),
         (20.0 * F.log10(F.when(size == 0.0, 1e-9).otherwise(size))).alias("db"),
         F.degrees(F.atan2("h.im", "h.re")).alias("degrees"),
     )

@@ -243,14 +243,16 @@ def decoded_routes(spark, sf):
 
 
 def linked_signals(spark, sf):
+    """Users with a low mean value are the known signals; each title's first channel is
+    the master of the others."""
     user = F.col("user_id")
-    ids = table(spark, sf, "events").select("user_id").distinct()
-    signals = ids.where(user % 7 != 3).select(user.alias("signal_id"), (user + 1000).alias("filter_set_id"))
-    links = ids.where(user % 6 != 0).select((user - user % 6).alias("master"), user.alias("slave"))
+    ids = table(spark, sf, "events").groupBy("user_id").agg(F.avg("value").alias("mean"))
+    signals = ids.where("mean < 58").select(user.alias("signal_id"), (user + 1000).alias("filter_set_id"))
+    links = ids.select((user - user % 6).alias("master"), user.alias("slave")).where("master <> slave")
     return signals, links
 
 
-LINKS = "with ids as (select distinct user_id as u from events), sg as (select u as signal_id, u + 1000 as filter_set_id from ids where u % 7 <> 3), ln as (select u - u % 6 as master, u as slave from ids where u % 6 <> 0) "
+LINKS = "with ids as (select user_id as u, avg(value) as mean from events group by 1), sg as (select u as signal_id, u + 1000 as filter_set_id from ids where mean < 58), ln as (select u - u % 6 as master, u as slave from ids where u - u % 6 <> u) "
 
 
 @query("active_filters", LINKS + "select s.signal_id, l.master, coalesce(m.filter_set_id, s.filter_set_id) as active_set from sg s left join ln l on l.slave = s.signal_id left join sg m on m.signal_id = l.master")
@@ -288,3 +290,35 @@ def least_headroom(spark, sf):
     done = pipelines.filter_signal(channel_blocks(spark, sf), KEYS, gain=9.0, active=sos_of(spark, LOW_4))
     out = M.least_headroom(S.from_blocks(done, KEYS), KEYS, ["title"])
     return out.select("title", rounded(F.col("headroom_db")).alias("headroom_db"))
+
+
+LINKED = """, act as (select id, title, channel, i, v, ch in (0, 1, 2) as filtered from (select s.title || '/' || s.channel as id, s.* from channel_samples s)),
+mains as (select a.*, a.v*pow(10.0::double, case when channel = 'LFE' then 10 - h else -h end/20) as x from act a join (select title, 20*log10(count(distinct ch) - 1 + pow(10, 0.5)) as h from channel_samples group by 1) using (title)),
+src as (select id, i, x as v from mains)"""
+
+
+@query("bass_level_report", W + LINKED + ", " + sql_design([("LowShelf", 8.0, 0.8, 5.0), ("PeakingEQ", 14.0, 1.2, -4.0)]) + ", " + sql_recursion("src", "ss", key="id") + """,
+s as (select m.title, m.i, sum(case when filtered then r.y else m.x end) as v from mains m join rec r on r.id = m.id and r.i = m.i group by all)
+select title, round(10*log10(avg(v*v)), 6) as rms_db, round(20*log10(max(abs(v))), 6) as peak_db from s group by 1""")
+def bass_level_report(spark, sf):
+    """Linked filters, bass management and levels for every title."""
+    from lowtide.operators import stats
+    from lowtide.plans import pipelines
+    from lowtide.plans.spectral_queries import DESIGN, sos_of
+
+    blocks = channel_blocks(spark, sf)
+    first = F.col("channel").isin("FL", "FR", "FC")
+    names = blocks.select(*KEYS).distinct()
+    signal = F.concat_ws("/", F.col("title").cast("string"), "channel")
+    signals = names.select(signal.alias("signal_id"), F.when(F.col("channel") == "FL", "A").alias("filter_set_id"))
+    links = names.where(first & (F.col("channel") != "FL")).select(
+        F.concat_ws("/", F.col("title").cast("string"), F.lit("FL")).alias("master"), signal.alias("slave")
+    )
+    config = titles(spark, sf).select(
+        "title", F.lit(12.0).alias("lpf_hz"), F.lit("Off").alias("lpf_position"), F.lit("WCS").alias("headroom_type"),
+        F.lit(False).alias("clip_before"), F.lit(False).alias("clip_after"),
+    )
+    sets = {"A": sos_of(spark, DESIGN)}
+    managed = pipelines.bass_managed(blocks, config, signals, links, sets)
+    out = stats.levels(S.from_blocks(managed, ["title"]), ["title"])
+    return out.select("title", rounded(F.col("rms_db")).alias("rms_db"), rounded(F.col("peak_db")).alias("peak_db"))

@@ -51,18 +51,15 @@ def filtered_spectrum(spark, search: str, response: DataFrame, target_fs: int =
     f, db, filtered_db). The converted audio is stored once; ``response`` is one
     curve (f, db)."""
     from lowtide.operators import curves as C
-    from lowtide.operators.resample import resample
+    from lowtide.operators.resample import resample_all
     from lowtide.sources.wav import read_wav
 
     keys = ["path", "channel_no"]
     blocks = read_wav(spark, search)
-    rates = [r.fs for r in blocks.select("fs").distinct().limit(64).collect()]  # a few standard rates
-    parts = [resample(blocks.where(F.col("fs") == fs), keys, fs, target_fs) for fs in rates]
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p.select(*whole.columns))
-    stored = materialise(whole, "converted")
+    stored = materialise(resample_all(blocks, keys, target_fs), "converted")
     curve = P.avg_spectrum(stored, keys)
+    if response.count() > 2 * P.RESPONSE_POINTS:
+        raise ValueError("the response is not one curve")
     ids = curve.select(*keys).distinct()
     points = F.array_sort(F.collect_list(F.struct("f", "db")))
     one = response.agg(points.alias("_r")).select(F.lit(0).alias("_one"), "_r")  # a single bounded curve
@@ -71,3 +68,22 @@ def filtered_spectrum(spark, search: str, response: DataFrame, target_fs: int =
     return curve.select(*keys, "f", "db").join(bent.withColumnRenamed("db", "_add"), [*keys, "f"]).select(
         *keys, "f", "db", (F.col("db") + F.col("_add")).alias("filtered_db")
     )
+
+
+def bass_managed(
+    blocks: DataFrame, config: DataFrame, signals: DataFrame, links: DataFrame, cascades: dict[str, Column]
+) -> DataFrame:
+    """Bass-managed output of every title with each channel under its active filter.
+
+    ``signals`` has (signal_id, filter_set_id) with ids ``title/channel``; a linked
+    channel takes its master's set. ``cascades`` are the flat sections of each set.
+    """
+    from lowtide.operators import channels as M
+
+    active = M.active_filters(signals, links).select("signal_id", "active_set")
+    named = blocks.withColumn("signal_id", F.concat_ws("/", F.col("title").cast("string"), "channel"))
+    sos = M.no_filter()
+    for name, sections in cascades.items():
+        sos = F.when(F.col("active_set") == name, sections).otherwise(sos)
+    ready = named.join(active, "signal_id").withColumn("sos", sos).drop("signal_id", "active_set")
+    return M.bass_manage(ready, config)

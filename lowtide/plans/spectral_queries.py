@@ -278,12 +278,11 @@ def spectrogram_comparison(spark, sf):
     return out.select(*KEY, "bin", "t", *[rounded(F.col(c), 4).alias(c) for c in ("left_db", "right_db", "delta_db")])
 
 
-@query("impulse_response_curves", W + """, d as (select signal_id, k, sum(v*cos(pi()*k*i/32)) as re, -sum(v*sin(pi()*k*i/32)) as im
+@query("impulse_response_curves", W + """, d as (select signal_id, k, sum(v*cos(pi()*k*i/32)) as re, 0.0 - sum(v*sin(pi()*k*i/32)) as im
  from samples, (select unnest(range(32)) as k) group by all)
-select signal_id, cast(k as double) as f, round(20*log10(sqrt(re*re+im*im)), 5) as db, round(degrees(atan2(im, re)), 4) + 0.0 as degrees from d where k > 0""")
+select signal_id, cast(k as double) as f, round(20*log10(sqrt(re*re+im*im)), 5) as db, round(degrees(atan2(im, re)), 4) + 0.0 as degrees from d""")
 def impulse_response_curves(spark, sf):
-    whole = S.to_blocks(samples(spark, sf), [*KEY, "fs"], 1 << 20)
-    out = P.impulse_response_curves(whole, KEY).where(F.col("f") > 0)
+    out = P.impulse_response_curves(samples(spark, sf), KEY)
     return out.select(*KEY, "f", rounded(F.col("db"), 5).alias("db"), rounded(F.col("degrees"), 4).alias("degrees"))
 
 
@@ -293,7 +292,18 @@ def visible_slice_spectrum(spark, sf):
     return _curve(pipelines.slice_spectrum(samples(spark, sf), KEY, 10 / 64.0, 41 / 64.0, nperseg=32))
 
 
-@query("resample_sample_rate")
+# The same kernel written out: a windowed sinc on whole-sample gaps, by power series.
+CONVERTED = """, kc as (select 0.95::double/4 as c, 64/(0.95::double/4) as half, 14.0::double as beta),
+gaps as (select unnest(range(-269, 270)) as g),
+kx as (select g, c, half, beta, greatest(beta*sqrt(1 - pow(g/half, 2)), 1e-9) as x from gaps, kc),
+kern as (select g, c*case when g = 0 then 1.0 else sin(pi()*c*g)/(pi()*c*g) end
+ * list_sum([exp(2*(m*ln(x/2) - lgamma(m + 1))) for m in range(0, 60)]) / list_sum([exp(2*(m*ln(beta/2) - lgamma(m + 1))) for m in range(0, 60)]) as w from kx),
+ln as (select signal_id, max(i) + 1 as n from long group by 1)
+select signal_id, cast((i - g)//4 as bigint) as i, round(sum(v*w), 8) + 0.0 as v from long join ln using (signal_id), kern
+ where (i - g) % 4 = 0 and i >= g and (i - g)//4 < ceil(n/4) group by all"""
+
+
+@query("resample_sample_rate", sql_with("long") + CONVERTED)
 def resample_sample_rate(spark, sf):
     out = RS.resample(long_blocks(spark, sf).drop("block_no"), KEY, 64, 16, block=256)
     return _rows(out).select(*KEY, "i", rounded(F.col("v"), 8).alias("v"))

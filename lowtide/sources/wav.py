@@ -137,21 +137,14 @@ def load_signals(spark: SparkSession, search: str, layout: str = "unknown", **ho
 def load_channel(
     spark: SparkSession, search: str, channel: int = 1, target_fs: int | None = 1000, offset_db: float = 0.0, **how
 ) -> DataFrame:
-    """One channel (counted from 1), converted to ``target_fs`` and then offset. Files
-    must share one rate to be converted together."""
+    """One channel (counted from 1), converted to ``target_fs`` and then offset."""
     from lowtide.functions.levels import gain_ratio
-    from lowtide.operators.resample import resample
+    from lowtide.operators.resample import resample_all
     from lowtide.operators.samples import map_blocks
 
     out = read_wav(spark, search, **how).where(F.col("channel_no") == channel - 1)
     if target_fs:
-        rates = [r.fs for r in out.select("fs").distinct().limit(64).collect()]  # a few standard rates
-        parts = [resample(out.where(F.col("fs") == fs), ["path", "channel_no"], fs, target_fs) for fs in rates]
-        names = ["path", "channel_no", "fs", "n", "block_no", "start_i", "samples"]
-        done = parts[0].select(*names)
-        for p in parts[1:]:
-            done = done.unionByName(p.select(*names))
-        out = done
+        out = resample_all(out, ["path", "channel_no"], target_fs)
     if abs(offset_db) > 1e-9:
         out = map_blocks(out, lambda v: v * gain_ratio(offset_db))
     return out
