@@ -87,6 +87,8 @@ def exact_quantile(
     counted = df.where(v.isNotNull()).groupBy(*keys, v.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
     scaled = F.log2(1.0 + F.abs("_v") * 1e12) * per_octave
     counted = counted.withColumn("_slot", F.floor(F.signum("_v") * scaled))
+    for key in (*keys, "_slot"):  # said for both uses below, so one shuffle serves them
+        counted = counted.where(F.col(key).isNotNull())
     bins = counted.groupBy(*keys, "_slot").agg(F.sum("_c").alias("_n"))
     total = Window.partitionBy(*keys)
     upto = total.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)

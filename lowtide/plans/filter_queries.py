@@ -393,3 +393,10 @@ def filter_summary(spark, sf):
     rows = filters(spark, sf)
     db = F.when(F.col("filter_set_id") % 3 == 0, -2.5).otherwise(0.0)
     return O.summary_table(rows, rows.select("filter_set_id").distinct().withColumn("offset_db", db))
+
+
+@query("set_cascades", W + """, r as (select filter_set_id, unnest([b0, b1, b2, a1, a2]) as c, unnest([0, 1, 2, 3, 4]) as k, seq, copy from coef, lateral (select unnest(range(copies)) as copy))
+select filter_set_id, cast(row_number() over (partition by filter_set_id order by seq, copy, k) - 1 as integer) as at, round(c, 9) + 0.0 as c from r""")
+def set_cascades(spark, sf):
+    flat = O.cascades(filters(spark, sf))
+    return flat.select("filter_set_id", F.posexplode("sos").alias("at", "c")).withColumn("c", rounded(F.col("c"), 9))
