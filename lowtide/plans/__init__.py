@@ -1,6 +1,7 @@
 """Derived tables, pipelines and registered queries."""
 
 from lowtide.plans import (  # noqa: F401
+    audio_queries,
     catalogue_queries,
     channel_queries,
     curve_queries,

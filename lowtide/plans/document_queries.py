@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import uuid
 
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from lowtide.session import shared_dir
 from lowtide.sinks import exports as K
 from lowtide.sources import documents as D
 from lowtide.sources import text as X
+from lowtide.sources.files import put_file
 from lowtide.sources.wav import channel_name
 from lowtide.streaming import ingest as I
 from lowtide.streaming import meter as V
@@ -63,15 +65,38 @@ def filter_documents(spark, sf):
     return D.filter_rows(docs).select("filter_set_id", "seq", "kind", "fs", "freq", (F.col("gain") + 0.0).alias("gain"), "q", "n")
 
 
-@query("project_documents", sql_with("curves") + "select cast(curve_id as varchar) as name, 'avg' as kind, f, round(db, 6) + 0.0 as db from curves")
-def project_documents(spark, sf):
+def _signal_documents(spark, sf):
     ids = table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("signal_id"), F.lit(512).alias("fs"), F.lit(1.5).alias("offset_db"), F.lit(None).cast("string").alias("filter_json"),
         F.lit(None).cast("string").alias("master_name"), F.array().cast("array<string>").alias("slave_names"),
     )
     rows = curves(spark, sf).select(F.col("curve_id").alias("signal_id"), F.lit("avg").alias("kind"), "f", "db")
-    docs = K.signal_json(ids, rows).select(F.col("signal_id").cast("string").alias("path"), "content")
-    return D.curve_points(D.project_signals(docs)).select("name", "kind", "f", (F.col("db") + 0.0).alias("db"))
+    return K.signal_json(ids, rows).select(F.col("signal_id").cast("string").alias("path"), "content")
+
+
+@query("project_documents", sql_with("curves") + "select cast(curve_id as varchar) as name, 'avg' as kind, f, round(db, 6) + 0.0 as db from curves")
+def project_documents(spark, sf):
+    points = D.curve_points(D.project_signals(_signal_documents(spark, sf)))
+    return points.select("name", "kind", "f", (F.col("db") + 0.0).alias("db"))
+
+
+def _write_gzip(folder):
+    def write(frames):
+        for frame in frames:
+            for name, content in zip(frame["path"], frame["content"]):
+                put_file(f"{folder}/{name}.signal", gzip.compress(content.encode()))
+            yield frame[["path"]]
+
+    return write
+
+
+@query("gzip_projects", sql_with("curves") + "select cast(curve_id as varchar) as name, 'avg' as kind, f, round(db, 6) + 0.0 as db from curves")
+def gzip_projects(spark, sf):
+    """The same documents as gzip files whose extension says nothing."""
+    folder = f"{shared_dir(spark)}/projects-{uuid.uuid4().hex}"
+    _signal_documents(spark, sf).mapInPandas(_write_gzip(folder), "path string").write.format("noop").mode("overwrite").save()
+    points = D.curve_points(D.project_signals(D.read_projects(spark, folder)))
+    return points.select("name", "kind", "f", (F.col("db") + 0.0).alias("db"))
 
 
 @query("catalogue_documents", sql_with("catalogue") + """select cast(cast(idx as bigint) % 64 as varchar) as idx, cast(cast(idx as bigint) // 64 as varchar) as file, title, author, case when year % 10 = 0 then 0 else year end as year,

@@ -292,9 +292,9 @@ def device_patch_ops(spark, sf):
     return O.device_ops(filters(spark, sf))
 
 
-@query("device_unsupported", sql_with("filters") + "select filter_set_id, ['APF'] as types from filters where kind = 'AllPass' group by 1")
+@query("device_unsupported", sql_with("filters") + "select filter_set_id, 'APF' as types from filters where kind = 'AllPass' group by 1")
 def device_unsupported(spark, sf):
-    return O.unsupported(filters(spark, sf))
+    return O.unsupported(filters(spark, sf)).withColumn("types", F.array_join("types", ","))
 
 
 @query("device_slots", W + """, o as (select *, coalesce(sum(copies) over (partition by filter_set_id order by seq rows between unbounded preceding and 1 preceding)  , 0) as done,

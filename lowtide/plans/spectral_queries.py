@@ -186,11 +186,11 @@ def segment_length(spark, sf):
                         P.segment_length(F.col("fs"), F.col("n"), 1).alias("half_resolution"))
 
 
-@query("frames", W + ", " + sql_spectrum("samples", "hann", nper="16") + """, raw as (select f.signal_id, frame, list(s.v order by s.i) as x
- from fr f join samples s on s.signal_id = f.signal_id and s.i between frame*hop and frame*hop + nper - 1 group by all)
-select signal_id, cast(frame as bigint) as frame, x from raw""")
+@query("frames", W + ", " + sql_spectrum("samples", "hann", nper="16") + """, raw as (select f.signal_id, frame, s.i - frame*hop as j, s.v
+ from fr f join samples s on s.signal_id = f.signal_id and s.i between frame*hop and frame*hop + nper - 1)
+select signal_id, cast(frame as bigint) as frame, cast(j as integer) as j, v from raw""")
 def frames(spark, sf):
-    return P.frames(sample_blocks(spark, sf), KEY, 16).select(*KEY, "frame", "x")
+    return P.frames(sample_blocks(spark, sf), KEY, 16).select(*KEY, "frame", F.posexplode("x").alias("j", "v"))
 
 
 @query("avg_spectrum", W + ", " + sql_spectrum("samples", "hann") + MEAN + ROUND_F)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lowtide.operators import samples as S
 from lowtide.operators.ordering import with_position
-from lowtide.session import materialise
+from lowtide.session import materialise_at
 
-_STORED: dict[tuple, DataFrame] = {}
+_STORED: dict[tuple, tuple[str, StructType]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,11 +19,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    """A derived table stored once per application, as a user keeps a sample table."""
+    """A derived table stored once per application, as a user keeps a sample table;
+    it is made again if its folder has been cleared."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _STORED:
-        _STORED[key] = materialise(build(), name)
-    return _STORED[key]
+    if key in _STORED:
+        path, schema = _STORED[key]
+        try:
+            return spark.read.schema(schema).parquet(path)
+        except AnalysisException:
+            pass
+    df, path = materialise_at(build(), name)
+    _STORED[key] = (path, df.schema)
+    return df
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:

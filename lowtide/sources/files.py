@@ -33,12 +33,22 @@ def stem(path):
     return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
 
 
+def _store(path: str):
+    if path.startswith("file:") or "://" not in path:
+        return arrow_fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return arrow_fs.FileSystem.from_uri(quote(path, safe=":/?&=@%"))
+
+
 def open_range(path: str, offset: int, size: int) -> bytes:
     """Bytes of a file on any filesystem Arrow knows."""
-    if path.startswith("file:"):
-        store, inner = arrow_fs.LocalFileSystem(), "/" + path[len("file:"):].lstrip("/")
-    else:
-        store, inner = arrow_fs.FileSystem.from_uri(quote(path, safe=":/?&=@%"))
+    store, inner = _store(path)
     with store.open_input_file(inner) as f:
         f.seek(offset)
         return f.read(size)
+
+
+def put_file(path: str, content: bytes) -> None:
+    store, inner = _store(path)
+    store.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+    with store.open_output_stream(inner) as f:
+        f.write(content)

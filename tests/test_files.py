@@ -128,7 +128,7 @@ def test_projects(spark, tmp_path):
          "bm": {"lpf_fs": 80, "lpf_position": "Before", "headroom_type": "WCS"}, "clip": {"before": True, "after": False}, "offset": "0"},
         channel("solo", duration_hhmmss="1:02:05.5", start_seconds=3.5),
     ]
-    (tmp_path / "p.beq").write_bytes(gzip.compress(json.dumps(project).encode()))
+    (tmp_path / "p.bin").write_bytes(gzip.compress(json.dumps(project).encode()))
     (tmp_path / "s.signal").write_bytes(gzip.compress(json.dumps(channel("single")).encode()))
     signals = D.project_signals(D.read_projects(spark, str(tmp_path)))
     rows = {r.name: r for r in signals.collect()}
