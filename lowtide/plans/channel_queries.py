@@ -81,8 +81,9 @@ def high_passed_mains(spark, sf):
     return _out(S.from_blocks(M.high_pass_mains(channel_blocks(spark, sf), KEYS, 6.0), KEYS))
 
 
-@query("mono_mix", W + """select title, i, round(sum(v*case when channel = 'LFE' then pow(10.0::double, -10.2::double/20) else pow(10.0::double, -20.2::double/20) end), 8) + 0.0 as v
- from channel_samples group by all""")
+@query("mono_mix", W + """, n as (select title, count(distinct channel) as n, bool_or(channel = 'LFE') as has_lfe from channel_samples group by 1)
+select title, i, round(sum(v*case when not has_lfe then 1.0::double/n when channel = 'LFE' then pow(10.0::double, -10.2::double/20) else pow(10.0::double, -20.2::double/20) end), 8) + 0.0 as v
+ from channel_samples join n using (title) group by all""")
 def mono_mix(spark, sf):
     return _out(M.mono_mix(channel_samples(spark, sf)))
 
