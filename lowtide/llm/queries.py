@@ -2,6 +2,8 @@
 
 from lowtide.llm import (  # noqa: F401
     chunk_dedup,
+    mixing,
+    packing,
     sharding,
 )
 from lowtide.llm.registry import ORACLES, QUERIES
