@@ -4,6 +4,7 @@ from lowtide.llm import (  # noqa: F401
     chunk_dedup,
     link_trust,
     mixing,
+    near_dedup,
     packing,
     sharding,
 )
