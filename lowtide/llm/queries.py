@@ -2,6 +2,7 @@
 
 from lowtide.llm import (  # noqa: F401
     chunk_dedup,
+    language,
     link_trust,
     mixing,
     near_dedup,
