@@ -7,6 +7,7 @@ from lowtide.llm import (  # noqa: F401
     mixing,
     near_dedup,
     packing,
+    quality,
     sharding,
 )
 from lowtide.llm.registry import ORACLES, QUERIES
