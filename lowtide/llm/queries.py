@@ -3,12 +3,14 @@
 from lowtide.llm import (  # noqa: F401
     chunk_dedup,
     language,
+    line_dedup,
     link_trust,
     mixing,
     near_dedup,
     packing,
     quality,
     sharding,
+    span_dedup,
 )
 from lowtide.llm.registry import ORACLES, QUERIES
 
