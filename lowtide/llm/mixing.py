@@ -134,19 +134,15 @@ def mix(docs: DataFrame, size: str, weights: Sequence[float] = (5, 2, 1), most:
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix, each as often as it is taken; those without words are left out.
 
-    Only ids and sizes go through the ranking; texts are joined to their copies once.
+    Only ids and sizes go through the ranking; texts are joined to their copies once. Rows that repeat an id, text and
+    source go together: they are one document of all their words here, and each of them comes as often as it is taken.
     """
-    key = {"_id": F.col("doc_id"), "_hash": F.xxhash64("text", "source")}
-    slim = docs.select("source", word_count("text").alias("_words"), *[c.alias(n) for n, c in key.items()])
-    picked = mix(slim, "_words", id="_id", **options).where("taken > 0").groupBy("_id", "_hash").agg(
-        F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")
-    )
-    # Rows that repeat an id and text are alike: the first of them carries all their copies.
-    rows = docs.withColumns(key)
-    repeated = rows.join(picked, rows["_id"].eqNullSafe(picked["_id"]) & (rows["_hash"] == picked["_hash"]))
-    many = repeated.where("_rows > 1").dropDuplicates(["doc_id", "text", "source"])
-    out = repeated.where("_rows = 1").unionByName(many)
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    names = docs.columns
+    rows = docs.withColumns({"_id": F.col("doc_id"), "_hash": F.xxhash64("text", "source")})
+    slim = rows.groupBy("source", "_id", "_hash").agg(F.sum(word_count("text")).alias("_words"))
+    picked = mix(slim, "_words", id="_id", **options).where("taken > 0").select(F.col("_id").alias("_of"), F.col("_hash").alias("_with"), "copies")
+    out = rows.join(picked, rows["_id"].eqNullSafe(picked["_of"]) & (rows["_hash"] == picked["_with"]))
+    return out.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(*names)
 
 
 @query("op2_mixing")

@@ -242,7 +242,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, trees: int = TREES, depth: int = DEPTH, node: int = NODE) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every document.
+    """(doc_id, place, n_shingles, component_id, kept) for every document; ``place`` hashes the text.
 
     Documents are linked when 100 times the shared shingles reach 75 times all their shingles; ``component_id`` is the
     least ``doc_id`` reachable. Equal sets are one class and are never paired; a class is represented by one text.
@@ -260,12 +260,20 @@ def near_duplicates(docs: DataFrame, trees: int = TREES, depth: int = DEPTH, nod
     named = materialise(named.select("set_id", "_least", F.coalesce("root", "set_id").alias("root")), "named")
     least = named.groupBy("root").agg(F.min("_least").alias("_component"))
     classes = named.join(least, "root").select("set_id", "_component")
-    out = rows.select("doc_id", "n_shingles", "set_id").join(classes, "set_id", "left")
+    out = rows.select("doc_id", "place", "n_shingles", "set_id").join(classes, "set_id", "left")
     component = F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("_component"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "place", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """The documents that stay, with all their columns; rows that repeat an id and text are one document."""
+    stay = near_duplicates(docs.select("doc_id", "text"), **options).where("kept").select(F.col("doc_id").alias("_doc"), F.col("place").alias("_place")).distinct()
+    rows = docs.withColumn("_at", F.xxhash64("text"))
+    found = rows.join(stay, rows["doc_id"].eqNullSafe(stay["_doc"]) & (rows["_at"] == stay["_place"]), "left_semi")
+    return found.select(*docs.columns)
 
 
 @query("op4_near_dedup")
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents."""
-    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("place")

@@ -15,36 +15,65 @@ from lowtide.llm.registry import query, table
 from lowtide.llm.text import mixed, signed
 from lowtide.session import materialise
 
-#: Consecutive sentences of a span, and the words it has at least.
+#: Consecutive sentences and words that a span has at least.
 SENTENCES = 3
-LEAST_WORDS = 12
+LEAST_WORDS = 20
+#: A sentence of more words is cut further, by its hash after one word in CUT.
+LONG = 16
+CUT = 8
+WORD = re.compile(r"\S+")
 #: What stands between sentences: white space after an end mark, line ends, and the place after a full-width end mark.
 BETWEEN = re.compile(r"(?<=[.!?])\s+|\n\s*|(?<=[。！？])\s*")
 
 
 def sentence_starts(text: str) -> list[int]:
-    """Where sentences begin; each reaches to the next, with the white space in between."""
-    starts = [0] + [m.end() for m in BETWEEN.finditer(text)]
-    return [s for s in dict.fromkeys(starts) if s < len(text)]
+    """Where sentences begin; each reaches to the next, with the white space in between.
 
-
-def span_keys(text: str, sentences: int = SENTENCES, least_words: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first sentence, 64-bit key, 32-bit check) of every span with enough words; case and white space do not count."""
+    A sentence of more than LONG words is cut further, where its own words say so: after a comma, semicolon or colon, and
+    after one word in CUT by its hash. So a repeated passage without end marks has boundaries too, wherever it stands.
+    """
+    ends = [m.end() for m in BETWEEN.finditer(text)]
+    starts = []
+    for a, b in zip([0, *ends], [*ends, len(text)]):
+        if a < b and (not starts or a > starts[-1]):
+            starts.append(a)
+            if len(text[a:b].split()) > LONG:
+                cut = False
+                for m in WORD.finditer(text, a, b):
+                    if cut:
+                        starts.append(m.start())
+                    word = m.group()
+                    cut = word[-1] in ",;:" or xxhash.xxh3_64_intdigest(word.lower()) % CUT == 0
+    return starts
+
+
+def span_ends(words: np.ndarray, sentences: int, least_words: int) -> np.ndarray:
+    """The sentence after each span, given the words of each sentence: the shortest run from each sentence on with
+    enough sentences and enough words. The last sentences, from which there is none, have no entry."""
+    count = np.concatenate([[0], np.cumsum(words)])
+    ends = np.maximum(np.arange(len(words)) + sentences, np.searchsorted(count, count[:-1] + least_words))
+    return ends[ends <= len(words)]
+
+
+def _rolled(h: np.ndarray, ends: np.ndarray, step: int) -> np.ndarray:
+    """Polynomial hashes, modulo 2**64, of the runs from each sentence to its end."""
+    ratio = np.full(len(h) + 1, step, np.uint64)
+    ratio[0] = 1
+    power = np.multiply.accumulate(ratio)
+    back = np.multiply.accumulate(np.concatenate([ratio[:1], np.full(len(h), pow(step, -1, 1 << 64), np.uint64)]))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * power[:-1], dtype=np.uint64)])
+    at = np.arange(len(ends))
+    return mixed((total[ends] - total[at]) * back[at] + (ends - at).astype(np.uint64))
+
+
+def span_keys(text: str, sentences: int = SENTENCES, least_words: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit key and a 32-bit check of the span from each sentence on; case and white space do not count."""
     starts = sentence_starts(text)
     words = [text[a:b].lower().split() for a, b in zip(starts, [*starts[1:], len(text)])]
-    n = len(words) - sentences + 1
-    if n <= 0:
-        empty = np.zeros(0, np.int64)
-        return empty, empty, empty.astype(np.int32)
+    ends = span_ends(np.fromiter(map(len, words), np.int64, len(words)), sentences, least_words)
     h = np.fromiter((xxhash.xxh3_64_intdigest(" ".join(w)) for w in words), np.uint64, len(words))
-    key, check = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-    for k in range(sentences):
-        part = h[k : k + n]
-        key = mixed(key + part)
-        check = mixed(check * np.uint64(31) + part + np.uint64(k + 1))
-    count = np.cumsum([0] + [len(w) for w in words])
-    at = np.flatnonzero(count[sentences:] - count[:n] >= least_words)
-    return at, signed(key[at]), (check[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    check = _rolled(mixed(h), ends, 0x2545F4914F6CDD1D) >> np.uint64(32)
+    return signed(_rolled(h, ends, 0x9E3779B97F4A7C15)), check.astype(np.uint32).view(np.int32)
 
 
 def spans(docs: DataFrame, sentences: int = SENTENCES, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -56,12 +85,13 @@ def spans(docs: DataFrame, sentences: int = SENTENCES, least_words: int = LEAST_
             doc_ids, places = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             found = [span_keys(t or "", sentences, least_words) for t in batch.column(2).to_pylist()]
             again = []
-            for _, key, check in found:
+            for key, check in found:
                 once = np.ones(len(key), bool)
                 once[np.unique(np.stack([key, check.astype(np.int64)]), axis=1, return_index=True)[1]] = False
                 again.append(once)
-            ends = np.cumsum([0] + [len(at) for at, _, _ in found])
-            columns = [np.concatenate(c) if found else np.zeros(0) for c in ([f[0] for f in found], [f[1] for f in found], [f[2] for f in found], again)]
+            ends = np.cumsum([0] + [len(key) for key, _ in found])
+            at = [np.arange(len(key)) for key, _ in found]
+            columns = [np.concatenate(c) if found else np.zeros(0) for c in (at, [f[0] for f in found], [f[1] for f in found], again)]
             rows = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind)], fields=list(kind))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
             yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(places, pa.int64()), lists], ["doc_id", "place", "spans"])
@@ -85,21 +115,25 @@ def repeated(docs: DataFrame, sentences: int = SENTENCES, least_words: int = LEA
     return later.groupBy("doc_id", "place").agg(F.collect_set("at").alias("spans"))
 
 
-def without(text: str, first: list[int], sentences: int = SENTENCES) -> tuple[str, int]:
+def without(text: str, first: list[int], sentences: int = SENTENCES, least_words: int = LEAST_WORDS) -> tuple[str, int]:
     """The text without the sentences of the spans that begin at ``first``, and their number."""
     starts = sentence_starts(text)
-    gone = np.zeros(len(starts), bool)
-    for k in range(sentences):
-        gone[np.asarray(first) + k] = True
-    kept = [text[a:b] for a, b, g in zip(starts, [*starts[1:], len(text)], gone) if not g]
-    return "".join(kept).rstrip() if gone[-1] else "".join(kept), int(gone.sum())
+    bounds = list(zip(starts, [*starts[1:], len(text)]))
+    ends = span_ends(np.array([len(text[a:b].split()) for a, b in bounds]), sentences, least_words)
+    edges = np.zeros(len(starts) + 1, np.int64)
+    np.add.at(edges, first, 1)
+    np.add.at(edges, ends[first], -1)
+    gone = np.cumsum(edges[:-1]) > 0
+    kept = "".join(text[a:b] for (a, b), g in zip(bounds, gone) if not g)
+    return kept.rstrip() if gone[-1] else kept, int(gone.sum())
 
 
 def deduplicate(docs: DataFrame, sentences: int = SENTENCES, least_words: int = LEAST_WORDS) -> DataFrame:
     """All rows, ``text`` without the sentences covered by a repeated span, and ``removed_sentences``.
 
-    Sentences end after ``. ! ?`` before white space, at line ends, and after full-width end marks. Every run of
-    ``sentences`` consecutive ones with at least ``least_words`` words is a span; spans are equal in everything but case
+    Sentences end after ``. ! ?`` before white space, at line ends, and after full-width end marks; those of more than
+    16 words are cut into clauses. From each one on, the shortest run of at least ``sentences`` of them with at least
+    ``least_words`` words is a span; spans are equal in everything but case
     and white space, by 96 bits of hash. The first place of a span stays: in the least ``doc_id`` (null before all), the
     first one. Rows with equal ids count as one document, so neither removes from the other and repeated rows stay
     alike. Null and empty texts and those of fewer sentences stay as they are. A text that loses all its sentences
@@ -118,7 +152,7 @@ def deduplicate(docs: DataFrame, sentences: int = SENTENCES, least_words: int =
             texts, n = batch.column(text_at).to_pylist(), [0] * batch.num_rows
             for i, first in enumerate(batch.column(len(names)).to_pylist()):
                 if first:
-                    texts[i], n[i] = without(texts[i], first, sentences)
+                    texts[i], n[i] = without(texts[i], first, sentences, least_words)
             columns = [batch.column(k) for k in range(len(names))]
             columns[text_at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64())], [*names, "removed_sentences"])
