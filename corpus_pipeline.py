@@ -14,7 +14,10 @@ ORACLE_SQL = None
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and whose histograms are near a language reference of this input."""
-    return quality.judge(docs, quality.references(docs)).where("kept").select(*docs.columns)
+    # The row number keeps the optimizer from moving the test below the counts, where it would compute each of them anew
+    # for every use.
+    judged = quality.judge(docs, quality.references(docs)).withColumn("_row", F.monotonically_increasing_id())
+    return judged.where("kept AND _row >= 0").select(*docs.columns)
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
