@@ -16,10 +16,12 @@ from lowtide.session import materialise
 
 #: Words of the budget that the dynamic programming fits; longer budgets are first filled in proportion.
 DP_WIDTH = 1 << 16
+#: A source's words miss its target by no more than this share, or its documents may come more often.
+NEAR = 0.002
 
 
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, width: int = DP_WIDTH) -> np.ndarray:
-    """How many documents of each length to take so that their words come as near to ``budget`` from below as they can.
+    """How many documents of each length to take so that their words come as near to ``budget`` as they can.
 
     Lengths are filled in proportion to their counts, then, long ones first, until about ``width`` words are open. A
     bounded knapsack over the documents still free fills the rest: ``by`` holds the length that first reached a sum, and
@@ -41,20 +43,21 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, width: int = DP_WI
         i = next(i for i in order[::-1] if taken[i])
         taken[i] -= 1
         open_words += int(lengths[i])
-    by = np.full(open_words + 1, -1, np.int64)
+    by = np.full(2 * open_words + 1, -1, np.int64)  # beyond twice the open words, nothing is nearer than none
     by[0] = len(lengths)
     for i in order:
         length, free = int(lengths[i]), int(counts[i] - taken[i])
         before = by >= 0
         if before[open_words]:
             break
-        for k in range(1, min(free, open_words // length) + 1):
-            sums = np.flatnonzero(before[: open_words + 1 - k * length]) + k * length
+        for k in range(1, min(free, 2 * open_words // length) + 1):
+            sums = np.flatnonzero(before[: 2 * open_words + 1 - k * length]) + k * length
             sums = sums[by[sums] < 0]
             if not len(sums):
                 break
             by[sums] = i
-    at = int(np.flatnonzero(by >= 0)[-1])
+    reached = np.flatnonzero(by >= 0)
+    at = int(reached[np.abs(reached - open_words).argmin()])
     while at:
         i = by[at]
         while at and by[at] == i:
@@ -94,12 +97,12 @@ def targets(sources: DataFrame, weights: Sequence[float], most: int) -> DataFram
 def mix(docs: DataFrame, size: str, weights: Sequence[float] = (5, 2, 1), most: int = 3, seed: int = 17, id: str = "doc_id") -> DataFrame:
     """Adds ``source_size``, ``target``, ``copies`` and ``taken`` to rows with ``source``, an id and a size.
 
-    A source takes every document as often as its target holds the whole source, and fills what is left with a subset
-    whose words fit it (see ``fit``): documents are counted by exact size, so one group is a source's distinct sizes,
-    however many rows it has. Of the documents of a source and size, those with the lowest seeded hash of the id are
-    taken; ranks come from a range shuffle, so a hot source or size is spread over tasks. Reruns agree.
+    Documents are counted by exact size, and the copies of each size are chosen so that a source's words fit its target
+    (see ``fit``): one group is a source's distinct sizes, however many rows it has. The documents of a source and size
+    share their copies evenly; what is left over goes to those with the lowest seeded hash of the id. Ranks come from a
+    range shuffle, so a hot source or size is spread over tasks. Reruns agree.
 
-    A null source is a source of its own. A document without words has ``copies`` of the full passes and takes none.
+    A null source is a source of its own. A document without words has no copies and takes none.
     Rows that repeat an id and size are documents of their own, and any of them may be the one taken. A source of no
     words and an empty table have targets of 0 and no rows. Columns of the added names must not be in ``docs``.
     """
@@ -109,13 +112,19 @@ def mix(docs: DataFrame, size: str, weights: Sequence[float] = (5, 2, 1), most:
 
     def plan(pdf: pd.DataFrame) -> pd.DataFrame:
         total, target = int(pdf["source_size"].iloc[0]), float(pdf["target"].iloc[0])
-        passes = min(most, int(target // total)) if total else 0
         lengths, counts = pdf["_size"].to_numpy(np.int64), pdf["_n"].to_numpy(np.int64)
-        extra = np.zeros(len(pdf), np.int64)
         words = lengths > 0
-        if total and passes < most:
-            extra[words] = fit(lengths[words], counts[words], round(target - passes * total))
-        return pd.DataFrame({"source": pdf["source"], "_size": lengths, "source_size": total, "target": target, "_passes": passes, "_extra": extra})
+        best, chosen = float("inf"), np.zeros(len(pdf), np.int64)
+        # Copies are spread evenly; a document comes more often only where the target is not met otherwise.
+        for copies in range(min(most, int(target // total) + 1), most + 1) if total else ():
+            taken = np.zeros(len(pdf), np.int64)
+            taken[words] = fit(lengths[words], counts[words] * copies, round(target))
+            miss = abs(float((taken * lengths).sum()) - target)
+            if miss < best:
+                best, chosen = miss, taken
+            if best <= NEAR * target:
+                break
+        return pd.DataFrame({"source": pdf["source"], "_size": lengths, "source_size": total, "target": target, "_passes": chosen // counts, "_extra": chosen % counts})
 
     known = sizes.join(aims, sizes["source"].eqNullSafe(aims["source"])).select(sizes["source"], "_size", "_n", "source_size", "target")
     plans = known.groupBy("source").applyInPandas(
