@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,15 +24,25 @@ WINDOW = 4096
 END_ID = 2
 #: Pieces differenced together; the table is dealt into blocks of about this many.
 BLOCK = 1024
-#: Distinct words whose ids a task remembers before it starts over.
-WORDS_KEPT = 300_000
+#: Distinct words, and parts of words, whose ids a Python worker remembers; of the words the more used half then stays.
+WORDS_KEPT = 400_000
+PARTS_KEPT = 400_000
+# The vocabulary's pattern for parts of words, and its characters for bytes (printable Latin-1 stands for
+# itself, the other bytes follow from 256 on).
+PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARACTERS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
+#: Words that the normaliser only lower-cases.
+PLAIN = regex.compile(r"[!-~\u00A1-\u00AC\u00AE-\u024F]+")
 
 
 class WordIds:
     """Token ids of texts, word by word.
 
     The tokenizer cuts at white space before anything else, so the ids of a text are those of its words in order; each
-    distinct word is encoded once and texts are put together by array lookups.
+    distinct word is encoded once and texts are put together by array lookups. Words of printable Latin characters are
+    cut by the tokenizer's own pattern and given to its merge model part by part (its normaliser only lower-cases
+    them); all others go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -36,38 +50,76 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.forget()
-
-    def forget(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.start = np.zeros(1, np.int64)
-        self.count = np.zeros(1, np.int64)
-        self.ids = np.zeros(0, np.uint32)
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.number) + len(words) > WORDS_KEPT:
-            self.forget()
-        new = [w for w in words if w not in self.number]
-        if not new:
+        self.parts: dict[str, list[int]] = {}
+        self._keep(np.zeros(0, np.int64))
+
+    def _keep(self, at: np.ndarray) -> None:
+        """Only the words numbered ``at`` stay."""
+        if not len(at):
+            self.number: dict[bytes, int] = {}
+            self.count = self.start = self.used = np.zeros(0, np.int64)
+            self.ids = np.zeros(0, np.uint32)
             return
-        coded = [e.ids for e in self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)]
-        base, self.start, self.count = len(self.number), self.start[: len(self.number)], self.count[: len(self.number)]
-        count = np.fromiter(map(len, coded), np.int64, len(coded))
-        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(count) - count])
-        self.count = np.concatenate([self.count, count])
-        self.ids = np.concatenate([self.ids, np.fromiter((i for ids in coded for i in ids), np.uint32, int(count.sum()))])
-        self.number.update(zip(new, range(base, base + len(new))))
+        words = list(self.number)
+        self.ids = self._gather(at)
+        self.count, self.used = self.count[at], self.used[at]
+        self.start = np.cumsum(self.count) - self.count
+        self.number = {words[i]: k for k, i in enumerate(at.tolist())}
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        """Ids of known words in order, and the end id."""
-        at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+    def _gather(self, at: np.ndarray) -> np.ndarray:
         count = self.count[at]
-        total = int(count.sum())
         first = np.repeat(self.start[at] - (np.cumsum(count) - count), count)
-        out = np.empty(total + 1, np.uint32)
-        out[:-1] = self.ids[first + np.arange(total)]
-        out[-1] = END_ID
-        return out
+        return self.ids[first + np.arange(len(first))]
+
+    def _part(self, part: str) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            if len(self.parts) > PARTS_KEPT:
+                self.parts.clear()
+            as_bytes = part if part.isascii() else part.encode().decode("latin-1").translate(BYTE_CHARACTERS)
+            ids = self.parts[part] = array("I", [token.id for token in self.tokenizer.model.tokenize(as_bytes)]).tobytes()
+        return ids
+
+    def _word(self, word: str) -> bytes:
+        if not (word.isascii() and word.isprintable() or PLAIN.fullmatch(word)):
+            return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        word = word.lower()
+        return self._part(word) if word.isalpha() else b"".join(map(self._part, PARTS.findall(word)))
+
+    def _learn(self, words: list[bytes]) -> None:
+        coded = [self._word(w.decode()) for w in words]
+        count = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words))))
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(count) - count])
+        self.count = np.concatenate([self.count, count])
+        self.used = np.concatenate([self.used, np.zeros_like(count)])
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(coded), np.uint32)])
+
+    def code(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of each text, and the end id."""
+        words: list[bytes] = []
+        ends = []
+        for text in texts:
+            words += text.split()
+            ends.append(len(words))
+        at = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(at < 0).tolist()
+        if new:
+            self._learn(list({words[i] for i in new}))
+            at[new] = [self.number[words[i]] for i in new]
+        ids = self._gather(at)
+        cuts = np.concatenate([[0], np.cumsum(self.count[at])])[ends]
+        self.used += np.bincount(at, minlength=len(self.used))
+        if len(self.number) > WORDS_KEPT:
+            self._keep(np.sort(np.argsort(-self.used, kind="stable")[: WORDS_KEPT // 2]))
+            self.used //= 2
+        return [np.append(part, np.uint32(END_ID)) for part in np.split(ids, cuts[:-1])]
+
+
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """One coder per Python worker: what it has learned serves later tasks."""
+    return WordIds(path)
 
 
 def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
@@ -77,16 +129,11 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, with_ids: bool
         schema = schema.append(pa.field("ids", pa.list_(pa.int32())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordIds(tokenizer)
+        coder = word_ids(tokenizer)
 
-        def cut(doc_ids: list, texts: list[list[bytes]]) -> pa.RecordBatch:
-            known = set()
-            for words in texts:
-                known.update(words)
-            coder.learn(known)
+        def cut(doc_ids: list, texts: list[bytes]) -> pa.RecordBatch:
             rows: list[list] = [[] for _ in schema]
-            for doc_id, words in zip(doc_ids, texts):
-                ids = coder.of(words)
+            for doc_id, ids in zip(doc_ids, coder.code(texts) if texts else ()):
                 for at in range(0, len(ids), window):
                     part = ids[at : at + window]
                     row = [doc_id, at, len(part), zlib.crc32(part.astype("<u4").tobytes()), len(ids)]
@@ -98,7 +145,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, with_ids: bool
             doc_ids, texts, size = [], [], 0
             for doc_id, raw in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
                 doc_ids.append(doc_id)
-                texts.append(raw.split())
+                texts.append(raw)
                 size += len(raw)
                 if size > 1 << 21:
                     yield cut(doc_ids, texts)
