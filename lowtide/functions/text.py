@@ -28,9 +28,18 @@ def signed(v: Column, text: Column) -> Column:
 
 
 def plain(v: Column) -> Column:
-    """A double in full without an exponent, at least one decimal."""
-    s = _strip(v.cast("string").cast("decimal(38,20)").cast("string"))
-    return F.when(F.instr(s, ".") > 0, s).otherwise(F.concat(s, F.lit(".0")))
+    """A double in full without an exponent, with the fewest digits that tell it apart, at least one decimal."""
+    v = v.cast("double") + F.lit(0.0)
+    parts = F.split(F.abs(v).cast("string"), "E")
+    mantissa = F.split(parts[0], r"\.")
+    digits = F.concat(mantissa[0], F.coalesce(F.get(mantissa, F.lit(1)), F.lit("")))
+    point = F.length(mantissa[0]) + F.coalesce(F.get(parts, F.lit(1)).cast("int"), F.lit(0))
+    none = F.lit(0)
+    wide = F.concat(F.repeat(F.lit("0"), F.greatest(1 - point, none)), digits, F.repeat(F.lit("0"), F.greatest(point - F.length(digits), none)))
+    cut = F.greatest(point, F.lit(1))
+    s = _strip(F.concat(F.substring(wide, F.lit(1), cut), F.lit("."), F.substring(wide, cut + 1, F.length(wide))))
+    s = F.when(F.instr(s, ".") > 0, s).otherwise(F.concat(s, F.lit(".0")))
+    return F.when(v < 0, F.concat(F.lit("-"), s)).otherwise(s)
 
 
 def padded(v: Column, width: int = 5) -> Column:

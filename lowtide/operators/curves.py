@@ -192,16 +192,18 @@ def _savgol(window: int, order: int):
         for y in values:
             y = np.asarray(y, dtype=float)
             if len(y) < window:
-                raise ValueError(f"curve of {len(y)} points is shorter than the window of {window}")
+                out.append(np.full(len(y), np.nan))
+                continue
             inner = np.convolve(y, hat[half][::-1], mode="valid")
             out.append(np.concatenate([(hat @ y[:window])[:half], inner, (hat @ y[-window:])[half + 1:]]))
         return pd.Series(out)
 
-    return F.pandas_udf(smooth, T.ArrayType(T.DoubleType()))
+    return F.pandas_udf(smooth, T.ArrayType(T.DoubleType())).asNondeterministic()
 
 
 def smooth_polynomial(curve: DataFrame, keys: Sequence[str], kind: str = "SG") -> DataFrame:
-    """Savitzky-Golay smoothing; ``SG`` or ``SG/window/order``. Ends are fitted too."""
+    """Savitzky-Golay smoothing; ``SG`` or ``SG/window/order``. Ends are fitted too. A curve of fewer points than the
+    window cannot be smoothed: its levels are NaN, and other curves are not held up by it."""
     parts = kind.split("/")
     window, order = (int(parts[1]), int(parts[2])) if len(parts) > 1 else (SAVGOL_WINDOW, SAVGOL_ORDER)
     whole = curve.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("f", "db"))).alias("_c"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lowtide.functions import biquad, text
-from lowtide.functions.tables import DEVICE_SLOTS, bessel_table
+from lowtide.functions.tables import DEVICE_SLOTS, MAX_PASS_ORDER, bessel_table
 from lowtide.operators.ordering import running_sum
 
 SET = "filter_set_id"
@@ -87,7 +87,8 @@ def pass_sections(passes: DataFrame) -> DataFrame:
     with ``sub``, ``kind`` and the section's own ``freq`` and ``q``.
 
     Butterworth angles are computed; a Linkwitz-Riley filter is two Butterworth
-    filters of half the order; Bessel sections come from a fixed-size table.
+    filters of half the order; Bessel sections come from a fixed-size table. Filters that cannot be expanded are left
+    out here and returned by ``rejected_passes``.
     """
     lr = F.col("family") == "LR"
     ok = (F.col("order") >= 1) & ~(lr & (F.col("order") % 2 != 0))
@@ -121,6 +122,21 @@ def pass_sections(passes: DataFrame) -> DataFrame:
     return plain.select(*columns).unionByName(curved.select(*columns))
 
 
+PASS_FAMILIES = ("BW", "LR", "BESP", "BESM3", "BESM6")
+
+
+def rejected_passes(passes: DataFrame) -> DataFrame:
+    """The pass filters that ``pass_sections`` cannot expand, each with the ``reason``."""
+    bessel = F.col("family").startswith("BES")
+    reason = (
+        F.when(F.col("family").isNull() | ~F.col("family").isin(*PASS_FAMILIES), "unknown family")
+        .when(F.col("order").isNull() | (F.col("order") < 1), "order below 1")
+        .when((F.col("family") == "LR") & (F.col("order") % 2 != 0), "odd order")
+        .when(bessel & (F.col("order") > MAX_PASS_ORDER), "order above the table")
+    )
+    return passes.withColumn("reason", reason).where("reason IS NOT NULL")
+
+
 SECTIONS_PER_ROW = 64  # sections folded by one call; larger sets are summed by Spark
 POINTS_PER_ROW = 1024
 
@@ -146,17 +162,21 @@ def _fold(points: int):
         return pd.DataFrame({"db": db, "phase": phase})
 
     numbers = T.ArrayType(T.DoubleType())
-    return F.pandas_udf(response, T.StructType([T.StructField("db", numbers), T.StructField("phase", numbers)]))
+    return F.pandas_udf(response, T.StructType([T.StructField("db", numbers), T.StructField("phase", numbers)])).asNondeterministic()
 
 
-def response(filters: DataFrame, points: int, by: Sequence[str] = (SET,), tasks: int | None = None) -> DataFrame:
+def response(
+    filters: DataFrame, points: int, by: Sequence[str] = (SET,), tasks: int | None = None, sets: DataFrame | None = None
+) -> DataFrame:
     """(by..., fs, k, f, db, phase) of each set on ``points`` frequencies from 0 to half
     the rate.
 
     Only sections are shuffled; the grid is made afterwards, in parts that are spread
     over ``tasks`` (by default four times the shuffle partitions, as the output is far
     larger than what is shuffled). A set of more than ``SECTIONS_PER_ROW`` sections is
-    folded in pieces and the pieces are summed.
+    folded in pieces; the pieces of one part of the grid meet in one task, where they are summed without another
+    shuffle. A set without filters has no row here: give ``sets`` (by..., fs), and those without filters pass through
+    unchanged, at 0 dB.
     """
     by = list(by)
     spark = filters.sparkSession
@@ -167,20 +187,17 @@ def response(filters: DataFrame, points: int, by: Sequence[str] = (SET,), tasks:
         *by, "fs", F.struct(F.col("seq").alias("at"), terms.alias("t")).alias("_r"), piece.cast("long").alias("_piece")
     )
     packed = rows.groupBy(*by, "fs", "_piece").agg(F.flatten(F.array_sort(F.collect_list("_r"))["t"]).alias("_s"))
-    large = packed.where("_piece > 0").select(*by, "fs").distinct()
+    if sets is not None:
+        bare = sets.select(*by, "fs").distinct().join(packed.select(*by, "fs"), [*by, "fs"], "left_anti")
+        packed = packed.unionByName(bare.withColumns({"_piece": F.lit(0).cast("long"), "_s": F.array().cast("array<double>")}))
     starts = F.array(*[F.lit(low) for low in range(0, points, POINTS_PER_ROW)])
 
-    def on_grid(sets: DataFrame) -> DataFrame:
-        parts = sets.withColumn("_low", F.explode(starts)).repartition(tasks, *by, "_piece", "_low")
-        high = F.least(F.col("_low") + POINTS_PER_ROW, F.lit(points)) - 1
-        done = parts.select(*by, "fs", "_low", _fold(points)("_s", "_low", high).alias("_y"))
-        cells = done.select(*by, "fs", "_low", F.posexplode(F.arrays_zip("_y.db", "_y.phase")).alias("_j", "_c"))
-        return cells.select(*by, "fs", (F.col("_low") + F.col("_j")).alias("k"), F.col("_c.db").alias("db"), F.col("_c.phase").alias("phase"))
-
-    key = [*by, "fs"]
-    small = on_grid(packed.join(large, key, "left_anti"))
-    pieces = on_grid(packed.join(large, key, "left_semi")).groupBy(*key, "k").agg(F.sum("db").alias("db"), F.sum("phase").alias("phase"))
-    out = small.unionByName(pieces)
+    parts = packed.withColumn("_low", F.explode(starts)).repartition(tasks, *by, "fs", "_low")
+    high = F.least(F.col("_low") + POINTS_PER_ROW, F.lit(points)) - 1
+    done = parts.select(*by, "fs", "_low", _fold(points)("_s", "_low", high).alias("_y"))
+    cells = done.select(*by, "fs", "_low", F.posexplode(F.arrays_zip("_y.db", "_y.phase")).alias("_j", "_c"))
+    summed = cells.groupBy(*by, "fs", "_low", "_j").agg(F.sum("_c.db").alias("db"), F.sum("_c.phase").alias("phase"))
+    out = summed.select(*by, "fs", (F.col("_low") + F.col("_j")).alias("k"), "db", "phase")
     return out.withColumn("phase", biquad.wrap_degrees(F.col("phase"))).withColumn("f", F.col("k") * F.col("fs") / (2.0 * points))
 
 
@@ -308,12 +325,13 @@ def unsupported(filters: DataFrame, kinds: Sequence[str] = tuple(DEVICE_TYPE)) -
 
 
 def slot_placement(filters: DataFrame, slots: int = DEVICE_PEQ_SLOTS) -> DataFrame:
-    """Unrolled device filters numbered so the last one takes the last slot."""
+    """Unrolled device filters numbered so the last one takes the last slot. In a set with more of them than slots,
+    ``slot`` is null: it does not fit the device."""
     flat = device_filters(filters).withColumn("_c", copies())
     placed = running_sum(flat, [SET], "seq", F.col("_c"), "_at", inclusive=False)
     total = flat.groupBy(SET).agg(F.sum("_c").alias("_all"))
     out = unroll(placed.join(total, SET))
-    slot = F.lit(slots) - F.col("_all") + F.col("_at") + F.col("copy") - 1
+    slot = F.when(F.col("_all") <= slots, F.lit(slots) - F.col("_all") + F.col("_at") + F.col("copy") - 1)
     return out.select(
         SET, slot.alias("slot"), F.round("freq", 2).alias("freq"), "q", F.round("gain", 3).alias("gain"),
         _lookup(F.col("kind"), DEVICE_TYPE).alias("filter_type"),

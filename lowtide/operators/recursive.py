@@ -66,7 +66,7 @@ def _end_states(frames):
         for rows, x, coef in _batches(frame):
             _, state = _run(x, coef, np.zeros((coef.shape[0], 2, len(rows))))
             for r, e in zip(rows, state.reshape(-1, len(rows)).T):
-                ends[r] = e.tolist()
+                ends[r] = e
         out = frame.drop(columns=["samples"])
         out["n"] = [len(x) for x in frame["samples"]]
         out["state"] = ends
@@ -80,7 +80,7 @@ def _filter_from(frames):
             start = np.stack([np.asarray(frame["state"].iat[r], dtype=float) for r in rows]).T
             y, _ = _run(x, coef, np.ascontiguousarray(start.reshape(coef.shape[0], 2, len(rows))))
             for r, col in zip(rows, y.T):
-                done[r] = col.tolist()
+                done[r] = col
         out = frame.drop(columns=["state", "sos"])
         out["samples"] = done
         yield out
@@ -141,7 +141,7 @@ def _starts(sos: pd.Series, pieces: pd.Series, start: pd.Series) -> pd.Series:
 
 
 _compose_udf = F.pandas_udf(_compose, _PIECE)
-_starts_udf = F.pandas_udf(_starts, T.ArrayType(_STATE))
+_starts_udf = F.pandas_udf(_starts, T.ArrayType(_STATE)).asNondeterministic()  # evaluated once, below a generator
 
 
 def _carry(pieces: DataFrame, keys: list[str], first: DataFrame | None, fanout: int, tiers: int) -> DataFrame:

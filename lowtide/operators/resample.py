@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from functools import reduce
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -17,61 +17,76 @@ KAISER_BETA = 14.0
 PASSBAND = 0.95
 
 
-def _outputs(up: int, down: int):
-    """Each call sees the input samples that reach one output block."""
-    cutoff = PASSBAND * min(1.0, up / down)
-    half = HALF_CYCLES / cutoff
+class _Kernel:
+    """Taps of the conversion from one rate to another, one set for each phase."""
+
+    def __init__(self, fs: int, new_fs: int):
+        common = math.gcd(fs, new_fs)
+        self.up, self.down = new_fs // common, fs // common
+        self.cutoff = PASSBAND * min(1.0, self.up / self.down)
+        self.half = HALF_CYCLES / self.cutoff
+        self.taps = np.arange(int(math.ceil(2 * self.half)) + 1)
+        self.known: dict[int, np.ndarray] = {}
+
+    def begin(self, k: int) -> int:
+        """The first input sample within reach of output ``k``."""
+        return math.ceil(k * self.down / self.up - self.half)
+
+    def at(self, k: int) -> np.ndarray:
+        phase = k * self.down % self.up
+        if phase not in self.known:
+            gap = self.taps - (k * self.down / self.up - self.begin(k))
+            shape = np.i0(KAISER_BETA * np.sqrt(np.clip(1.0 - (gap / self.half) ** 2, 0.0, None))) / np.i0(KAISER_BETA)
+            self.known[phase] = self.cutoff * np.sinc(self.cutoff * gap) * np.where(np.abs(gap) <= self.half, shape, 0.0)
+        return self.known[phase]
 
-    taps = np.arange(int(math.ceil(2 * half)) + 1)
 
-    def kernel(fraction: float) -> np.ndarray:
-        """Taps for an output that lies ``fraction`` after its first input."""
-        gap = taps - fraction
-        shape = np.i0(KAISER_BETA * np.sqrt(np.clip(1.0 - (gap / half) ** 2, 0.0, None))) / np.i0(KAISER_BETA)
-        return cutoff * np.sinc(cutoff * gap) * np.where(np.abs(gap) <= half, shape, 0.0)
+@lru_cache(maxsize=16)
+def _kernel(fs: int, new_fs: int) -> _Kernel:
+    return _Kernel(fs, new_fs)
+
+
+def _converter(new_fs: int):
+    """Each call sees the input samples that reach one output block."""
 
-    def convert(first: pd.Series, x: pd.Series, start: pd.Series, count: pd.Series) -> pd.Series:
-        known: dict[int, np.ndarray] = {}
+    def convert(first: pd.Series, x: pd.Series, start: pd.Series, count: pd.Series, fs: pd.Series) -> pd.Series:
         rows = []
-        for lo, values, at, n in zip(first, x, start, count):
-            ahead = len(taps)
-            values = np.concatenate([np.zeros(ahead), np.asarray(values, dtype=float), np.zeros(2 * ahead)])
+        for lo, values, at, n, rate in zip(first, x, start, count, fs):
+            values = np.asarray(values, dtype=float)
+            if rate == new_fs:
+                rows.append(values[at - lo:at - lo + n])
+                continue
+            kernel = _kernel(int(rate), new_fs)
+            ahead, up, down = len(kernel.taps), kernel.up, kernel.down
+            values = np.concatenate([np.zeros(ahead), values, np.zeros(2 * ahead)])
             views = np.lib.stride_tricks.sliding_window_view(values, ahead)
             out = np.zeros(n)
             for lane in range(min(up, n)):
                 k = at + lane
-                phase = k * down % up
-                begin = math.ceil(k * down / up - half)
-                if phase not in known:
-                    known[phase] = kernel(k * down / up - begin)
-                from_row = begin - lo + ahead
+                from_row = kernel.begin(k) - lo + ahead
                 lanes = len(range(lane, n, up))
                 picked = from_row + down * np.arange(lanes)
                 for c in range(0, lanes, 256):
                     rows_now = np.clip(picked[c:c + 256], 0, len(views) - 1)
-                    out[lane + up * c:lane + up * (c + len(rows_now)):up] = views[rows_now] @ known[phase]
+                    out[lane + up * c:lane + up * (c + len(rows_now)):up] = views[rows_now] @ kernel.at(k)
             rows.append(out)
         return pd.Series(rows)
 
-    return F.pandas_udf(convert, T.ArrayType(T.DoubleType())), half
+    return F.pandas_udf(convert, T.ArrayType(T.DoubleType())).asNondeterministic()
 
 
-def resample(blocks: DataFrame, keys: Sequence[str], fs: int, new_fs: int, block: int = 4096) -> DataFrame:
-    """(keys..., start_i, samples, n) at ``fs`` to the same at ``new_fs``.
+def resample_all(blocks: DataFrame, keys: Sequence[str], new_fs: int, block: int = 4096) -> DataFrame:
+    """(keys..., fs, n, start_i, samples) of any rates to the same at ``new_fs``, in one pass: the rate is a column.
 
-    Every input block goes to the output blocks within reach of the kernel; a
-    group holds one output block and its margin. The result agrees with other
-    high-quality converters within a tolerance, not bit for bit.
+    Every input block goes to the output blocks within reach of the kernel; a group holds one output block and its
+    margin. Series already at ``new_fs`` are only cut anew. The result agrees with other high-quality converters within
+    a tolerance, not bit for bit.
     """
-    if fs == new_fs:
-        return blocks
     keys = list(keys)
-    common = math.gcd(fs, new_fs)
-    up, down = new_fs // common, fs // common
-    convert, half = _outputs(up, down)
-    total = F.ceil(F.col("n") * F.lit(up) / F.lit(down)).cast("long")
-    reach = F.lit(int(math.ceil(half)) + 1)
-    scale = F.lit(up) / F.lit(down)
+    scale = F.lit(float(new_fs)) / F.col("fs")
+    total = F.ceil(F.col("n") * F.lit(new_fs) / F.col("fs")).cast("long")
+    half = F.lit(HALF_CYCLES / PASSBAND) / F.least(F.lit(1.0), scale)
+    reach = (F.ceil(half) + 1).cast("long")
     low = F.greatest(F.floor((F.col("start_i") - reach) * scale), F.lit(0))
     high = F.least(F.ceil((F.col("start_i") + F.size("samples") + reach) * scale), total - 1)
     sent = blocks.where(low <= high).withColumn(
@@ -82,28 +97,20 @@ def resample(blocks: DataFrame, keys: Sequence[str], fs: int, new_fs: int, block
     begin = F.greatest(need_lo, F.col("start_i"))
     count = F.least(need_hi, F.col("start_i") + F.size("samples")) - begin
     sent = sent.where(count > 0).select(
-        *keys, "n", "block_no", begin.alias("_b"),
+        *keys, "fs", "n", "block_no", begin.alias("_b"),
         F.slice("samples", (begin - F.col("start_i") + 1).cast("int"), count.cast("int"))
         .cast("array<double>").alias("_s"),
     )
-    met = sent.groupBy(*keys, "n", "block_no").agg(F.array_sort(F.collect_list(F.struct("_b", "_s"))).alias("_m"))
+    met = sent.groupBy(*keys, "fs", "n", "block_no").agg(F.array_sort(F.collect_list(F.struct("_b", "_s"))).alias("_m"))
     start = F.col("block_no") * block
     size = F.least(F.lit(block), total - start)
     out = met.where(size > 0).withColumn("start_i", start)
     out = out.withColumn(
-        "samples", convert(F.col("_m")[0]["_b"], F.flatten(F.col("_m")["_s"]), F.col("start_i"), size)
+        "samples", _converter(new_fs)(F.col("_m")[0]["_b"], F.flatten(F.col("_m")["_s"]), F.col("start_i"), size, F.col("fs"))
     )
-    return out.withColumn("n", total).withColumn("fs", F.lit(new_fs)).drop("_m")
-
+    return out.select(*keys, F.lit(new_fs).alias("fs"), total.alias("n"), "block_no", "start_i", "samples")
 
-MAX_RATES = 64
 
-
-def resample_all(blocks: DataFrame, keys: Sequence[str], new_fs: int, block: int = 4096) -> DataFrame:
-    """Convert blocks of several rates, one job branch per rate."""
-    rates = [r.fs for r in blocks.select("fs").distinct().limit(MAX_RATES + 1).collect()]
-    if not rates or len(rates) > MAX_RATES:
-        raise ValueError(f"expected 1 to {MAX_RATES} sample rates")
-    names = [*keys, "fs", "n", "block_no", "start_i", "samples"]
-    parts = [resample(blocks.where(F.col("fs") == fs), keys, fs, new_fs, block).select(*names) for fs in rates]
-    return reduce(DataFrame.unionByName, parts)
+def resample(blocks: DataFrame, keys: Sequence[str], fs: int, new_fs: int, block: int = 4096) -> DataFrame:
+    """``resample_all`` for blocks that are all at ``fs``."""
+    return blocks if fs == new_fs else resample_all(blocks.withColumn("fs", F.lit(fs)), keys, new_fs, block)

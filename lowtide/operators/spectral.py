@@ -60,7 +60,8 @@ def _power(name: str):
                 out[r] = row
         return pd.Series(out)
 
-    return F.pandas_udf(spectrum, T.ArrayType(T.DoubleType()))
+    # Said to be nondeterministic so that no filter derived from a generator evaluates it again.
+    return F.pandas_udf(spectrum, T.ArrayType(T.DoubleType())).asNondeterministic()
 
 
 def segment_length(fs: Column, n: Column, shift: int = 0) -> Column:
@@ -178,7 +179,7 @@ def hits(
     f_range: tuple[float, float] = (0.0, 1e9), t_range: tuple[float, float] = (0.0, 1e9),
 ) -> DataFrame:
     """Spectrogram cells over a constant, over each frequency's peak plus a limit, or
-    over each frequency's average; then cut to a frequency and time range."""
+    over each frequency's average; then cut to a frequency and time range. Rows come in no order."""
     keys = list(keys)
     if mode == "constant":
         kept = cells.where(F.col("db") >= limit_db)
@@ -190,7 +191,7 @@ def hits(
         kept = cells.join(least, [*keys, "bin"]).where(F.col("db") >= F.col("_least")).drop("_least")
     else:
         raise ValueError(f"unknown mode {mode}")
-    return kept.where(F.col("f").between(*f_range) & F.col("t").between(*t_range)).orderBy("db")
+    return kept.where(F.col("f").between(*f_range) & F.col("t").between(*t_range))
 
 
 def resolution_options(signals: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -221,7 +222,7 @@ def _transform(folded: pd.Series) -> pd.Series:
 
 
 _POINT = T.StructType([T.StructField(n, T.DoubleType()) for n in ("re", "im")])
-_transform_udf = F.pandas_udf(_transform, T.ArrayType(_POINT))
+_transform_udf = F.pandas_udf(_transform, T.ArrayType(_POINT)).asNondeterministic()
 
 
 def impulse_response_curves(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -237,7 +238,8 @@ def impulse_response_curves(samples: DataFrame, keys: Sequence[str]) -> DataFram
     place = F.map_from_entries(F.collect_list(F.struct("_m", "_v")))
     short = folded.groupBy(*keys, "fs").agg(place.alias("_f")).withColumn("_n", points)
     row = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_n") * 2 - 1), lambda m: F.coalesce(F.try_element_at("_f", m), F.lit(0.0)))
-    h = short.select(*keys, "fs", "_n", F.posexplode(_transform_udf(row)).alias("_k", "h"))
+    h = short.select(*keys, "fs", "_n", _transform_udf(row).alias("_h"))
+    h = h.select(*keys, "fs", "_n", F.posexplode("_h").alias("_k", "h"))
     size = F.sqrt(F.pow("h.re", 2) + F.pow("h.im", 2))
     return h.select(
         *keys, (F.col("_k") * F.col("fs") / 2.0 / F.col("_n")).alias("f"),

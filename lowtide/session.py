@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -27,13 +28,16 @@ def local_session(cores: str = "*", partitions: int = 8, name: str = "lowtide")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a scratch folder only where none is set."""
+    """The shared folder named by the cluster. A scratch folder is made only for a local master: elsewhere each
+    executor would write to a disk of its own."""
     configured = spark.conf.get(CHECKPOINT_KEY, None)
     if configured:
         return configured
     active = spark.sparkContext.getCheckpointDir()
     if active:
         return active
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return spark.sparkContext.getCheckpointDir()
 

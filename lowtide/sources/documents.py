@@ -27,7 +27,7 @@ OPTIMISER_KIND = {
     "ComplexHighPass": "ComplexHighPass", "LPF_VarQ": "LowPass2", "HPF_VarQ": "HighPass2",
     "LinkwitzTransform": "LinkwitzTransform",
 }
-DEFAULT_DURATION = 60 * 60 * 1000.0
+DEFAULT_DURATION = 60 * 60 * 1e6  # one hour in microseconds
 
 
 def _lookup(key: Column, values: dict) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from urllib.parse import quote
 
@@ -34,6 +35,7 @@ def stem(path):
 
 
 def _store(path: str):
+    path = re.sub(r"^s3[an]://", "s3://", re.sub(r"^hdfs:/(?!/)", "hdfs:///", path))  # as Spark names them
     if path.startswith("file:") or "://" not in path:
         return arrow_fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
     return arrow_fs.FileSystem.from_uri(quote(path, safe=":/?&=@%"))
@@ -47,6 +49,19 @@ def open_range(path: str, offset: int, size: int) -> bytes:
         return f.read(size)
 
 
+def reader(path: str):
+    """A function (offset, size) to bytes over one open file; close it by ``reader(path).close``."""
+    store, inner = _store(path)
+    source = store.open_input_file(inner)
+
+    def read(offset: int, size: int) -> bytes:
+        source.seek(offset)
+        return source.read(size)
+
+    read.close = source.close
+    return read
+
+
 def put_file(path: str, content: bytes) -> None:
     store, inner = _store(path)
     store.create_dir(inner.rsplit("/", 1)[0], recursive=True)

@@ -7,7 +7,7 @@ its own byte range: a long track is never held by one task.
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,32 +15,48 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lowtide.functions.tables import LAYOUT_BY_COUNT, layout_table
-from lowtide.sources.files import find_files, open_range
+from lowtide.sources.files import find_files, open_range, reader
 
-HEADER_BYTES = 1 << 16
 RANGE_FRAMES = 1 << 18
-HEADER = "path string, fs int, channels int, bits int, is_float boolean, data_at long, n long"
+HEADER = "path string, fs int, channels int, bits int, is_float boolean, data_at long, n long, error string"
 BLOCKS = "path string, channel_no int, fs int, n long, block_no long, start_i long, samples array<double>"
 
 
-def parse_header(head: bytes) -> tuple[int, int, int, bool, int, int]:
-    """(fs, channels, bits, is_float, data offset, data bytes) of a RIFF/WAVE header."""
-    if head[:4] != b"RIFF" or head[8:12] != b"WAVE":
+def walk_header(read: Callable[[int, int], bytes], length: int) -> tuple[int, int, int, bool, int, int]:
+    """(fs, channels, bits, is_float, data offset, data bytes) of a RIFF or RF64 WAVE file.
+
+    Chunk heads are read one by one and their bodies are stepped over, so the samples may stand anywhere. Sizes beyond
+    32 bits come from the ds64 chunk.
+    """
+    head = read(0, 12)
+    if head[:4] not in (b"RIFF", b"RF64") or head[8:12] != b"WAVE":
         raise ValueError("not a RIFF/WAVE file")
-    at, fmt = 12, None
-    while at + 8 <= len(head):
-        name, size = head[at:at + 4], struct.unpack("<I", head[at + 4:at + 8])[0]
-        if name == b"fmt ":
-            code, channels, fs, _, _, bits = struct.unpack("<HHIIHH", head[at + 8:at + 24])
+    at, fmt, long_data = 12, None, None
+    while at + 8 <= length:
+        name, size = struct.unpack("<4sI", read(at, 8))
+        if name == b"ds64":
+            long_data = struct.unpack("<Q", read(at + 16, 8))[0]
+        elif name == b"fmt ":
+            body = read(at + 8, min(size, 40))
+            code, channels, fs, _, _, bits = struct.unpack("<HHIIHH", body[:16])
             if code == 0xFFFE:
-                code = struct.unpack("<H", head[at + 32:at + 34])[0]
+                code = struct.unpack("<H", body[24:26])[0]
             if code not in (1, 3):
                 raise ValueError(f"unsupported encoding {code}")
+            if not channels or bits not in (8, 16, 24, 32, 64):
+                raise ValueError(f"unsupported layout of {channels} channels of {bits} bits")
             fmt = (fs, channels, bits, code == 3)
         elif name == b"data":
-            return (*fmt, at + 8, size)
+            if fmt is None:
+                raise ValueError("samples before their format")
+            return (*fmt, at + 8, long_data if size == 0xFFFFFFFF and long_data is not None else size)
         at += 8 + size + size % 2
-    raise ValueError("no data chunk in the header")
+    raise ValueError("no data chunk")
+
+
+def parse_header(head: bytes) -> tuple[int, int, int, bool, int, int]:
+    """``walk_header`` of a file that is at hand as bytes."""
+    return walk_header(lambda at, size: head[at:at + size], len(head))
 
 
 def decode(raw: bytes, channels: int, bits: int, is_float: bool) -> np.ndarray:
@@ -62,13 +78,30 @@ def _headers(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         rows = []
         for path, length in zip(frame["path"], frame["length"]):
-            fs, channels, bits, is_float, at, size = parse_header(open_range(path, 0, min(HEADER_BYTES, int(length))))
-            size = min(size, int(length) - at)
-            rows.append((path, fs, channels, bits, is_float, at, size // (channels * bits // 8)))
-        yield pd.DataFrame(rows, columns=["path", "fs", "channels", "bits", "is_float", "data_at", "n"])
+            try:
+                read = reader(path)
+                try:
+                    fs, channels, bits, is_float, at, size = walk_header(read, int(length))
+                finally:
+                    read.close()
+                size = min(size, int(length) - at)
+                rows.append((path, fs, channels, bits, is_float, at, size // (channels * bits // 8), None))
+            except (OSError, ValueError, struct.error) as error:  # one bad file does not end the scan of a library
+                rows.append((path, 0, 0, 0, False, 0, 0, str(error) or type(error).__name__))
+        yield pd.DataFrame(rows, columns=["path", "fs", "channels", "bits", "is_float", "data_at", "n", "error"])
+
+
+def headers(spark: SparkSession, search: str) -> DataFrame:
+    """A row per file; ``error`` is null where it can be read."""
+    return find_files(spark, search).select("path", "length").mapInPandas(_headers, HEADER)
+
+
+def rejected_wav(spark: SparkSession, search: str) -> DataFrame:
+    """(path, error) of the files that ``read_wav`` leaves out."""
+    return headers(spark, search).where("error IS NOT NULL").select("path", "error")
 
 
-def _ranges(block: int):
+def _ranges(block: int, channel: int | None):
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for r in frame.itertuples(index=False):
@@ -78,7 +111,7 @@ def _ranges(block: int):
                 rows = []
                 for at in range(0, len(x), block):
                     start = int(r.first - r.origin) + at
-                    for c in range(r.channels):
+                    for c in range(r.channels) if channel is None else [channel]:
                         rows.append((r.path, c, r.fs, r.total, start // block, start, x[at:at + block, c]))
                 yield pd.DataFrame(
                     rows, columns=["path", "channel_no", "fs", "n", "block_no", "start_i", "samples"]
@@ -88,11 +121,15 @@ def _ranges(block: int):
 
 
 def read_wav(
-    spark: SparkSession, search: str, start_ms: int | None = None, end_ms: int | None = None, block: int = 4096
+    spark: SparkSession, search: str, start_ms: int | None = None, end_ms: int | None = None, block: int = 4096,
+    channel: int | None = None,
 ) -> DataFrame:
-    """Blocks of every channel of every file; ``n`` is the length in frames. The time
-    range is half-open and is applied before any sample is read."""
-    heads = find_files(spark, search).select("path", "length").mapInPandas(_headers, HEADER)
+    """Blocks of every channel of every file, or of the one counted from 0; ``n`` is the length in frames. The time
+    range is half-open and is applied before any sample is read. Files that cannot be read, and those without the
+    channel, are left out (see ``rejected_wav``)."""
+    heads = headers(spark, search).where("error IS NULL")
+    if channel is not None:
+        heads = heads.where(F.col("channels") > channel)
     frame = lambda ms: F.floor(F.lit(ms) * F.col("fs") / 1000.0).cast("long")
     begin = F.lit(0).cast("long") if start_ms is None else F.least(frame(start_ms), F.col("n"))
     end = F.col("n") if end_ms is None else F.least(frame(end_ms), F.col("n"))
@@ -103,7 +140,7 @@ def read_wav(
         "last", F.least(F.col("origin") + F.col("_o") + step, F.col("origin") + F.col("total"))
     )
     spread = parts.drop("_o").repartition("path", "first")
-    return spread.mapInPandas(_ranges(block), BLOCKS)
+    return spread.mapInPandas(_ranges(block, channel), BLOCKS)
 
 
 def channel_name(spark: SparkSession, rows: DataFrame) -> DataFrame:
@@ -127,7 +164,7 @@ def load_signals(spark: SparkSession, search: str, layout: str = "unknown", **ho
     from lowtide.sources.files import stem
 
     blocks = read_wav(spark, search, **how)
-    heads = find_files(spark, search).select("path", "length").mapInPandas(_headers, HEADER)
+    heads = headers(spark, search).where("error IS NULL")
     named = blocks.join(heads.select("path", F.col("channels").alias("channel_count")), "path")
     named = channel_name(spark, named.withColumn("text", stem(F.col("path"))).withColumn("layout", F.lit(layout)))
     composite = heads.where("channels > 1").select("path", F.col("channels").alias("channel_count"))
@@ -142,7 +179,7 @@ def load_channel(
     from lowtide.operators.resample import resample_all
     from lowtide.operators.samples import map_blocks
 
-    out = read_wav(spark, search, **how).where(F.col("channel_no") == channel - 1)
+    out = read_wav(spark, search, channel=channel - 1, **how)
     if target_fs:
         out = resample_all(out, ["path", "channel_no"], target_fs)
     if abs(offset_db) > 1e-9:
