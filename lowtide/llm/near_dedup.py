@@ -32,8 +32,9 @@ DEPTH = 4
 #: SKETCH_SHARE lies 4.6 of them lower.
 SKETCH = 128
 SKETCH_SHARE = 0.575
-#: Documents of a node that are compared exhaustively at once.
-NODE = 512
+#: Documents of a node that are compared exhaustively at once, and shingles that they have together: both bound a task.
+NODE = 2048
+NODE_SHINGLES = 1 << 21
 
 _ROLL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -99,20 +100,21 @@ def branches(sets: DataFrame, trees: int, depth: int, node: int) -> DataFrame:
     for each pair of tiles, so that nothing in it goes uncompared and no task gets it whole.
     """
     roots = sets.withColumn("_tree", F.explode(F.array(*[F.lit(i) for i in range(trees)])))
-    level = roots.select(F.xxhash64("_tree", _token(F.col("_tree"))).alias("node"), "set_id")
+    level = roots.select(F.xxhash64("_tree", _token(F.col("_tree"))).alias("node"), "set_id", "n_shingles")
     done = None
     for d in range(depth + 1):
         level = materialise(level, "level")
-        sizes = level.groupBy("node").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-        counted = level.join(sizes, "node")
-        small = counted.where(F.col("_n") <= node).select("node", "set_id")
+        sizes = level.groupBy("node").agg(F.count(F.lit(1)).alias("_n"), F.sum("n_shingles").alias("_s")).where("_n > 1")
+        # How many times a node is what one task may hold.
+        counted = level.join(sizes, "node").withColumn("_size", F.greatest(F.col("_n") / node, F.col("_s") / NODE_SHINGLES))
+        small = counted.where((F.col("_size") <= 1) | (F.col("_n") == 2)).select("node", "set_id")
         done = small if done is None else done.unionByName(small)
-        large = materialise(counted.where(F.col("_n") > node), "large")
+        large = materialise(counted.where((F.col("_size") > 1) & (F.col("_n") > 2)), "large")
         if large.isEmpty():
             break
         if d == depth:
             # Tiles of about half a node; each set goes to the pairs of its tile with every tile of its node.
-            tiles = F.ceil(F.col("_n") * 2 / node).cast("int")
+            tiles = F.ceil(F.col("_size") * 2).cast("int")
             tiled = large.withColumn("_t", F.pmod(F.xxhash64("set_id", "node"), tiles.cast("long")).cast("int"))
             other = tiled.withColumn("_o", F.explode(F.sequence(F.lit(0), tiles - 1)))
             pair = F.xxhash64("node", F.least("_t", "_o"), F.greatest("_t", "_o"))
@@ -120,7 +122,7 @@ def branches(sets: DataFrame, trees: int, depth: int, node: int) -> DataFrame:
             break
         chosen = large.join(sets.select("set_id", "sketch"), "set_id").withColumn("_b", F.explode(F.array(*[F.lit(i) for i in range(BRANCHES)])))
         at = F.pmod(F.xxhash64("node", "_b"), F.lit(SKETCH - trees)).cast("int") + F.lit(trees)
-        level = chosen.select(F.xxhash64("node", "_b", _token(at)).alias("node"), "set_id")
+        level = chosen.select(F.xxhash64("node", "_b", _token(at)).alias("node"), "set_id", "n_shingles")
     return done.join(sets.select("set_id", "sketch"), "set_id")
 
 
@@ -202,14 +204,14 @@ def links(docs: DataFrame, sets: DataFrame, trees: int = TREES, depth: int = DEP
     # Equal groups of several trees are one unit: the tables of (unit, set) are small, texts come after.
     wanted = materialise(found.distinct(), "units")
     where = wanted.join(sets.select("set_id", "_doc", "place"), "set_id")
-    placed = docs.select(F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("place"), "text").dropDuplicates(["_doc", "place"])
+    placed = docs.select(F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("place"), "text")
     needed = where.select("_doc", "place").distinct()
     texts = placed.join(needed, (placed["_doc"].eqNullSafe(needed["_doc"])) & (placed["place"] == needed["place"]))
     texts = texts.select(placed["_doc"], placed["place"], "text")
     full = where.alias("w").join(texts.alias("t"), F.col("w._doc").eqNullSafe(F.col("t._doc")) & (F.col("w.place") == F.col("t.place")))
 
     def confirm(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("set_id", ignore_index=True)
+        pdf = pdf.drop_duplicates("set_id").sort_values("set_id", ignore_index=True)  # repeated rows have one text
         ids = pdf["set_id"].tolist()
         pairs = linked([shingle_hashes(t.encode()) for t in pdf["text"]])
         return pd.DataFrame([(ids[a], ids[b]) for a, b in pairs], columns=["a", "b"])
@@ -253,8 +255,8 @@ def near_duplicates(docs: DataFrame, trees: int = TREES, depth: int = DEPTH, nod
     """
     rows = materialise(described(docs), "described")
     some = rows.where("n_shingles > 0")
-    sets = some.groupBy("set_id").agg(F.min(F.struct("doc_id", "place")).alias("_at"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("_least"))
-    sets = materialise(sets.select("set_id", "sketch", F.col("_at.doc_id").alias("_doc"), F.col("_at.place").alias("place"), "_least"), "sets")
+    sets = some.groupBy("set_id").agg(F.min(F.struct("doc_id", "place")).alias("_at"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles"), F.min("doc_id").alias("_least"))
+    sets = materialise(sets.select("set_id", "sketch", "n_shingles", F.col("_at.doc_id").alias("_doc"), F.col("_at.place").alias("place"), "_least"), "sets")
     roots = components(links(docs, sets, trees, depth, node))
     named = sets.select("set_id", "_least").join(roots.withColumnRenamed("id", "set_id"), "set_id", "left")
     named = materialise(named.select("set_id", "_least", F.coalesce("root", "set_id").alias("root")), "named")
