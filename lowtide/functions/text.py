@@ -37,7 +37,7 @@ def plain(v: Column) -> Column:
     none = F.lit(0)
     wide = F.concat(F.repeat(F.lit("0"), F.greatest(1 - point, none)), digits, F.repeat(F.lit("0"), F.greatest(point - F.length(digits), none)))
     cut = F.greatest(point, F.lit(1))
-    s = _strip(F.concat(F.substring(wide, F.lit(1), cut), F.lit("."), F.substring(wide, cut + 1, F.length(wide))))
+    s = _strip(F.concat(F.substring(wide, F.lit(1), cut), F.lit("."), F.substring(wide, cut + 1, F.length(wide)), F.lit("0")))
     s = F.when(F.instr(s, ".") > 0, s).otherwise(F.concat(s, F.lit(".0")))
     return F.when(v < 0, F.concat(F.lit("-"), s)).otherwise(s)
 

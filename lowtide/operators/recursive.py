@@ -222,47 +222,52 @@ def _edge(sos: Column) -> Column:
     return (sections * 2 + 1 - F.least(at(2), at(0))) * 3
 
 
-def zero_phase(
-    samples: DataFrame, keys: Sequence[str], sos: Column, block: int = 4096, fanout: int = FANOUT
-) -> DataFrame:
-    """Forward and backward cascade with mirrored (odd) edges and settled start
-    states, so the result has no phase shift. An edge longer than the signal
-    allows is shortened to the signal."""
+def zero_phase_blocks(blocks: DataFrame, keys: Sequence[str], sos: Column, fanout: int = FANOUT) -> DataFrame:
+    """Forward and backward cascade over (keys..., block_no, start_i, samples), with mirrored (odd) edges and settled
+    start states, so the result has no phase shift. An edge longer than the signal allows is shortened to the signal.
+
+    Only the blocks that hold an edge are brought together to mirror it; the others are never regrouped. The backward
+    pass is the same cascade over reversed blocks in reversed order.
+    """
     keys = list(keys)
-    base = samples.select(*keys, "i", "v").withColumn("sos", sos)
-    sized = base.groupBy(*keys).agg(
-        (F.max("i") + 1).alias("_n"),
-        F.min_by("v", "i").alias("_v0"),
-        F.max_by("v", "i").alias("_vn"),
-        F.first("sos").alias("sos"),
-    )
-    sized = sized.withColumn("_e", F.least(_edge(F.col("sos")).cast("long"), F.col("_n") - 1))
-    rows = base.drop("sos").join(sized.drop("sos"), keys)
-    last = F.col("_n") - 1
-    images = F.filter(
-        F.array(
-            F.struct(F.col("i").alias("p"), F.col("v").alias("x")),
-            F.when((F.col("i") >= 1) & (F.col("i") <= F.col("_e")),
-                   F.struct((-F.col("i")).alias("p"), (F.col("_v0") * 2.0 - F.col("v")).alias("x"))),
-            F.when((F.col("i") < last) & (F.col("i") >= last - F.col("_e")),
-                   F.struct((last * 2 - F.col("i")).alias("p"), (F.col("_vn") * 2.0 - F.col("v")).alias("x"))),
-        ),
-        lambda s: s.isNotNull(),
-    )
-    padded = rows.select(*keys, "_e", F.explode(images).alias("_m")).select(
-        *keys, (F.col("_m.p") + F.col("_e")).alias("i"), F.col("_m.x").alias("v")
+    base = blocks.select(*keys, F.col("block_no").cast("long").alias("block_no"), "start_i", F.col("samples").cast(_STATE).alias("samples"))
+    sized = base.groupBy(*keys).agg(F.max(F.col("start_i") + F.size("samples")).alias("_n"), F.max("block_no").alias("_last"))
+    sized = sized.withColumn("sos", sos)
+    sized = sized.withColumn("_e", F.least(_edge(F.col("sos")).cast("long"), F.col("_n") - 1).cast("int"))
+    sized = sized.withColumn("_unit", settled_state("sos"))
+    cut = base.join(sized, keys)
+    head, tail = F.col("start_i") <= F.col("_e"), F.col("start_i") + F.size("samples") >= F.col("_n") - 1 - F.col("_e")
+    ends = lambda here: F.flatten(F.array_sort(F.collect_list(F.when(here, F.struct("start_i", "samples"))))["samples"])
+    edges = cut.where(head | tail).groupBy(*keys).agg(F.first("_e").alias("_w"), ends(head).alias("_h"), ends(tail).alias("_t"))
+    mirror = lambda far, at: F.transform(far, lambda x: at * 2.0 - x)
+    edges = edges.withColumns({"_v0": F.col("_h")[0], "_t": F.slice("_t", -F.col("_w") - 1, F.col("_w") + 1)}).select(
+        *keys,
+        F.reverse(mirror(F.slice("_h", F.lit(2), F.col("_w")), F.col("_v0"))).alias("_before"),
+        F.reverse(mirror(F.slice("_t", F.lit(1), F.col("_w")), F.element_at("_t", -1))).alias("_after"),
     )
+    none = F.array().cast(_STATE)
+    first, last = F.col("block_no") == 0, F.col("block_no") == F.col("_last")
+    wide = cut.join(edges, keys).withColumn(
+        "samples", F.concat(F.when(first, F.col("_before")).otherwise(none), "samples", F.when(last, F.col("_after")).otherwise(none))
+    ).drop("_before", "_after")
 
     def one_way(series: DataFrame) -> DataFrame:
-        cut = to_blocks(series, keys, block).join(sized.select(*keys, "sos"), keys)
         lead = F.col("samples")[0]
-        cut = cut.withColumn("_z", F.transform(settled_state("sos"), lambda z: z * lead))
-        return from_blocks(cascade(cut, keys, fanout, initial="_z"), keys)
-
-    width = (F.col("_n") + F.col("_e") * 2 - 1).alias("_w")
-    ends = sized.select(*keys, width, "_e", "_n")
-    turned = one_way(padded).join(ends, keys).select(*keys, (F.col("_w") - F.col("i")).alias("i"), "v")
-    turned = materialise(turned, "forward")  # the second pass reads it twice
-    back = one_way(turned).join(ends, keys)
-    back = back.select(*keys, (F.col("_w") - F.col("i") - F.col("_e")).alias("i"), "v", "_n")
-    return back.where((F.col("i") >= 0) & (F.col("i") < F.col("_n"))).drop("_n")
+        started = series.withColumn("_z", F.when(F.col("block_no") == 0, F.transform("_unit", lambda z: z * lead)))
+        return cascade(started, keys, fanout, initial="_z")
+
+    turned = lambda series: series.withColumns({"samples": F.reverse("samples"), "block_no": F.col("_last") - F.col("block_no")})
+    # Each pass reads its input twice; ``sos`` and ``_unit`` come back from the table of series.
+    forward = turned(one_way(wide)).drop("_unit", "_n", "_e", "_last")
+    forward = materialise(forward, "forward").join(sized, keys)
+    back = turned(one_way(forward))
+    begin = F.when(first, F.col("_e")).otherwise(0) + 1
+    count = F.size("samples") - F.when(first, F.col("_e")).otherwise(0) - F.when(last, F.col("_e")).otherwise(0)
+    return back.select(*keys, "block_no", "start_i", F.slice("samples", begin, count).alias("samples"))
+
+
+def zero_phase(
+    samples: DataFrame, keys: Sequence[str], sos: Column, block: int = 4096, fanout: int = FANOUT
+) -> DataFrame:
+    """``zero_phase_blocks`` of rows (keys..., i, v)."""
+    return from_blocks(zero_phase_blocks(to_blocks(samples, keys, block), keys, sos, fanout), keys)

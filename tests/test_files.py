@@ -3,6 +3,7 @@
 import gzip
 import json
 import os
+import struct
 import wave
 
 import numpy as np
@@ -78,10 +79,83 @@ def test_load_channel(spark, wavs):
     assert np.allclose(y[200:-200], (x[::4, 0] * 10 ** (-6 / 20))[200:-200], atol=1e-4)
 
 
-def test_bad_wav(spark, tmp_path):
-    (tmp_path / "x.wav").write_bytes(b"no audio here" * 10)
-    with pytest.raises(Exception, match="RIFF"):
-        W.read_wav(spark, f"{tmp_path}/x.wav").collect()
+def riff(x, fs, before=b"", magic=b"RIFF", size=None):
+    """16-bit mono with chunks put before the samples."""
+    raw = np.round(np.asarray(x) * 32767).astype("<i2").tobytes()
+    fmt = b"fmt " + struct.pack("<IHHIIHH", 16, 1, 1, fs, fs * 2, 2, 16)
+    body = b"WAVE" + before + fmt + b"data" + struct.pack("<I", len(raw) if size is None else size) + raw
+    return magic + struct.pack("<I", min(len(body), 0xFFFFFFFF)) + body
+
+
+def test_bad_files_are_rejected_and_others_read(spark, tmp_path):
+    x = np.sin(np.arange(500) / 9) / 2
+    (tmp_path / "bad.wav").write_bytes(b"no audio here" * 10)
+    (tmp_path / "short.wav").write_bytes(riff(x, 1000)[:30])
+    (tmp_path / "good.wav").write_bytes(riff(x, 1000))
+    got = S.from_blocks(W.read_wav(spark, f"{tmp_path}/*.wav"), ["path"]).toPandas().sort_values("i")
+    assert len(got) == 500 and np.allclose(got["v"], x, atol=1e-4)
+    errors = {os.path.basename(r.path): r.error for r in W.rejected_wav(spark, f"{tmp_path}/*.wav").collect()}
+    assert set(errors) == {"bad.wav", "short.wav"} and "RIFF" in errors["bad.wav"]
+
+
+def test_late_samples_and_long_files(spark, tmp_path):
+    x = np.sin(np.arange(700) / 7) / 2
+    (tmp_path / "late.wav").write_bytes(riff(x, 1000, b"LIST" + struct.pack("<I", 70_001) + bytes(70_002)))
+    ds64 = b"ds64" + struct.pack("<IQQQI", 28, 0, 1400, 700, 0)
+    (tmp_path / "long.wav").write_bytes(riff(x, 1000, ds64, b"RF64", 0xFFFFFFFF) + b"tail" * 9)
+    for name in ("late", "long"):
+        got = S.from_blocks(W.read_wav(spark, f"{tmp_path}/{name}.wav"), ["path"]).toPandas().sort_values("i")
+        assert len(got) == 700 and np.allclose(got["v"], x, atol=1e-4)
+
+
+def test_many_rates_in_one_pass(spark):
+    from lowtide.operators.resample import resample_all
+
+    rows = [(f"s{fs}", fs, 400, 0, [1.0] * 400) for fs in range(1000, 1070)]
+    blocks = spark.createDataFrame(rows, "k string, fs int, n long, start_i long, samples array<double>")
+    out = resample_all(blocks, ["k"], 1000, block=128)
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    got = S.from_blocks(out, ["k"]).toPandas()
+    sizes = got.groupby("k").size()
+    assert all(sizes[f"s{fs}"] == -(-400 * 1000 // fs) for fs in range(1000, 1070))
+    middle = got[(got["i"] > 150) & (got["i"] < 230)]
+    assert np.allclose(middle["v"], 1.0, atol=1e-3)
+
+
+def test_store_names():
+    from unittest import mock
+
+    seen = []
+    with mock.patch.object(L, "arrow_fs") as fs:
+        fs.FileSystem.from_uri.side_effect = lambda uri: seen.append(uri) or (None, uri)
+        for path in ("s3a://b/x y", "s3n://b/k", "s3://b/k", "hdfs:/d/f", "hdfs://h/d/f"):
+            L._store(path)
+    assert seen == ["s3://b/x%20y", "s3://b/k", "s3://b/k", "hdfs:///d/f", "hdfs://h/d/f"]
+
+
+def test_scratch_folder_needs_a_local_master():
+    from unittest import mock
+
+    from lowtide.session import shared_dir
+
+    far = mock.Mock()
+    far.conf.get.return_value = None
+    far.sparkContext.getCheckpointDir.return_value = None
+    for master in ("yarn", "spark://h:7077", "local-cluster[2,1,1024]"):
+        far.sparkContext.master = master
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_dir(far)
+
+
+def test_plain_numbers(spark):
+    from lowtide.functions import text as N
+
+    values = [2.6771234567890123e-08, 1.25e-22, 1e18, -3.5e21, 0.0, -0.0, 1.0, 123.456, 1e7, 12345678.9, -0.001, 5e-324]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = [r.t for r in df.select(N.plain(F.col("v")).alias("t")).collect()]
+    assert [float(t) for t in got] == values and not any("e" in t.lower() for t in got)
+    assert got[:4] == ["0.000000026771234567890123", "0.000000000000000000000125", "1000000000000000000.0", "-3500000000000000000000.0"]
+    assert got[4:7] == ["0.0", "0.0", "1.0"]
 
 
 def test_find_files(spark, wavs):
@@ -198,7 +272,7 @@ def test_probe(spark):
     files = spark.createDataFrame([(p, json.dumps(d)) for p, d in docs], "path string, content string")
     got = {r.path: r for r in D.probe_streams(files).collect()}
     assert got["tag"].text == "1: AC-3 - 48000Hz 6 channels  - 00:01:02.123456789" and got["tag"].duration_us == 62123456
-    assert got["none"].text == "1: AC-3 - 48000Hz 6 channels " and got["none"].duration_us == 3600000
+    assert got["none"].text == "1: AC-3 - 48000Hz 6 channels " and got["none"].duration_us == 3600 * 1000000
     assert got["stream"].duration_us == 10250000
 
 

@@ -178,3 +178,30 @@ def test_response_of_a_large_set(spark):
     assert both.count() == 3000
     assert both.where("abs(db - want) > 1e-8 or phase <= -180 or phase > 180").count() == 0
     assert got.where("filter_set_id = 2 and k = 0").first().db == pytest.approx(6.0)
+
+
+def test_pass_filters_are_expanded_or_rejected(spark):
+    rows = [("low", "BW", 3), ("low", "LR", 4), ("low", "LR", 3), ("high", "BESP", 26), ("high", "BESM6", 25), ("low", "BW", 0), ("low", "XX", 2), ("low", None, 2)]
+    df = spark.createDataFrame([(*r, 48000, 100.0, 0.7071) for r in rows], "side string, family string, order int, fs int, freq double, q double")
+    bad = {(r.family, r.order): r.reason for r in O.rejected_passes(df).collect()}
+    assert set(bad) == {("LR", 3), ("BESP", 26), ("BW", 0), ("XX", 2), (None, 2)}
+    good = {(r.family, r.order) for r in O.pass_sections(df).collect()}
+    assert good | set(bad) == {(f, n) for _, f, n in rows} and not good & set(bad)
+
+
+def test_empty_sets_pass_through(spark):
+    rows = [("a", i, "PeakingEQ", 1000, 50.0, 1.0, 0.05, 1) for i in range(150)]
+    df = spark.createDataFrame(rows, "filter_set_id string, seq int, kind string, fs int, freq double, q double, gain double, n int")
+    sets = spark.createDataFrame([("a", 1000), ("b", 1000)], "filter_set_id string, fs int")
+    got = O.response(df, 64, sets=sets).toPandas()
+    assert len(got) == 128
+    assert np.allclose(got[got.filter_set_id == "b"][["db", "phase"]], 0.0)
+    one = O.response(df.where("seq = 0"), 64).toPandas().sort_values("k")["db"].to_numpy()
+    assert np.allclose(got[got.filter_set_id == "a"].sort_values("k")["db"], 150 * one)
+
+
+def test_too_many_device_filters_have_no_slot(spark):
+    rows = [(s, i, "PeakingEQ", 96000, 20.0 + i, 1.0, 1.0, 1) for s, n in (("fits", 16), ("over", 17)) for i in range(n)]
+    df = spark.createDataFrame(rows, "filter_set_id string, seq int, kind string, fs int, freq double, q double, gain double, n int")
+    got = O.slot_placement(df).toPandas()
+    assert sorted(got[got.filter_set_id == "fits"]["slot"]) == list(range(16)) and got[got.filter_set_id == "over"]["slot"].isna().all()

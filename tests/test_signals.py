@@ -139,3 +139,11 @@ def test_silent_window(spark):
 def test_pulse(spark):
     p = S.pulse(spark, 10).toPandas().sort_values("i")
     assert len(p) == 40 and p["v"].to_numpy()[20] == 1.0 and p["v"].sum() == 1.0
+
+
+def test_spectra_evaluate_their_transform_once(spark):
+    blocks = blocks_of(spark, np.sin(np.arange(3000) / 5), 500, 256)
+    cells = P.spectrogram(blocks, ["signal_id"])
+    for df, most in ((P.avg_spectrum(blocks, ["signal_id"]), 1), (P.peak_spectrum(blocks, ["signal_id"]), 1), (cells, 2)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("ArrowEvalPython") == most
