@@ -180,10 +180,12 @@ def output_paths(entries: DataFrame, extension: str) -> DataFrame:
     )
     named = entries.withColumn("_name", F.regexp_replace(F.translate(name, "/", "_"), r"\.", ""))
     by = ["author", "_name"]
-    groups = named.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_n"), *[F.count_distinct(c).alias(f"_u_{c}") for c in ("source", "mv_adjust", "note", "language")]
+    counted = named.join(named.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")), by)
+    # Only entries that share a name are told apart: the distinct counts see no others.
+    groups = counted.where("_n > 1").groupBy(*by).agg(
+        *[F.count_distinct(c).alias(f"_u_{c}") for c in ("source", "mv_adjust", "note", "language")]
     )
-    both = named.join(groups, by)
+    both = counted.join(groups, by, "left")
     unique = lambda c: F.col(f"_u_{c}") == F.col("_n")
     suffix = (
         F.when(unique("source"), F.col("source"))

@@ -70,9 +70,11 @@ def bass_manage(blocks: DataFrame, config: DataFrame, keys: Sequence[str] = ("ti
     df = df.withColumn("_gain", gain).withColumn("samples", F.transform("samples", lambda v: v * F.col("_gain")))
     lpf = fourth_order("LowPass2", F.col("fs"), F.col("lpf_hz"))
 
-    def low_passed(rows: DataFrame, position: str) -> DataFrame:
-        chosen = F.when(F.col("lpf_position") == position, lpf).otherwise(no_filter(2))
-        return rows.withColumn("sos", chosen)
+    def low_passed(rows: DataFrame, position: str, by: list[str]) -> DataFrame:
+        """Only titles with the low pass here run it; the others go by."""
+        here = F.coalesce(F.col("lpf_position") == position, F.lit(False))
+        done = R.cascade(rows.where(here).withColumn("sos", lpf), by)
+        return done.unionByName(rows.where(~here).withColumn("samples", F.col("samples").cast("array<double>")).select(*done.columns))
 
     def clipped(rows: DataFrame, flag: str) -> DataFrame:
         on = F.transform("samples", lambda v: levels.clip(v))
@@ -83,13 +85,13 @@ def bass_manage(blocks: DataFrame, config: DataFrame, keys: Sequence[str] = ("ti
     if own:
         df = df.withColumnRenamed("sos", "_own")
     carried = [*keys, "channel", "block_no", "start_i", "fs", "samples", *settings, *(["_own"] if own else [])]
-    before = R.cascade(low_passed(df.select(*carried), "Before"), [*keys, "channel"])
+    before = low_passed(df.select(*carried), "Before", [*keys, "channel"])
     before = clipped(before, "clip_before")
     if own:
         before = materialise(before, "before-sum").withColumnRenamed("_own", "sos")
         before = clipped(R.cascade(before, [*keys, "channel"]), "clip_before")
     summed = materialise(sum_blocks(before, keys), "bass-sum")
-    after = R.cascade(low_passed(summed.join(config, keys).select(*keys, "block_no", "start_i", "fs", "samples", *settings), "After"), keys)
+    after = low_passed(summed.join(config, keys).select(*keys, "block_no", "start_i", "fs", "samples", *settings), "After", keys)
     return clipped(after, "clip_after").select(*keys, "block_no", "start_i", "fs", "samples")
 
 

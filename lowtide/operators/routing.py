@@ -5,7 +5,7 @@ Routes are distinct, so one matrix has at most inputs x ways x outputs rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ID = "matrix_id"
@@ -22,9 +22,9 @@ def decode(lines: DataFrame) -> DataFrame:
 
 
 def fed_by(routes: DataFrame) -> DataFrame:
-    """(matrix, o, fed): the sorted (i, w) pairs of each output; one shuffle serves
-    every operator below."""
-    return routes.groupBy(ID, "o").agg(F.array_sort(F.collect_set(F.struct("i", "w"))).alias("fed"))
+    """(matrix, o, fed): the sorted (i, w) pairs of each output. Routes are dealt by
+    matrix, and that one shuffle serves every grouping below."""
+    return routes.repartition(ID).groupBy(ID, "o").agg(F.array_sort(F.collect_set(F.struct("i", "w"))).alias("fed"))
 
 
 def direct(routes: DataFrame) -> DataFrame:
@@ -58,11 +58,13 @@ def outputs_by_way(routes: DataFrame) -> DataFrame:
 def violations(routes: DataFrame) -> DataFrame:
     """(matrix, o, problem): a direct route onto another input, and a summed output
     that another summed group reads. Groups are outputs with the same inputs."""
-    fed = fed_by(routes)
-    inputs = routes.select(ID, F.col("i").alias("o")).distinct()
-    single = fed.where((F.size("fed") == 1) & (F.col("fed")[0]["i"] != F.col("o")))
-    overwritten = single.join(inputs, [ID, "o"], "left_semi").select(ID, "o", F.lit("overwrites input").alias("problem"))
-    several = fed.where(F.size("fed") > 1)
-    reads = several.select(ID, F.col("fed").alias("_in"), F.explode(F.array_distinct("fed.i")).alias("o")).distinct()
-    clash = several.join(reads, [ID, "o"]).where(F.col("fed") != F.col("_in"))
-    return overwritten.unionByName(clash.select(ID, "o", F.lit("feeds another sum").alias("problem")).distinct())
+    matrix = Window.partitionBy(ID)  # one small object; the routes already lie together by it
+    several, only = F.size("fed") > 1, F.col("fed")[0]["i"]
+    rows = fed_by(routes).withColumns({
+        "_inputs": F.array_distinct(F.flatten(F.collect_list("fed.i").over(matrix))),
+        "_sums": F.collect_set(F.when(several, F.col("fed"))).over(matrix),
+    })
+    onto_input = ~several & (only != F.col("o")) & F.array_contains("_inputs", F.col("o"))
+    read = several & F.exists("_sums", lambda g: (g != F.col("fed")) & F.array_contains(g["i"], F.col("o")))
+    problem = F.when(onto_input, "overwrites input").when(read, "feeds another sum")
+    return rows.select(ID, "o", problem.alias("problem")).where("problem IS NOT NULL")

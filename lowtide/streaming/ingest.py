@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 
 def newest(rows: DataFrame, key: str = "digest") -> DataFrame:
-    """One row per key: the highest ``updated_at``, the earlier batch on a tie."""
+    """One row per key: the highest ``updated_at``, the earlier batch on a tie, then the row with the higher hash, so
+    that the order of arrival plays no part."""
     plain = [c for c in rows.columns if c != "batch"]
-    rank = F.struct(F.col("updated_at"), -F.col("batch"))
+    rank = F.struct(F.col("updated_at"), -F.col("batch"), F.xxhash64(*plain))
     best = rows.groupBy(key).agg(F.max_by(F.struct(*plain), rank).alias("_r"))
     return best.select("_r.*")
 

@@ -321,3 +321,41 @@ def test_audio_to_filtered_curve(spark, wavs):
     out = pipelines.filtered_spectrum(spark, f"{d}/six.wav", response, target_fs=1000)
     assert out.select("channel_no").distinct().count() == 6
     assert out.where("abs(filtered_db - db - 3.0) > 1e-6").count() == 0
+
+
+def test_exported_names_groups_and_all_kinds_come_back(spark):
+    """Quotes and backslashes in names, a bass-managed group, Linkwitz and compound filters, through writer and reader."""
+    name = 'a "quoted" \\ name\n2'
+    sets = spark.createDataFrame(
+        [
+            ("s", 0, "LinkwitzTransform", 1000, None, None, None, 1, 20.0, 0.7, 15.0, 0.5, None, None),
+            ("s", 1, "ComplexLowPass", 1000, 80.0, 0.7, None, 1, None, None, None, None, "LR", 4),
+            ("s", 2, "ComplexHighPass", 1000, 20.5, 0.7, None, 1, None, None, None, None, "BW", 2),
+            ("s", 3, "LowShelf", 1000, 30.0, 0.8, 4.5, 2, None, None, None, None, None, None),
+        ],
+        "filter_set_id string, seq int, kind string, fs int, freq double, q double, gain double, n int, f0 double, q0 double, fp double, qp double, family string, order int",
+    )
+    docs = K.filter_set_json(sets, description=name)
+    assert json.loads(docs.first().content)["description"] == name
+    back = [tuple(r) for r in D.filter_rows(docs).orderBy("seq").select("kind", "freq", "family", "order", "f0", "q0", "fp", "qp", "n").collect()]
+    assert back == [
+        ("LinkwitzTransform", None, None, None, 20.0, 0.7, 15.0, 0.5, 1), ("ComplexLowPass", 80.0, "LR", 4, None, None, None, None, 1),
+        ("ComplexHighPass", 20.5, "BW", 2, None, None, None, None, 1), ("LowShelf", 30.0, None, None, None, None, None, None, 2),
+    ]
+    curves = spark.createDataFrame([(n, k, 10.0 * j, -j * 1.0) for n in (name, "plain") for k in ("avg", "peak") for j in range(1, 4)], "signal_id string, kind string, f double, db double")
+    signals = spark.createDataFrame([(name, 1000, 1.5, None, None, ["plain"], "12.5"), ("plain", 1000, 0.0, None, name, [], None)], "signal_id string, fs int, offset_db double, filter_json string, master_name string, slave_names array<string>, duration_seconds string")
+    channels = K.signal_json(signals, curves).select(F.lit(1).alias("group_id"), F.when(F.col("signal_id") == "plain", 1).otherwise(0).alias("seq"), "content")
+    group = spark.createDataFrame([(1, name, 80.0, "Before", "WCS", True, False, 2.0)], "group_id int, name string, lpf_fs double, lpf_position string, headroom_type string, clip_before boolean, clip_after boolean, offset_db double")
+    files = K.group_json(group, channels).select(F.col("group_id").cast("string").alias("path"), "content")
+    got = {r.name: r for r in D.project_signals(files).collect()}
+    assert set(got) == {name, "plain"}
+    for r in got.values():
+        assert r.group_name == name and tuple(r.bm) == (80.0, "Before", "WCS") and tuple(r.clip) == (True, False)
+    assert got[name].slave_names == ["plain"] and got[name].duration_s == 12.5 and got["plain"].master_name == name
+
+
+def test_equal_times_in_a_batch_do_not_depend_on_arrival(spark):
+    rows = [("d", 5, "x", 0), ("d", 5, "y", 0), ("d", 5, "z", 0)]
+    schema = "digest string, updated_at long, title string, batch long"
+    winners = {I.newest(spark.createDataFrame(rows[k:] + rows[:k], schema).coalesce(1)).first().title for k in range(3)}
+    assert len(winners) == 1
