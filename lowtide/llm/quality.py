@@ -172,7 +172,45 @@ def judge(docs: DataFrame, refs: dict[str, tuple[list[float], dict[str, float]]]
 COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-@query("op1_quality_rules")
+def _sql(limits: Limits = Limits()) -> str:
+    """The same rules over exploded words, windows and bins."""
+    half = lambda a, b: " + ".join(f"(CASE WHEN {x} > 0 THEN {x} * log2(2 * {x} / ({x} + {y})) ELSE 0 END)" for x, y in ((a, b), (b, a)))
+    n = len(CLASSES) + 1
+    left, text = [], "t"
+    for pattern in CLASSES:
+        text = f"regexp_replace({text}, '{pattern.replace(chr(39), chr(39) * 2)}', '', 'g')"
+        left.append(f"length({text})")
+    kinds = ", ".join(f"{a} - {b} AS c{k}" for k, (a, b) in enumerate(zip(["length(t)", *left], [*left, "0"])))
+    run = "word || " + " || ".join(f"' ' || lead(word, {k}) OVER o" for k in range(1, RUN))
+    over = lambda d, u, ls: " OR ".join(f"({u} >= {least} AND {d} > {most})" for least, most in ls)
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, text, coalesce(text, '') AS t FROM documents),
+w AS (SELECT rid, doc_id, lang, text, t, regexp_extract_all(t, '{WORD}') AS words, regexp_extract_all(lower(t), '\p{{L}}+') AS letters,
+  [x FOR x IN string_split(t, chr(10)) IF regexp_matches(x, '{WORD}')] AS lines, {kinds} FROM d),
+each AS (SELECT rid, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w),
+runs AS (SELECT rid, i, {run} AS g FROM each WINDOW o AS (PARTITION BY rid ORDER BY i)),
+several AS (SELECT rid, i FROM runs WHERE g IS NOT NULL QUALIFY count(*) OVER (PARTITION BY rid, g) > 1),
+covered AS (SELECT rid, count(DISTINCT i + k) AS n FROM several, range({RUN}) AS r(k) GROUP BY rid),
+counts AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(letters) AS word FROM w WHERE lang IS NOT NULL AND text IS NOT NULL) GROUP BY ALL),
+top AS (SELECT lang, word, n / sum(n) OVER (PARTITION BY lang) AS q FROM counts QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) <= {COMMON_WORDS}),
+whole AS (SELECT lang, sum(q) AS s FROM top GROUP BY lang),
+kinds AS (SELECT lang, {", ".join(f"sum(c{k}) / sum(length(t)) AS s{k}" for k in range(n))} FROM w WHERE text IS NOT NULL AND lang IN (SELECT lang FROM whole) GROUP BY lang),
+p AS (SELECT rid, word, count(*) / any_value(len(letters)) AS p FROM (SELECT rid, letters, unnest(letters) AS word FROM w) GROUP BY rid, word),
+present AS (SELECT rid, lang, sum(p) AS sp, sum(q) AS sq, sum({half("p", "q")}) AS sd FROM p JOIN top USING (word) GROUP BY rid, lang),
+by_word AS (SELECT w.rid, min(sqrt(greatest(coalesce(sd, 0) + s - coalesce(sq, 0) + {half("greatest(1 - coalesce(sp, 0), 0)", "greatest(1 - s, 0)")}, 0) / 2)) AS d
+  FROM w CROSS JOIN whole LEFT JOIN present ON present.rid = w.rid AND present.lang = whole.lang GROUP BY w.rid),
+by_class AS (SELECT rid, min(sqrt(greatest({" + ".join(half(f"(c{k} / greatest(length(t), 1))", f"s{k}") for k in range(n))}, 0) / 2)) AS d FROM w CROSS JOIN kinds GROUP BY rid),
+base AS (SELECT w.rid, doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars, len(regexp_extract_all(t, '{SYMBOLS}')) AS n_symbols,
+  len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words, len(letters) AS n_letter_words
+  FROM w LEFT JOIN covered ON covered.rid = w.rid),
+judged AS (SELECT base.*, n_words < {limits.least_words} OR 100 * n_repeat_words > {limits.repeat_percent} * n_words AS base_failed,
+  coalesce(by_class.d, 0) AS cd, coalesce(by_word.d, 0) AS wd FROM base LEFT JOIN by_class ON by_class.rid = base.rid LEFT JOIN by_word ON by_word.rid = base.rid)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+  n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND NOT ({over("cd", "word_chars", limits.characters)} OR {over("wd", "n_letter_words", limits.words)}) AS kept
+FROM judged"""
+
+
+@query("op1_quality_rules", _sql())
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict on every document, against references from all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
