@@ -144,12 +144,21 @@ def total_seconds(signals: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return signals.groupBy(*by).agg(F.sum(F.col("n") / F.col("fs")).alias("seconds"))
 
 
+def _centred(n: Column) -> Column:
+    """A unit sample in the middle of ``n`` places."""
+    return F.when(F.col("i") == F.floor(n / 2), 1.0).otherwise(0.0)
+
+
 def pulse(spark, fs: int) -> DataFrame:
     """Four seconds of silence with a unit sample in the middle."""
     n = 4 * fs
-    return spark.range(n).select(
-        F.col("id").alias("i"), F.when(F.col("id") == n // 2, 1.0).otherwise(0.0).alias("v"), F.lit(fs).alias("fs")
-    )
+    return spark.range(n).select(F.col("id").alias("i")).select("i", _centred(F.lit(n)).alias("v"), F.lit(fs).alias("fs"))
+
+
+def pulses(signals: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The same for each row of (keys..., n): silence of its own length with a unit sample in the middle."""
+    grid = signals.where("n > 0").select(*keys, "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
+    return grid.select(*keys, "i", _centred(F.col("n")).alias("v"))
 
 
 def impulses(signals: DataFrame, keys: Sequence[str], seconds: float = 1.0) -> DataFrame:

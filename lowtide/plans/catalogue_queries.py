@@ -150,10 +150,10 @@ def catalogue_last_updated(spark, sf):
     return G.last_updated(entries(spark, sf), ["author"])
 
 
-@query("publish_status", sql_with("filters") + """, s as (select filter_set_id, case when bool_or(kind = 'AllPass' and seq > 5) then 'failed' when count(*) filter (kind <> 'AllPass') > 6 then 'optimised' else 'ok' end as status
- from filters where kind <> 'AllPass' or seq > 5 group by 1) select status, count(*) as entries from s group by 1""")
+@query("publish_status", sql_with("filters") + """, s as (select filter_set_id, case when bool_or(kind = 'AllPass') then 'failed' when count(*) filter (kind <> 'AllPass') > 6 then 'optimised' else 'ok' end as status
+ from filters group by 1) select status, count(*) as entries from s group by 1""")
 def publish_status(spark, sf):
-    rows = filters(spark, sf).where((F.col("kind") != "AllPass") | (F.col("seq") > 5))
+    rows = filters(spark, sf)
     each = F.struct(F.col("kind").alias("type"), "freq", "gain", "q")
     sets = rows.groupBy(F.col("filter_set_id").alias("idx")).agg(F.collect_list(each).alias("filters"))
     return G.status_report(G.publish_status(sets, 6))

@@ -58,14 +58,10 @@ def filtered_spectrum(spark, search: str, response: DataFrame, target_fs: int =
     blocks = read_wav(spark, search)
     stored = materialise(resample_all(blocks, keys, target_fs), "converted")
     curve = P.avg_spectrum(stored, keys)
-    if response.count() > 2 * P.RESPONSE_POINTS:
-        raise ValueError("the response is not one curve")
-    ids = curve.select(*keys).distinct()
-    points = F.array_sort(F.collect_list(F.struct("f", "db")))
-    one = response.agg(points.alias("_r")).select(F.lit(0).alias("_one"), "_r")  # a single bounded curve
-    each = ids.withColumn("_one", F.lit(0)).join(F.broadcast(one), "_one").select(*keys, F.explode("_r").alias("_p"))
-    bent = C.interpolate(each.select(*keys, "_p.f", "_p.db"), curve.select(*keys, "f"), keys)
-    return curve.select(*keys, "f", "db").join(bent.withColumnRenamed("db", "_add"), [*keys, "f"]).select(
+    # The response is read once, at the frequencies that occur: those of the few grids of one target rate.
+    one = lambda df: df.withColumn("_one", F.lit(0))
+    bent = C.interpolate(one(response.select("f", "db")), one(curve.select("f").distinct()), ["_one"])
+    return curve.select(*keys, "f", "db").join(bent.select("f", F.col("db").alias("_add")), "f").select(
         *keys, "f", "db", (F.col("db") + F.col("_add")).alias("filtered_db")
     )
 

@@ -220,10 +220,7 @@ def concatenate(spark, sf):
 select signal_id, cast(k as bigint) as i, case when k = n // 2 then 1.0::double else 0.0::double end as v
  from n, lateral (select unnest(range(cast(n as bigint))) as k)""")
 def pulse_per_signal(spark, sf):
-    sized = S.lengths(samples(spark, sf), KEY)
-    grid = sized.select(*KEY, "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
-    middle = F.col("i") == F.floor(F.col("n") / 2)
-    return grid.select(*KEY, "i", F.when(middle, 1.0).otherwise(0.0).alias("v"))
+    return S.pulses(S.lengths(samples(spark, sf), KEY), KEY)
 
 
 @query("running_energy", W + """select signal_id, i, round(sum(v*v) over (partition by signal_id order by i), 12) as e from samples""")
