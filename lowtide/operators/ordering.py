@@ -73,14 +73,20 @@ def with_group_agg(df: DataFrame, keys: Sequence[str], **aggs: Column) -> DataFr
     return df.join(stats, keys)
 
 
+#: Equal parts that a bin with a wanted rank is cut in.
+QUANTILE_PARTS = 4096
+
+
 def exact_quantile(
     df: DataFrame, keys: Sequence[str], value: str, q: float, name: str, per_octave: int = 32
 ) -> DataFrame:
     """Exact, linearly interpolated quantile per key, for keys of any size.
 
     Equal values are counted first (so a repeated value is one row), distinct
-    values are binned on a logarithmic scale, bin counts locate the one or two
-    bins that hold the wanted ranks, and only those bins are ranked.
+    values are binned on a logarithmic scale, and bin counts locate the one or two
+    bins that hold the wanted ranks. Those are cut into equal parts between their
+    least and greatest value, part counts locate the ranks again, and only the
+    parts that hold them are ranked: no bin, however full, is one group.
     """
     keys = list(keys)
     v = F.col(value)
@@ -89,23 +95,31 @@ def exact_quantile(
     counted = counted.withColumn("_slot", F.floor(F.signum("_v") * scaled))
     for key in (*keys, "_slot"):  # said for both uses below, so one shuffle serves them
         counted = counted.where(F.col(key).isNotNull())
-    bins = counted.groupBy(*keys, "_slot").agg(F.sum("_c").alias("_n"))
+    holds = lambda r: (F.col(r) >= F.col("_base")) & (F.col(r) < F.col("_base") + F.col("_n"))
+    ends = (Window.unboundedPreceding, -1)
     total = Window.partitionBy(*keys)
-    upto = total.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.select(
-        *keys,
-        "_slot",
-        F.col("_n").alias("_binn"),
-        F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_base"),
-        F.sum("_n").over(total).alias("_all"),
-    )
+    bins = counted.groupBy(*keys, "_slot").agg(F.sum("_c").alias("_n"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
+    bins = bins.withColumns({
+        "_base": F.coalesce(F.sum("_n").over(total.orderBy("_slot").rowsBetween(*ends)), F.lit(0)),
+        "_all": F.sum("_n").over(total),
+    })
     rank = (F.col("_all") - 1) * F.lit(float(q))
     bins = bins.withColumn("_lo", F.floor(rank)).withColumn("_hi", F.ceil(rank)).withColumn("_frac", rank - F.floor(rank))
-    holds = lambda r: (F.col(r) >= F.col("_base")) & (F.col(r) < F.col("_base") + F.col("_binn"))
-    wanted = bins.where(holds("_lo") | holds("_hi"))
-    inside = Window.partitionBy(*keys, "_slot").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counted.join(wanted, [*keys, "_slot"]).withColumn(
-        "_start", F.col("_base") + F.coalesce(F.sum("_c").over(inside), F.lit(0))
+    wanted = bins.where(holds("_lo") | holds("_hi")).drop("_n")
+
+    width = F.col("_most") - F.col("_least")
+    part = F.when(width > 0, F.floor((F.col("_v") - F.col("_least")) / width * QUANTILE_PARTS)).otherwise(0)
+    inside = counted.join(wanted, [*keys, "_slot"]).withColumn("_part", part.cast("int"))
+    by = [*keys, "_slot", "_part"]
+    about = ["_base", "_all", "_lo", "_hi", "_frac"]
+    parts = inside.groupBy(*by, *about).agg(F.sum("_c").alias("_n"))
+    before = Window.partitionBy(*keys, "_slot").orderBy("_part").rowsBetween(*ends)
+    parts = parts.withColumn("_base", F.col("_base") + F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    parts = parts.where(holds("_lo") | holds("_hi")).drop("_n")
+
+    order = Window.partitionBy(*by).orderBy("_v").rowsBetween(*ends)
+    ranked = inside.select(*by, "_v", "_c").join(parts, by).withColumn(
+        "_start", F.col("_base") + F.coalesce(F.sum("_c").over(order), F.lit(0))
     )
     at = lambda r: F.max(
         F.when((F.col(r) >= F.col("_start")) & (F.col(r) < F.col("_start") + F.col("_c")), F.col("_v"))

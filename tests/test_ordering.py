@@ -48,3 +48,14 @@ def test_group_agg(skewed):
     out = with_group_agg(skewed, ["k"], top=F.max("v"))
     assert out.count() == 20000
     assert out.where("v > top").count() == 0
+
+
+def test_quantile_of_one_octave_ranks_few_rows(spark):
+    """One key, all values in one bin: what a window ranks stays far below the bin."""
+    x = np.random.default_rng(5).uniform(1.0, 1.02, 60_000)
+    df = spark.createDataFrame([("k", float(v)) for v in x], "k string, v double")
+    for q in (0.0, 0.25, 0.5, 0.999, 1.0):
+        out = exact_quantile(df, ["k"], "v", q, "m")
+        assert abs(out.first().m - np.quantile(x, q)) < 1e-12
+    sizes = np.histogram(x, bins=4096, range=(x.min(), x.max()))[0]
+    assert sizes.max() < 60
