@@ -17,6 +17,7 @@ from lowtide.functions.tables import MONO_LFE_DB, MONO_MAIN_DB, REMIX_LFE_DB, RE
 from lowtide.operators import recursive as R
 from lowtide.operators import samples as S
 from lowtide.operators import stats
+from lowtide.operators.ordering import with_group_agg
 from lowtide.session import materialise
 
 LFE = "LFE"
@@ -164,26 +165,31 @@ def mix(samples: DataFrame, mode: str, source: str, target: str, gain_db: float
 def apply_ops(samples: DataFrame, ops: Sequence[dict], keys: Sequence[str] = ("title", "channel")) -> DataFrame:
     """Run gain, delay, polarity and mute operations in order, each on its channels.
 
-    An operation is {kind, channels, value, enabled}; a disabled one is skipped.
+    An operation is {kind, channels, value, enabled}; a disabled one is skipped. The list is folded into one factor and
+    one way per channel, so the samples are read no more often for more operations.
     """
-    out = samples
+    factor, by, low, high = F.lit(1.0), F.lit(0), F.lit(0), F.lit(0)
+    delays = False
     for op in ops:
         if not op.get("enabled", True):
             continue
         on = F.col("channel").isin(*op["channels"])
         kind = op["kind"]
         if kind == "gain":
-            out = out.withColumn("v", F.when(on, F.col("v") * 10.0 ** (op["value"] / 20.0)).otherwise(F.col("v")))
+            factor = factor * F.when(on, 10.0 ** (op["value"] / 20.0)).otherwise(1.0)
         elif kind == "polarity":
-            out = out.withColumn("v", F.when(on, -F.col("v")).otherwise(F.col("v")))
+            factor = factor * F.when(on, -1.0).otherwise(1.0)
         elif kind == "mute":
-            out = out.withColumn("v", F.when(on, 0.0).otherwise(F.col("v")))
+            factor = factor * F.when(on, 0.0).otherwise(1.0)
         elif kind == "delay":
-            moved = S.shift(out.where(on), keys, float(op["value"]))
-            out = out.where(~on).select(*keys, "i", "v", "fs").unionByName(moved)
+            by = by + F.when(on, S.whole_samples(float(op["value"]))).otherwise(0)
+            low, high, delays = F.least(low, by), F.greatest(high, by), True
         else:
             raise ValueError(f"unknown operation {kind}")
-    return out
+    out = samples.select(*keys, "i", "v", "fs")
+    if delays:
+        out = S.moved(with_group_agg(out, list(keys), _n=F.max("i") + 1), by, low, high)
+    return out.withColumn("v", F.col("v") * factor)
 
 
 def route(samples: DataFrame, routes: DataFrame, on: Sequence[str] = ("title",)) -> DataFrame:

@@ -88,25 +88,29 @@ def cut(samples: DataFrame, keys: Sequence[str], start_s: float, end_s: float) -
     return sized.where(outside | F.col("i").between(first, last)).drop("_n")
 
 
+def whole_samples(ms: float | Column) -> Column:
+    """A time as whole samples at the row's rate."""
+    return F.floor((ms if isinstance(ms, Column) else F.lit(float(ms))) * F.col("fs") / 1000.0).cast("long")
+
+
+def moved(sized: DataFrame, by: Column, low: Column, high: Column) -> DataFrame:
+    """Rows (keys..., i, v, _n) moved by ``by`` samples in all, having been as far as ``low`` and ``high`` on the way;
+    what has left the signal is silence.
+
+    Positions turn round at the ends: a row that falls out becomes the silence of a place left empty, so no other row is
+    made and none is lost.
+    """
+    stays = (F.col("i") >= F.greatest(-low, F.lit(0))) & (F.col("i") < F.col("_n") - F.greatest(high, F.lit(0)))
+    return sized.withColumns({"i": F.pmod(F.col("i") + by, F.col("_n")), "v": F.when(stays, F.col("v")).otherwise(0.0)}).drop("_n")
+
+
 def shift(samples: DataFrame, keys: Sequence[str], ms: float | Column) -> DataFrame:
     """Delay (positive) or advance (negative) by whole samples, length kept; the
-    vacated end is silence, generated from the signal length alone."""
+    vacated end is silence."""
     keys = list(keys)
-    ms = ms if isinstance(ms, Column) else F.lit(float(ms))
-    by = F.floor(ms * F.col("fs") / 1000.0).cast("long")
-    samples = samples.select(*keys, "i", "v", "fs")
-    sized = with_group_agg(samples, keys, _n=F.max("i") + 1)
-    moved = (
-        sized.withColumn("i", F.col("i") + by)
-        .where((F.col("i") >= 0) & (F.col("i") < F.col("_n")))
-        .drop("_n")
-    )
-    heads = samples.groupBy(*keys).agg((F.max("i") + 1).alias("_n"), F.first("fs").alias("fs"))
-    step = F.least(F.abs(by), F.col("_n"))
-    low = F.when(by > 0, F.lit(0)).otherwise(F.col("_n") - step)
-    gap = heads.where(step > 0).withColumn("i", F.explode(F.sequence(low, low + step - 1)))
-    silence = gap.withColumn("v", F.lit(0.0)).drop("_n")
-    return moved.unionByName(silence.select(*moved.columns))
+    sized = with_group_agg(samples.select(*keys, "i", "v", "fs"), keys, _n=F.max("i") + 1)
+    by = whole_samples(ms)
+    return moved(sized, by, by, by)
 
 
 def step_response(samples: DataFrame, keys: Sequence[str], block: int = 1 << 16) -> DataFrame:

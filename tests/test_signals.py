@@ -147,3 +147,32 @@ def test_spectra_evaluate_their_transform_once(spark):
     for df, most in ((P.avg_spectrum(blocks, ["signal_id"]), 1), (P.peak_spectrum(blocks, ["signal_id"]), 1), (cells, 2)):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("ArrowEvalPython") == most
+
+
+def test_operations_fold_into_one_pass(spark):
+    """Delays and advances one after the other lose what leaves the signal, however many there are."""
+    x = np.arange(1.0, 13.0)
+    rows = [("t", c, i, float(v), 1000) for c in ("FL", "FR", "BR") for i, v in enumerate(x)]
+    samples = spark.createDataFrame(rows, "title string, channel string, i long, v double, fs int")
+    ops = [
+        {"kind": "delay", "channels": ["FL"], "value": 4.0}, {"kind": "gain", "channels": ["FL", "FR"], "value": 20.0},
+        {"kind": "delay", "channels": ["FL", "FR"], "value": -6.0}, {"kind": "polarity", "channels": ["FR"]},
+        {"kind": "delay", "channels": ["FL"], "value": 3.0}, {"kind": "delay", "channels": ["FL"], "value": 99.0, "enabled": False},
+        {"kind": "delay", "channels": ["BR"], "value": 40.0},
+    ]
+
+    def moved(v, by):
+        out = np.zeros_like(v)
+        if abs(by) < len(v):
+            out[max(by, 0):len(v) + min(by, 0)] = v[max(-by, 0):len(v) - max(by, 0)]
+        return out
+
+    want = {"FL": moved(moved(moved(x, 4), -6), 3) * 10, "FR": -moved(x, -6) * 10, "BR": np.zeros(12)}
+    out = M.apply_ops(samples, ops)
+    got = out.toPandas().sort_values("i")
+    for c, v in want.items():
+        mine = got[got.channel == c]
+        assert mine["i"].tolist() == list(range(12)) and np.allclose(mine["v"], v)
+    few, many = M.apply_ops(samples, ops[:1]), M.apply_ops(samples, ops * 5)
+    scans = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") + df._jdf.queryExecution().optimizedPlan().toString().count("LocalRelation")
+    assert scans(many) == scans(few)
