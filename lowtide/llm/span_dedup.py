@@ -106,13 +106,18 @@ def repeated(docs: DataFrame, sentences: int = SENTENCES, least_words: int = LEA
     All spans are joined with those that occur again; counts are added up before they move, and a frequent span is one
     row of the smaller side, so that adaptive execution can split the other.
     """
-    stored = materialise(spans(docs, sentences, least_words), "spans")
+    # A stored row number stands for the document: it is narrow and, unlike a hash, compresses in the shuffle.
+    stored = materialise(spans(docs, sentences, least_words).withColumn("row", F.monotonically_increasing_id()), "spans")
     rank = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))  # null ids come before all others
-    every = stored.select("doc_id", "place", rank.alias("rank"), F.explode("spans").alias("s")).select("doc_id", "place", "rank", "s.*")
-    first = every.groupBy("key", "check").agg(F.min("rank").alias("_least"), F.max("rank").alias("_most"), F.max("again").alias("_again"))
-    several = first.where("_most > _least OR _again").select("key", "check", "_least")
-    later = every.join(several, ["key", "check"]).where(F.col("again") | (F.col("rank") > F.col("_least")))
-    return later.groupBy("doc_id", "place").agg(F.collect_set("at").alias("spans"))
+    every = stored.select("row", rank.alias("rank"), F.explode("spans").alias("s")).select("row", "rank", "s.*")
+    once = every.where(~F.col("again")).select("row", "rank", "at", "key", "check")
+    first = once.groupBy("key", "check").agg(F.min("rank").alias("_least"), F.max("rank").alias("_most"))
+    several = first.where("_most > _least").select("key", "check", "_least")
+    later = once.join(several, ["key", "check"]).where(F.col("rank") > F.col("_least")).select("row", "at")
+    # What a text has earlier itself is known without the others.
+    marked = later.unionByName(every.where("again").select("row", "at")).groupBy("row").agg(F.collect_set("at").alias("spans"))
+    named = stored.select("row", "doc_id", "place").join(marked, "row")
+    return named.groupBy("doc_id", "place").agg(F.first("spans").alias("spans"))  # repeated rows have the same
 
 
 def without(text: str, first: list[int], sentences: int = SENTENCES, least_words: int = LEAST_WORDS) -> tuple[str, int]:
