@@ -27,10 +27,17 @@ def signed(v: Column, text: Column) -> Column:
     return F.when(v >= 0, F.concat(F.lit("+"), text)).otherwise(text)
 
 
+def _bound(c: Column, fn) -> Column:
+    """``fn`` of a value that is computed once, however often ``fn`` uses it."""
+    return F.transform(F.array(c), fn)[0]
+
+
 def plain(v: Column) -> Column:
     """A double in full without an exponent, with the fewest digits that tell it apart, at least one decimal."""
-    v = v.cast("double") + F.lit(0.0)
-    parts = F.split(F.abs(v).cast("string"), "E")
+    return _bound(v.cast("double") + F.lit(0.0), lambda x: _bound(F.split(F.abs(x).cast("string"), "E"), lambda parts: _plain(x, parts)))
+
+
+def _plain(v: Column, parts: Column) -> Column:
     mantissa = F.split(parts[0], r"\.")
     digits = F.concat(mantissa[0], F.coalesce(F.get(mantissa, F.lit(1)), F.lit("")))
     point = F.length(mantissa[0]) + F.coalesce(F.get(parts, F.lit(1)).cast("int"), F.lit(0))
