@@ -49,6 +49,12 @@ def _plain(v: Column, parts: Column) -> Column:
     return F.when(v < 0, F.concat(F.lit("-"), s)).otherwise(s)
 
 
+def plain_rounded(v: Column) -> Column:
+    """``plain`` of a number rounded to 20 places or fewer and below 1e18, by way of a decimal."""
+    s = _strip(v.cast("string").cast("decimal(38,20)").cast("string"))
+    return F.when(F.instr(s, ".") > 0, s).otherwise(F.concat(s, F.lit(".0")))
+
+
 def padded(v: Column, width: int = 5) -> Column:
     """Zero-padded decimal text, the sign first."""
     body = F.abs(v).cast("string")

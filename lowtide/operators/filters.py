@@ -419,7 +419,7 @@ def biquad_report(
     pads = counts.select(
         SET, F.explode(F.sequence(F.col("_n") + 1, F.lit(total).cast("long"))).alias("number"), through.alias("sos")
     )
-    show = {"decimal": text.plain, "ieee": text.float_hex, "fixed": text.fixed_hex}[style]
+    show = {"decimal": text.plain if places is None else text.plain_rounded, "ieee": text.float_hex, "fixed": text.fixed_hex}[style]
     sign = -1.0 if device else 1.0
 
     def term(name: str) -> Column:
