@@ -1,4 +1,4 @@
-"""Line deduplication by content-defined chunks of lines."""
+"""Line deduplication by runs of neighbouring lines."""
 
 from __future__ import annotations
 
@@ -11,52 +11,64 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lowtide.llm.registry import query, table
-from lowtide.llm.text import mixed, text_bytes
+from lowtide.llm.text import text_bytes
 from lowtide.session import materialise
 
-#: Line hashes that decide a boundary together.
-WINDOW = 2
-#: A boundary follows one in so many lines, on average.
+#: Of the earlier cuts between chunks. Every two neighbouring lines are a chunk now, so it decides nothing.
 MEAN = 3
-LEAST_LINES = 2
 BATCH_BYTES = 4 << 20
 
 
-def chunk_ends(hashes: np.ndarray, mean: int = MEAN) -> np.ndarray:
-    """Ends of the chunks of a sequence of line hashes: after the lines at which a rolling hash of the last WINDOW line
-    hashes is 0 modulo ``mean``, and at the end. Lines put in or taken out elsewhere do not move them."""
-    if not len(hashes):
-        return np.zeros(0, np.int64)
-    roll = mixed(hashes)
-    for k in range(1, WINDOW):
-        roll[k:] = roll[k:] * np.uint64(3) + mixed(hashes[:-k]) * np.uint64(2 * k + 3)
-    at = np.flatnonzero(mixed(roll) % np.uint64(mean) == 0) + 1
-    return at if len(at) and at[-1] == len(hashes) else np.append(at, len(hashes))
+def _lines(data: bytes) -> tuple[list[bytes], np.ndarray]:
+    """The lines that are not blank, trimmed, and their places among all lines."""
+    lines = [x.strip() for x in data.split(b"\n")]
+    full = [i for i, x in enumerate(lines) if x]
+    return [lines[i] for i in full], np.array(full, np.int64)
 
 
-def _lines(data: bytes) -> tuple[list[bytes], np.ndarray]:
-    """All lines, and the places of those that are not blank."""
-    lines = data.split(b"\n")
-    return lines, np.array([i for i, x in enumerate(lines) if x.strip()], np.int64)
+def _chunks(data: bytes, mean: int = MEAN) -> Iterator[tuple[int, int, bytes]]:
+    """(first line, line after the last, both lines trimmed) of every two neighbouring lines that are not blank."""
+    trimmed, full = _lines(data)
+    for k in range(len(trimmed) - 1):
+        yield int(full[k]), int(full[k + 1]) + 1, trimmed[k] + b"\n" + trimmed[k + 1]
+
+
+def _keys(lines: list[bytes], bits: int) -> list[int]:
+    return [(xxhash.xxh3_64_intdigest(x) & ((1 << bits) - 1)) - (1 << 63) for x in lines]
 
 
-def _chunks(data: bytes, mean: int) -> Iterator[tuple[int, int, bytes]]:
-    """(first line, line after the last, the lines that are not blank, trimmed) of each chunk of LEAST_LINES or more."""
-    lines, full = _lines(data)
-    trimmed = [lines[i].strip() for i in full.tolist()]
-    ends = chunk_ends(np.fromiter(map(xxhash.xxh3_64_intdigest, trimmed), np.uint64, len(trimmed)), mean)
-    for a, b in zip([0, *ends[:-1].tolist()], ends.tolist()):
-        if b - a >= LEAST_LINES:
-            yield int(full[a]), int(full[b - 1]) + 1, b"\n".join(trimmed[a:b])
+def line_contents(docs: DataFrame, bits: int = 64) -> DataFrame:
+    """(key, line): the lines of texts with several, each once a batch, and their hashes."""
+    schema = pa.schema([("key", pa.int64()), ("line", pa.binary())])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(lines: set[bytes]) -> pa.RecordBatch:
+            found = list(lines)
+            return pa.RecordBatch.from_arrays([pa.array(_keys(found, bits), pa.int64()), pa.array(found, pa.binary())], schema=schema)
 
-def line_chunks(docs: DataFrame, mean: int = MEAN, with_bytes: bool = True, bits: int = 64) -> DataFrame:
-    """(doc_id, place, first, after, key, again[, chunk]) of every chunk of several lines.
+        for batch in batches:
+            lines: set[bytes] = set()
+            size = 0
+            for raw in text_bytes(batch.column(0)):
+                trimmed, _ = _lines(raw)
+                if len(trimmed) > 1:
+                    lines.update(trimmed)
+                    size += len(raw)
+                if size > BATCH_BYTES:
+                    yield rows(lines)
+                    lines, size = set(), 0
+            yield rows(lines)
 
-    ``place`` hashes the text, ``again`` is set where the document has the chunk earlier; ``bits`` is lowered only in
-    tests, to provoke collisions.
+    return docs.select("text").mapInArrow(run, "key long, line binary")
+
+
+def line_chunks(docs: DataFrame, with_bytes: bool = False, bits: int = 64) -> DataFrame:
+    """(doc_id, place, first, after, one, two, again[, chunk]) of every two neighbouring lines.
+
+    ``place`` hashes the text, ``one`` and ``two`` the lines, ``again`` is set where the document has the chunk earlier;
+    ``bits`` is lowered only in tests, to provoke collisions.
     """
-    fields = [("doc_id", pa.int64()), ("place", pa.int64()), ("first", pa.int32()), ("after", pa.int32()), ("key", pa.int64()), ("again", pa.bool_())]
+    fields = [("doc_id", pa.int64()), ("place", pa.int64()), ("first", pa.int32()), ("after", pa.int32()), ("one", pa.int64()), ("two", pa.int64()), ("again", pa.bool_())]
     schema = pa.schema(fields + [("chunk", pa.binary())] * with_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,20 +76,26 @@ def line_chunks(docs: DataFrame, mean: int = MEAN, with_bytes: bool = True, bits
             rows: list[list] = [[] for _ in schema]
             size = 0
             for doc_id, place, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch.column(2))):
+                trimmed, full = _lines(raw)
+                n = len(trimmed) - 1
+                if n < 1:
+                    continue
+                keys = _keys(trimmed, bits)
                 seen = set()
-                for first, after, chunk in _chunks(raw, mean):
-                    key = (xxhash.xxh3_64_intdigest(chunk) & ((1 << bits) - 1)) - (1 << 63)
-                    row = (doc_id, place, first, after, key, chunk in seen) + (chunk,) * with_bytes
-                    for column, value in zip(rows, row):
-                        column.append(value)
-                    seen.add(chunk)
-                    size += len(chunk) * with_bytes
+                again = []
+                for pair in zip(trimmed, trimmed[1:]):
+                    again.append(pair in seen)
+                    seen.add(pair)
+                values = [[doc_id] * n, [place] * n, full[:-1].tolist(), (full[1:] + 1).tolist(), keys[:-1], keys[1:], again]
+                for column, part in zip(rows, values + [[chunk for _, _, chunk in _chunks(raw)]] * with_bytes):
+                    column += part
+                size += len(raw)
                 if size > BATCH_BYTES:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, schema.types)], schema=schema)
                     rows, size = [[] for _ in schema], 0
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, schema.types)], schema=schema)
 
-    types = "doc_id long, place long, first int, after int, key long, again boolean" + ", chunk binary" * with_bytes
+    types = "doc_id long, place long, first int, after int, one long, two long, again boolean" + ", chunk binary" * with_bytes
     return docs.select("doc_id", F.xxhash64("text").alias("place"), "text").mapInArrow(run, types)
 
 
@@ -86,39 +104,48 @@ def _rank() -> Column:
     return F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
 
 
-def repeats(docs: DataFrame, mean: int = MEAN, bits: int = 64) -> DataFrame:
+def repeats(docs: DataFrame, bits: int = 64) -> DataFrame:
     """(doc_id, place, first, after): the line ranges whose content another place has first.
 
-    Contents are brought together by their bytes, which is the comparison, and added up before they move. Where a hash
-    has a single content, the chunks that repeat it are found by the hash alone; the others, should there be any, by
-    their bytes.
+    Lines are brought together by their bytes, each once, which is the comparison. Where a hash has a single line, it
+    stands for that line, and chunks are compared by the hashes of both lines; chunks with another line, should there be
+    any, by their bytes. Counts are added up before they move.
     """
-    narrow = line_chunks(docs, mean, with_bytes=False, bits=bits)
-    wide = line_chunks(docs, mean, bits=bits)
-    contents = wide.groupBy("key", "chunk").agg(F.count(F.lit(1)).alias("_uses"), F.min(_rank()).alias("_least"))
-    keys = contents.groupBy("key").agg(F.count(F.lit(1)).alias("_contents"), F.max("_uses").alias("_uses"), F.min("_least").alias("_least"))
-    keys = materialise(keys.where("_uses > 1"), "keys")
-    later = F.col("again") | (_rank() > F.col("_least"))
     columns = ("doc_id", "place", "first", "after")
-    found = narrow.join(keys.where("_contents = 1"), "key").where(later).select(*columns)
-    clashes = keys.where("_contents > 1").select("key")
+
+    def later(chunks: DataFrame, *by: str) -> DataFrame:
+        first = chunks.groupBy(*by).agg(F.count(F.lit(1)).alias("_uses"), F.min(_rank()).alias("_least")).where("_uses > 1")
+        return chunks.join(first, list(by)).where(F.col("again") | (_rank() > F.col("_least"))).select(*columns)
+
+    several = line_contents(docs, bits).distinct().groupBy("key").agg(F.count(F.lit(1)).alias("_lines")).where("_lines > 1")
+    clashes = materialise(several.select("key"), "clashes")
     if clashes.isEmpty():
-        return found
-    exact = contents.join(clashes, "key").where("_uses > 1").select("key", "chunk", "_least")
-    return found.unionByName(wide.join(exact, ["key", "chunk"]).where(later).select(*columns))
+        return later(line_chunks(docs, bits=bits), "one", "two")
+
+    def split(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+        for c in ("one", "two"):
+            chunks = chunks.join(clashes.select(F.col("key").alias(c), F.lit(True).alias(f"_{c}")), c, "left")
+        clash = F.col("_one").isNotNull() | F.col("_two").isNotNull()
+        return chunks.where(~clash), chunks.where(clash)
+
+    clear, _ = split(line_chunks(docs, bits=bits))
+    _, exact = split(line_chunks(docs, with_bytes=True, bits=bits))
+    return later(clear, "one", "two").unionByName(later(exact, "chunk"))
 
 
-def deduplicate(docs: DataFrame, mean: int = MEAN, bits: int = 64) -> DataFrame:
+def deduplicate(docs: DataFrame, bits: int = 64) -> DataFrame:
     """All rows, ``text`` without its repeated chunks of lines, and ``removed_lines``.
 
-    A chunk is a run of at least two lines that are not blank, between boundaries that its content decides; it is
-    compared without the white space around its lines. Of equal chunks the first stays: that of the least ``doc_id``
-    (null before all), and in it the first. Rows with equal ids count as one document, so neither removes from the other
-    and repeated rows stay alike. Blank lines stay. Null and empty texts, and texts of one line, stay as they are; a
-    text all of whose lines are repeats becomes empty. Very long texts are read line by line and only chunks move. An
-    empty table gives no rows. Other columns pass through; one called ``removed_lines`` is replaced.
+    A chunk is two neighbouring lines that are not blank, compared without the white space around them; every line but
+    the last begins one, so a repeated run of two or more lines goes whole, wherever it stands. Of equal chunks the
+    first stays: that of the least ``doc_id`` (null before all), and in it the first; so the first place of each line
+    stays, and of three or more equal lines in a row only the first. Rows with equal ids count as one document, so
+    neither removes from the other and repeated rows stay alike. Blank lines stay, but not those inside a chunk. Null
+    and empty texts, and texts of one line, stay as they are; a text all of whose lines are repeats becomes empty. Very
+    long texts are read line by line and only chunks move. An empty table gives no rows. Other columns pass through; one
+    called ``removed_lines`` is replaced.
     """
-    spans = repeats(docs.select("doc_id", "text"), mean, bits).groupBy("doc_id", "place").agg(
+    spans = repeats(docs.select("doc_id", "text"), bits).groupBy("doc_id", "place").agg(
         F.sort_array(F.collect_set(F.struct("first", "after"))).alias("_spans")
     )
     spans = spans.select(F.col("doc_id").alias("_doc"), F.col("place").alias("_place"), "_spans")
@@ -127,7 +154,7 @@ def deduplicate(docs: DataFrame, mean: int = MEAN, bits: int = 64) -> DataFrame:
     out = out.withColumn("_lines", F.when(F.col("_spans").isNotNull(), F.split("text", "\n")))
     start = F.concat(F.array(F.lit(0)), F.col("_spans.after"))
     end = F.concat(F.col("_spans.first"), F.array(F.size("_lines")))
-    parts = F.zip_with(start, end, lambda a, b: F.slice("_lines", a + 1, b - a))
+    parts = F.zip_with(start, end, lambda a, b: F.slice("_lines", a + 1, F.greatest(b - a, F.lit(0))))  # chunks overlap
     out = out.withColumn("_left", F.flatten(parts))
     return out.select(
         *[F.coalesce(F.array_join("_left", "\n"), F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns if c != "removed_lines"],
@@ -137,5 +164,5 @@ def deduplicate(docs: DataFrame, mean: int = MEAN, bits: int = 64) -> DataFrame:
 
 @query("op7_line_dedup")
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents without their repeated chunks of lines."""
+    """All documents without their repeated runs of lines."""
     return deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))

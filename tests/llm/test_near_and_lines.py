@@ -126,6 +126,29 @@ def test_line_chunks_of_the_table(spark):
     assert sorted(((r.doc_id, r.text, r.removed_lines) for r in got), key=repr) == _brute_lines(docs)
 
 
+def test_repeated_lines_go_whole(make):
+    """Every repeated run of two or more lines, by plain comparison of lines, wherever it stands."""
+    rows, n = [], 0
+    for length in (2, 3, 4, 5, 6, 8, 10, 20):
+        for k in range(6):
+            block = [f"run {length} {k} line {i}" for i in range(length)]
+            for copy in range(2):
+                own = [f"own {n} {i}" for i in range(7)]
+                rows.append((n, "\n".join(own[: k + 1] + block + own[k + 1 :])))
+                n += 1
+    for length in (1, 2, 3, 5, 10, 30):
+        whole = "\n".join(f"copy {length} line {i}" for i in range(length))
+        rows += [(n, whole), (n + 1, whole)]
+        n += 2
+    got = {r.doc_id: (r.text, r.removed_lines) for r in line_dedup.deduplicate(make(rows)).collect()}
+    for doc_id, text in rows:
+        if doc_id % 2 == 0 or "\n" not in text:
+            assert got[doc_id] == (text, 0)
+        else:
+            left = [x for x in text.split("\n") if x.startswith("own")]
+            assert got[doc_id] == ("\n".join(left), text.count("\n") + 1 - len(left))
+
+
 def _brute_spans(rows, sentences=span_dedup.SENTENCES, least=span_dedup.LEAST_WORDS):
     spans, first = [], {}
     for n, (doc_id, text) in enumerate(rows):
