@@ -18,32 +18,52 @@ from lowtide.session import materialise
 #: Consecutive sentences and words that a span has at least.
 SENTENCES = 3
 LEAST_WORDS = 20
-#: A sentence of more words is cut further, by its hash after one word in CUT.
-LONG = 16
-CUT = 8
+#: A sentence of more words is cut further, after the word of least hash in every REACH words.
+LONG = 9
+REACH = 6
 WORD = re.compile(r"\S+")
 #: What stands between sentences: white space after an end mark, line ends, and the place after a full-width end mark.
 BETWEEN = re.compile(r"(?<=[.!?])\s+|\n\s*|(?<=[。！？])\s*")
 
 
+def _clause_ends(words: list[str]) -> list[int]:
+    """The words of a long sentence that end a clause: of every REACH neighbouring words the last one of least hash.
+
+    Commas, semicolons and colons come before all hashes. What is a cut depends on REACH - 1 words on either side alone,
+    and two cuts are at most REACH words apart.
+    """
+    rank = [-1 if w[-1] in ",;:" else xxhash.xxh3_64_intdigest(w.lower()) for w in words]
+    out = []
+    least = -1  # where the least rank of the last REACH words stands
+    for i, r in enumerate(rank):
+        if least <= i - REACH:
+            least = i - REACH + 1
+            for k in range(least + 1, i + 1):
+                if rank[k] <= rank[least]:
+                    least = k
+        elif r <= rank[least]:
+            least = i
+        if i >= REACH - 1 and (not out or out[-1] != least):
+            out.append(least)
+    return out
+
+
 def sentence_starts(text: str) -> list[int]:
     """Where sentences begin; each reaches to the next, with the white space in between.
 
-    A sentence of more than LONG words is cut further, where its own words say so: after a comma, semicolon or colon, and
-    after one word in CUT by its hash. So a repeated passage without end marks has boundaries too, wherever it stands.
+    A sentence of more than LONG words is cut further, where its own words say so. Of a passage inside other text at most
+    2 * REACH - 1 = 11 words on either side then stand before its first or after its last cut that does not depend on the
+    text around it, and no sentence or clause between them has more than LONG words. So every passage of 50 words has
+    within it three whole ones with 20 words.
     """
     ends = [m.end() for m in BETWEEN.finditer(text)]
     starts = []
     for a, b in zip([0, *ends], [*ends, len(text)]):
         if a < b and (not starts or a > starts[-1]):
             starts.append(a)
-            if len(text[a:b].split()) > LONG:
-                cut = False
-                for m in WORD.finditer(text, a, b):
-                    if cut:
-                        starts.append(m.start())
-                    word = m.group()
-                    cut = word[-1] in ",;:" or xxhash.xxh3_64_intdigest(word.lower()) % CUT == 0
+            words = list(WORD.finditer(text, a, b))
+            if len(words) > LONG:
+                starts += [words[i + 1].start() for i in _clause_ends([m.group() for m in words]) if i + 1 < len(words)]
     return starts
 
 
@@ -77,8 +97,8 @@ def span_keys(text: str, sentences: int = SENTENCES, least_words: int = LEAST_WO
 
 
 def spans(docs: DataFrame, sentences: int = SENTENCES, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(doc_id, place, spans) for texts with spans: (first sentence, key, check, whether the text has it earlier)."""
-    kind = pa.struct([("at", pa.int32()), ("key", pa.int64()), ("check", pa.int32()), ("again", pa.bool_())])
+    """(doc_id, place, spans) for texts with spans: from each sentence on (key, check, whether the text has it earlier)."""
+    kind = pa.struct([("key", pa.int64()), ("check", pa.int32()), ("again", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,30 +110,39 @@ def spans(docs: DataFrame, sentences: int = SENTENCES, least_words: int = LEAST_
                 once[np.unique(np.stack([key, check.astype(np.int64)]), axis=1, return_index=True)[1]] = False
                 again.append(once)
             ends = np.cumsum([0] + [len(key) for key, _ in found])
-            at = [np.arange(len(key)) for key, _ in found]
-            columns = [np.concatenate(c) if found else np.zeros(0) for c in (at, [f[0] for f in found], [f[1] for f in found], again)]
+            columns = [np.concatenate(c) if found else np.zeros(0) for c in ([f[0] for f in found], [f[1] for f in found], again)]
             rows = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind)], fields=list(kind))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
             yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(places, pa.int64()), lists], ["doc_id", "place", "spans"])
 
-    types = "doc_id long, place long, spans array<struct<at:int,key:long,check:int,again:boolean>>"
+    types = "doc_id long, place long, spans array<struct<key:long,check:int,again:boolean>>"
     return docs.select("doc_id", F.xxhash64("text").alias("place"), "text").mapInArrow(run, types).where("size(spans) > 0")
 
 
 def repeated(docs: DataFrame, sentences: int = SENTENCES, least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, place, spans): per document the first sentences of its spans that another place has first.
 
-    All spans are joined with those that occur again; counts are added up before they move, and a frequent span is one
-    row of the smaller side, so that adaptive execution can split the other.
+    A first count of 40 bits of the keys tells which spans may occur again; only those are compared by all 96 bits. Counts
+    are added up before they move, and a frequent span is one row of the smaller side, so that adaptive execution can
+    split the other.
     """
     # A stored row number stands for the document: it is narrow and, unlike a hash, compresses in the shuffle.
     stored = materialise(spans(docs, sentences, least_words).withColumn("row", F.monotonically_increasing_id()), "spans")
+    every = stored.select("row", F.posexplode("spans").alias("at", "s")).select("row", "at", "s.*")
+    once = every.where(~F.col("again"))
+    bits = F.shiftrightunsigned("key", 24)
+    more = once.groupBy(bits.alias("_bits")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_bits")
+    # Place and check share a column, and ranks follow later: few rows are left then.
+    low = F.lit((1 << 32) - 1)
+    tail = F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("check").cast("long").bitwiseAND(low))
+    left = once.select("row", "key", tail.alias("tail")).join(more, bits == F.col("_bits"))
     rank = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))  # null ids come before all others
-    every = stored.select("row", rank.alias("rank"), F.explode("spans").alias("s")).select("row", "rank", "s.*")
-    once = every.where(~F.col("again")).select("row", "rank", "at", "key", "check")
-    first = once.groupBy("key", "check").agg(F.min("rank").alias("_least"), F.max("rank").alias("_most"))
+    left = left.join(stored.select("row", rank.alias("rank")), "row")
+    left = left.select("row", "rank", "key", F.shiftright("tail", 32).cast("int").alias("at"), F.col("tail").bitwiseAND(low).alias("check"))
+    left = materialise(left, "candidates")
+    first = left.groupBy("key", "check").agg(F.min("rank").alias("_least"), F.max("rank").alias("_most"))
     several = first.where("_most > _least").select("key", "check", "_least")
-    later = once.join(several, ["key", "check"]).where(F.col("rank") > F.col("_least")).select("row", "at")
+    later = left.join(several, ["key", "check"]).where(F.col("rank") > F.col("_least")).select("row", "at")
     # What a text has earlier itself is known without the others.
     marked = later.unionByName(every.where("again").select("row", "at")).groupBy("row").agg(F.collect_set("at").alias("spans"))
     named = stored.select("row", "doc_id", "place").join(marked, "row")
@@ -137,7 +166,7 @@ def deduplicate(docs: DataFrame, sentences: int = SENTENCES, least_words: int =
     """All rows, ``text`` without the sentences covered by a repeated span, and ``removed_sentences``.
 
     Sentences end after ``. ! ?`` before white space, at line ends, and after full-width end marks; those of more than
-    16 words are cut into clauses. From each one on, the shortest run of at least ``sentences`` of them with at least
+    9 words are cut into clauses. From each one on, the shortest run of at least ``sentences`` of them with at least
     ``least_words`` words is a span; spans are equal in everything but case
     and white space, by 96 bits of hash. The first place of a span stays: in the least ``doc_id`` (null before all), the
     first one. Rows with equal ids count as one document, so neither removes from the other and repeated rows stay

@@ -1,8 +1,10 @@
 """Near copies, lines and spans against plain Python."""
 
 import math
+import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -198,6 +200,38 @@ def test_sentence_spans(make, odd_rows, prose):
     assert span_dedup.deduplicate(make([])).count() == 0
 
 
+def _words(n, seed, marks=()):
+    r = random.Random(seed)
+    out = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 8))) for _ in range(n)]
+    return [w + (r.choice(marks) if marks and r.random() < 0.25 else "") for w in out]
+
+
+@pytest.mark.parametrize("marks", [(), (".", ",", ",", "!")])
+@pytest.mark.parametrize("n", [50, 51, 60])
+def test_every_passage_has_a_span_wherever_it_stands(n, marks):
+    """Both texts have a span in common, though the sentences around the passage differ."""
+    for seed in range(150):
+        passage = _words(n, seed, marks)
+        keys = []
+        for side in (1, 2):
+            text = " ".join(_words(seed * side % 23, 1000 * side + seed, marks) + passage + _words(seed // side % 19, 3000 * side + seed, marks))
+            keys.append(set(zip(*map(np.ndarray.tolist, span_dedup.span_keys(text)))))
+        assert keys[0] & keys[1]
+
+
+def test_passages_without_marks_go(make):
+    rows, passages = [], {}
+    for k in range(60):
+        passage = _words(51, 7000 + k)
+        for side in (0, 1):
+            rows.append((2 * k + side, " ".join(_words(3 + k % 17 + 5 * side, 100 * k + side) + passage + _words(30 - k % 13, 9000 + 100 * k + side))))
+        passages[2 * k + 1] = passage
+    got = {r.doc_id: r.text.split() for r in span_dedup.deduplicate(make(rows)).collect()}
+    for doc_id, passage in passages.items():
+        assert len(set(passage) & set(got[doc_id])) <= 51 - 20
+        assert set(got[doc_id]) | set(passage) == set(dict(rows)[doc_id].split())
+
+
 def test_sentence_spans_of_the_table(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
     got = QUERIES["op9_substring_dedup"](spark, SMALL).collect()
