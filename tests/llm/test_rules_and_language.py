@@ -230,3 +230,19 @@ def test_pipeline_stage_by_stage(spark):
     copies = Counter(r.doc_id for r in rows["mixing"])
     assert tokens == Counter({d: n * whole[d] for d, n in copies.items()})
     assert corpus_pipeline.run(spark, SMALL).count() == len(rows["packing"])
+
+
+def test_no_scrap_of_a_copy_reaches_packing(spark, make):
+    """Exact copies of documents of 2, 3, 5 and 10 lines; all that is mixed and packed is of the first ones."""
+    rows, firsts = [], set()
+    for k in range(40):
+        length = (2, 3, 5, 10)[k % 4]
+        text = "\n".join(" ".join(f"w{k}x{i}y{j}" for j in range(9)) for i in range(length))
+        firsts.add(100 + k)
+        rows += [(100 + k + 1000 * copy, text, "en", "abc"[copy]) for copy in range(3)]
+    docs = make(rows)
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        docs = near_dedup.materialise(stage(spark, docs, SMALL), "stage")
+        if name == "line_dedup":
+            assert {(r.doc_id, r.text) for r in docs.collect()} == {(r[0], r[1]) for r in rows if r[0] < 1000}
+    assert {r.doc_id for r in docs.collect()} <= firsts and docs.count()
