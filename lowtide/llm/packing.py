@@ -42,14 +42,15 @@ class WordIds:
     The tokenizer cuts at white space before anything else, so the ids of a text are those of its words in order; each
     distinct word is encoded once and texts are put together by array lookups. Words of printable Latin characters are
     cut by the tokenizer's own pattern and given to its merge model part by part (its normaliser only lower-cases
-    them); all others go through the whole tokenizer.
+    them); all others, and words with an added token's string, go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = regex.compile("|".join(map(regex.escape, added)) or "(?!)", regex.IGNORECASE)
         self.parts: dict[str, list[int]] = {}
         self._keep(np.zeros(0, np.int64))
 
@@ -81,7 +82,7 @@ class WordIds:
         return ids
 
     def _word(self, word: str) -> bytes:
-        if not (word.isascii() and word.isprintable() or PLAIN.fullmatch(word)):
+        if not (word.isascii() and word.isprintable() or PLAIN.fullmatch(word)) or self.added.search(word):
             return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
         word = word.lower()
         return self._part(word) if word.isalpha() else b"".join(map(self._part, PARTS.findall(word)))
@@ -230,6 +231,7 @@ def pack(cut: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
 def packed_documents(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
     """The pieces of all documents with their places; with the ids on request.
 
+    Ids are those of ``encode(text, add_special_tokens=False)``: the string of an added token in a text is that token.
     A null or empty text is one piece, its end id. Repeated rows are packed each for itself, null ids stay null, very
     long texts become full windows and a rest. An empty table gives no pieces.
     """

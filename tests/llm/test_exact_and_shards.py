@@ -172,6 +172,19 @@ def test_packing_round_trip(spark, make, odd_rows):
     assert packing.packed_documents(make([])).count() == 0
 
 
+def test_packing_of_added_tokens(make):
+    """Strings of added tokens in a text, apart and glued to words, by the plain call."""
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path("word_bpe_49k.json"))
+    texts = ["foo <|endoftext|> bar", "<|startoftext|>", "a<|endoftext|>b it's<|startoftext|><|endoftext|>é", "<|ENDOFTEXT|> <|endoftext| > x<|startoftext|>\ny", "日本<|endoftext|>"]
+    got = packing.packed_documents(make(list(enumerate(texts))), with_ids=True).collect()
+    assert {r.doc_id: r.ids for r in got} == {i: tokenizer.encode(x, add_special_tokens=False).ids + [2] for i, x in enumerate(texts)}
+    for r in got:
+        assert r.doc_tokens == r.length == len(r.ids) and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
+
+
 def test_packing_little_padding():
     rng = np.random.default_rng(1)
     lengths = np.clip(rng.lognormal(6.3, 1.0, 1024).astype(int), 1, 4095)
