@@ -8,6 +8,7 @@ from lowtide.llm import (  # noqa: F401
     mixing,
     near_dedup,
     packing,
+    periodic,
     quality,
     sharding,
     span_dedup,
