@@ -12,6 +12,7 @@ from lowtide.llm import (  # noqa: F401
     quality,
     sharding,
     span_dedup,
+    spelling,
 )
 from lowtide.llm.registry import ORACLES, QUERIES
 
