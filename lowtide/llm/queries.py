@@ -1,6 +1,7 @@
 """All queries of this subpackage."""
 
 from lowtide.llm import (  # noqa: F401
+    chat,
     chunk_dedup,
     language,
     line_dedup,
