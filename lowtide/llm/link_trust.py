@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lowtide.llm.columns import keep_columns, put_back
 from lowtide.llm.registry import query, table
 from lowtide.session import materialise
 
@@ -19,9 +20,9 @@ RULES = (
     ("block", "com/de/"),
 )
 DAMPING = 0.85
-#: Steps of the walk: what is left beyond is 0.85**17, 6 percent of the mass of either way.
-STEPS = 16
-#: Steps between two written tables.
+#: The walks end when no more than this part of the seeds' mass still walks and no further host has been reached.
+LEFT = 1e-6
+#: Steps between two written tables, after which that is looked at.
 CUT_EVERY = 6
 #: A host is blocked where more than this share of its score is distrust.
 BLOCK_SHARE = 0.75
@@ -60,30 +61,44 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.select(F.col("host").alias("src"), dst.alias("dst")).where("dst IS NOT NULL").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, steps: int = STEPS, damping: float = DAMPING) -> DataFrame:
+def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, left: float = LEFT) -> DataFrame:
     """(way, host, score): personalised PageRank as the sum of damped walks from the seeds.
 
     ``edges`` (way, src, dst, w) hold one graph for each way of walking, weights out of a host adding up to 1; ``seeds``
-    (way, host, mass). Mass that meets a host without links ends there. Walks are cut off after ``steps``. A host's
-    score so far travels along a loop of its own, so that a step reads the one before it once.
+    (way, host, mass). Mass that meets a host without links ends there. What stays on a host by links to itself, round
+    after round, is summed at once as a geometric series; then steps lead from host to host only. They go on until at
+    most ``left`` of the mass is walking and no host was reached that had not been before, however long the paths are.
+    A host's score so far travels along a loop of its own, so that a step reads the one before it once.
     """
     hosts = edges.select("way", "src").unionByName(edges.select("way", F.col("dst").alias("src")))
     hosts = hosts.unionByName(seeds.select("way", F.col("host").alias("src"))).distinct()
-    moves = edges.select("way", "src", "dst", (F.col("w") * damping).alias("w"), F.lit(0.0).alias("keep"))
-    moves = materialise(moves.unionByName(hosts.select("way", "src", F.col("src").alias("dst"), F.lit(0.0).alias("w"), F.lit(1.0).alias("keep"))), "moves")
+    stays = edges.where("src = dst").select("way", "src", (1 / (1 - F.col("w") * damping)).alias("rounds"))
+    hosts = materialise(hosts.join(stays, ["way", "src"], "left").select("way", "src", F.coalesce("rounds", F.lit(1.0)).alias("rounds")), "hosts")
+    out = edges.where("src <> dst").join(hosts, ["way", "src"]).select("way", "src", "dst", (F.col("w") * damping * F.col("rounds")).alias("w"), F.lit(0.0).alias("keep"))
+    own = hosts.select("way", "src", F.col("src").alias("dst"), F.lit(0.0).alias("w"), F.lit(1.0).alias("keep"))
+    moves = materialise(out.unionByName(own), "moves")
+    # x has just come to the host; score holds what came before.
     state = seeds.select("way", F.col("host").alias("src"), (F.col("mass") * (1 - damping)).alias("x"), F.lit(0.0).alias("score"))
-    for i in range(1, steps + 2):  # one more, to count the last step in
-        state = (
-            state.join(moves, ["way", "src"])
-            .groupBy("way", F.col("dst").alias("src"))
-            .agg(F.sum(F.col("x") * F.col("w")).alias("x"), F.sum((F.col("score") + F.col("x")) * F.col("keep")).alias("score"))
-        )
-        if i % CUT_EVERY == 0:
-            state = materialise(state, "walk")
-    return state.select("way", F.col("src").alias("host"), "score")
-
-
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, share: float = BLOCK_SHARE, steps: int = STEPS) -> DataFrame:
+    known = -1
+    while True:
+        for _ in range(CUT_EVERY):
+            state = (
+                state.join(moves, ["way", "src"])
+                .groupBy("way", F.col("dst").alias("src"))
+                .agg(F.sum(F.col("x") * F.col("w")).alias("x"), F.sum((F.col("score") + F.col("x")) * F.col("keep")).alias("score"))
+            )
+        state = materialise(state, "walk")
+        now = state.agg(F.coalesce(F.sum("x"), F.lit(0.0)).alias("x"), F.count_if((F.col("score") > 0) | (F.col("x") > 0)).alias("n")).first()
+        if now.x <= left * (1 - damping) and now.n == known:
+            break
+        if now.x == 0:
+            break
+        known = now.n
+    total = (F.col("score") + F.col("x")) * F.col("rounds")
+    return state.join(hosts, ["way", "src"]).select("way", F.col("src").alias("host"), total.alias("score"))
+
+
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, share: float = BLOCK_SHARE) -> DataFrame:
     """Adds ``host``, ``path``, ``rule``, ``verdict``, ``trust`` and ``distrust`` to pages (page_id, url, html).
 
     A page that a rule fits has the rule's verdict. For the others, hosts are judged: trust walks along the links from
@@ -93,9 +108,11 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, share: flo
 
     A null url or one without ``://`` has an empty host and path, takes no part in the graph and is allowed, as is a host
     that no walk reaches. Null pages have no links. Repeated rows are judged alike; more links from repeated rows weigh
-    more. An empty table gives no rows. Columns of the added names are replaced.
+    more. An empty table gives no rows. Other columns pass through, whatever they are called; those of the added names
+    are replaced.
     """
     rule, verdict = matched_rule(rules)
+    pages, names = keep_columns(pages, "page_id", "url", "html")
     named = pages.withColumns(url_parts()).withColumns({"rule": rule, "_says": verdict})
     seen = named.where("host <> '' AND _says IS NOT NULL").groupBy("host").agg(
         F.count_if(F.col("_says") == "allow").alias("allow"), F.count_if(F.col("_says") == "block").alias("block")
@@ -111,11 +128,12 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, share: flo
     )
     out = both.groupBy("way", "src").agg(F.sum("n").alias("_out"))
     edges = both.join(out, ["way", "src"]).select("way", "src", "dst", (F.col("n") / F.col("_out")).alias("w"))
-    scores = spread(edges, seeds[0].unionByName(seeds[1]), steps)
+    scores = spread(edges, seeds[0].unionByName(seeds[1]))
     hosts = scores.groupBy("host").agg(*[F.coalesce(F.sum(F.when(F.col("way") == w, F.col("score"))), F.lit(0.0)).alias(w) for w, _, _ in ways])
-    judged = named.drop("trust", "distrust").join(materialise(hosts, "scores"), "host", "left")
+    judged = named.join(materialise(hosts, "scores"), "host", "left")
     bad = F.coalesce(F.col("distrust") > share * (F.col("trust") + F.col("distrust")), F.lit(False))
-    return judged.withColumn("verdict", F.coalesce("_says", F.when(bad, "block").otherwise("allow"))).drop("_says")
+    judged = judged.withColumn("verdict", F.coalesce("_says", F.when(bad, "block").otherwise("allow")))
+    return put_back(judged, names, "host", "path", "rule", "verdict", "trust", "distrust")
 
 
 def _sql() -> str:
@@ -135,11 +153,15 @@ ends AS (SELECT host AS src, CASE WHEN regexp_extract(link, '^(?:[A-Za-z][A-Za-z
 n AS (SELECT src, dst, count(*) AS n FROM ends WHERE dst IS NOT NULL GROUP BY ALL),
 both_ways AS (SELECT 'trust' AS way, src, dst, n FROM n UNION ALL SELECT 'distrust', dst, src, n FROM n),
 e AS (SELECT way, src, dst, n / sum(n) OVER (PARTITION BY way, src) AS w FROM both_ways),
+stay AS (SELECT way, src, 1 / (1 - w * {DAMPING}) AS rounds FROM e WHERE src = dst),
+step AS (SELECT e.way, e.src, e.dst, e.w * {DAMPING} * coalesce(rounds, 1) AS w FROM e LEFT JOIN stay ON stay.way = e.way AND stay.src = e.src WHERE e.src <> e.dst),
+most AS (SELECT greatest(100, count(DISTINCT src)) AS steps FROM both_ways),
 walk AS (
   SELECT 0 AS i, 'trust' AS way, host, {1 - DAMPING} * a / (SELECT sum(a) FROM seen) AS x FROM seen WHERE a > 0
   UNION ALL SELECT 0, 'distrust', host, {1 - DAMPING} * b / (SELECT sum(b) FROM seen) FROM seen WHERE b > 0
-  UNION ALL SELECT i + 1, e.way, e.dst, sum(x * w * {DAMPING}) FROM walk JOIN e ON e.way = walk.way AND e.src = walk.host WHERE i < {STEPS} GROUP BY i, e.way, e.dst),
-h AS (SELECT host, coalesce(sum(x) FILTER (way = 'trust'), 0) AS t, coalesce(sum(x) FILTER (way = 'distrust'), 0) AS d FROM walk GROUP BY host)
+  UNION ALL SELECT i + 1, s.way, s.dst, sum(x * w) FROM walk JOIN step s ON s.way = walk.way AND s.src = walk.host WHERE i < (SELECT steps FROM most) GROUP BY i, s.way, s.dst),
+h AS (SELECT walk.host, coalesce(sum(x * coalesce(rounds, 1)) FILTER (walk.way = 'trust'), 0) AS t, coalesce(sum(x * coalesce(rounds, 1)) FILTER (walk.way = 'distrust'), 0) AS d
+  FROM walk LEFT JOIN stay ON stay.way = walk.way AND stay.src = walk.host GROUP BY walk.host)
 SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.says, CASE WHEN h.d > {BLOCK_SHARE} * (h.t + h.d) THEN 'block' ELSE 'allow' END) AS verdict
 FROM p LEFT JOIN fit f ON f.page_id = p.page_id LEFT JOIN h ON h.host = p.host"""
 
