@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lowtide.llm.columns import keep_columns, put_back
 from lowtide.llm.registry import query, table
 from lowtide.llm.text import mixed, text_bytes
 from lowtide.session import materialise
@@ -28,10 +29,10 @@ PERCENT = 75
 TREES = 12
 BRANCHES = 2
 DEPTH = 4
-#: Minwise tokens of a sketch. At a similarity of 0.75 the share of equal tokens has a standard deviation of 0.038, so
-#: SKETCH_SHARE lies 4.6 of them lower.
+#: Minwise tokens of a sketch, and the share of equal ones from which full sets are compared. A pair at a similarity of 0.75
+#: has less than 68 of 128 equal with a probability of 5 in a hundred million (exact binomial).
 SKETCH = 128
-SKETCH_SHARE = 0.575
+SKETCH_SHARE = 0.53
 #: Documents of a node that are compared exhaustively at once, and shingles that they have together: both bound a task.
 NODE = 2048
 NODE_SHINGLES = 1 << 21
@@ -251,7 +252,8 @@ def near_duplicates(docs: DataFrame, trees: int = TREES, depth: int = DEPTH, nod
 
     A null text, and one without words, has an empty set, links with nothing and is its own component. A text of fewer
     than five words is one shingle. Rows that repeat an id are kept or dropped alike; a null id is never a component's
-    while another is there. An empty table gives no rows. Very long texts only make their own set longer.
+    while another is there. An empty table gives no rows. Very long texts only make their own set longer. Other columns,
+    whatever they are called, play no part.
     """
     rows = materialise(described(docs), "described")
     some = rows.where("n_shingles > 0")
@@ -268,11 +270,13 @@ def near_duplicates(docs: DataFrame, trees: int = TREES, depth: int = DEPTH, nod
 
 
 def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """The documents that stay, with all their columns; rows that repeat an id and text are one document."""
+    """The documents that stay, with all their columns, whatever they are called; rows that repeat an id and text are one
+    document. Null and empty texts stay. An empty table gives no rows."""
     stay = near_duplicates(docs.select("doc_id", "text"), **options).where("kept").select(F.col("doc_id").alias("_doc"), F.col("place").alias("_place")).distinct()
-    rows = docs.withColumn("_at", F.xxhash64("text"))
+    rows, names = keep_columns(docs, "doc_id", "text")
+    rows = rows.withColumn("_at", F.xxhash64("text"))
     found = rows.join(stay, rows["doc_id"].eqNullSafe(stay["_doc"]) & (rows["_at"] == stay["_place"]), "left_semi")
-    return found.select(*docs.columns)
+    return put_back(found, names)
 
 
 @query("op4_near_dedup")
