@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lowtide.llm.columns import REST, keep_columns, put_back
 from lowtide.llm.registry import query, table
 from lowtide.llm.text import mixed, signed
 from lowtide.session import materialise
@@ -136,7 +137,8 @@ def repeated(docs: DataFrame, sentences: int = SENTENCES, least_words: int = LEA
     low = F.lit((1 << 32) - 1)
     tail = F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("check").cast("long").bitwiseAND(low))
     left = once.select("row", "key", tail.alias("tail")).join(more, bits == F.col("_bits"))
-    rank = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))  # null ids come before all others
+    # Rows without id come first, by a hash of the text below zero: of different texts without id one is the first.
+    rank = F.coalesce(F.col("doc_id"), F.least(F.col("place"), -1 - F.col("place")))
     left = left.join(stored.select("row", rank.alias("rank")), "row")
     left = left.select("row", "rank", "key", F.shiftright("tail", 32).cast("int").alias("at"), F.col("tail").bitwiseAND(low).alias("check"))
     left = materialise(left, "candidates")
@@ -168,31 +170,30 @@ def deduplicate(docs: DataFrame, sentences: int = SENTENCES, least_words: int =
     Sentences end after ``. ! ?`` before white space, at line ends, and after full-width end marks; those of more than
     9 words are cut into clauses. From each one on, the shortest run of at least ``sentences`` of them with at least
     ``least_words`` words is a span; spans are equal in everything but case
-    and white space, by 96 bits of hash. The first place of a span stays: in the least ``doc_id`` (null before all), the
-    first one. Rows with equal ids count as one document, so neither removes from the other and repeated rows stay
+    and white space, by 96 bits of hash. The first place of a span stays: in the least ``doc_id`` (null ids count as
+    negative ones that a hash of the text gives), the first one. Rows with equal ids count as one document, so neither removes from the other and repeated rows stay
     alike. Null and empty texts and those of fewer sentences stay as they are. A text that loses all its sentences
-    becomes empty. Very long texts only have more spans. An empty table gives no rows. Other columns pass through; one
-    called ``removed_sentences`` is replaced.
+    becomes empty. Very long texts only have more spans. An empty table gives no rows. Other columns pass through,
+    whatever they are called; one called ``removed_sentences`` is replaced.
     """
-    names = [c for c in docs.columns if c != "removed_sentences"]
     found = repeated(docs.select("doc_id", "text"), sentences, least_words)
     found = found.select(F.col("doc_id").alias("_doc"), F.col("place").alias("_place"), F.col("spans").alias("_spans"))
-    placed = docs.select(*names).withColumn("_at", F.xxhash64("text"))
-    joined = placed.join(found, placed["doc_id"].eqNullSafe(found["_doc"]) & (placed["_at"] == found["_place"]), "left").select(*names, "_spans")
+    placed, names = keep_columns(docs, "doc_id", "text")
+    placed = placed.withColumn("_at", F.xxhash64("text"))
+    joined = placed.join(found, placed["doc_id"].eqNullSafe(found["_doc"]) & (placed["_at"] == found["_place"]), "left")
+    joined = joined.select("doc_id", "text", REST, "_spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        text_at = names.index("text")
         for batch in batches:
-            texts, n = batch.column(text_at).to_pylist(), [0] * batch.num_rows
-            for i, first in enumerate(batch.column(len(names)).to_pylist()):
+            texts, n = batch.column(1).to_pylist(), [0] * batch.num_rows
+            for i, first in enumerate(batch.column(3).to_pylist()):
                 if first:
                     texts[i], n[i] = without(texts[i], first, sentences, least_words)
-            columns = [batch.column(k) for k in range(len(names))]
-            columns[text_at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64())], [*names, "removed_sentences"])
+            columns = [batch.column(0), pa.array(texts, pa.string()), batch.column(2), pa.array(n, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", REST, "removed_sentences"])
 
-    types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    return joined.mapInArrow(run, f"{types}, removed_sentences long")
+    schema = joined.select("doc_id", "text", REST).schema.add("removed_sentences", "long")
+    return put_back(joined.mapInArrow(run, schema), names, "removed_sentences")
 
 
 @query("op9_substring_dedup")
