@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lowtide.llm.columns import keep_columns, put_back
 from lowtide.llm.registry import query, table
 from lowtide.llm.text import word_count
 from lowtide.operators.ordering import with_position
@@ -104,8 +105,11 @@ def mix(docs: DataFrame, size: str, weights: Sequence[float] = (5, 2, 1), most:
 
     A null source is a source of its own. A document without words has no copies and takes none.
     Rows that repeat an id and size are documents of their own, and any of them may be the one taken. A source of no
-    words and an empty table have targets of 0 and no rows. Columns of the added names must not be in ``docs``.
+    words and an empty table have targets of 0 and no rows. Other columns pass through, whatever they are called; those of
+    the added names are replaced.
     """
+    added = ("source_size", "target", "copies", "taken")
+    docs, names = keep_columns(docs, *dict.fromkeys((id, "source", size)))
     sizes = docs.groupBy("source", F.col(size).alias("_size")).agg(F.count(F.lit(1)).alias("_n"))
     sizes = materialise(sizes, "sizes")
     aims = targets(sizes.groupBy("source").agg(F.sum(F.col("_size") * F.col("_n")).alias("source_size")), weights, most)
@@ -137,7 +141,7 @@ def mix(docs: DataFrame, size: str, weights: Sequence[float] = (5, 2, 1), most:
     })
     ranked = with_position(keyed, ["_key"], ["_draw", id], "_rank").join(plans, "_key")
     copies = F.col("_passes") + (F.col("_rank") < F.col("_extra")).cast("long")
-    return ranked.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col(size)).drop("_key", "_draw", "_rank", "_passes", "_extra")
+    return put_back(ranked.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col(size)), names, *added)
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
@@ -145,13 +149,14 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
     Only ids and sizes go through the ranking; texts are joined to their copies once. Rows that repeat an id, text and
     source go together: they are one document of all their words here, and each of them comes as often as it is taken.
+    A null source is one of its own; an empty table gives no rows. Other columns pass through, whatever they are called.
     """
-    names = docs.columns
-    rows = docs.withColumns({"_id": F.col("doc_id"), "_hash": F.xxhash64("text", "source")})
+    rows, names = keep_columns(docs, "doc_id", "text", "source")
+    rows = rows.withColumns({"_id": F.col("doc_id"), "_hash": F.xxhash64("text", "source")})
     slim = rows.groupBy("source", "_id", "_hash").agg(F.sum(word_count("text")).alias("_words"))
     picked = mix(slim, "_words", id="_id", **options).where("taken > 0").select(F.col("_id").alias("_of"), F.col("_hash").alias("_with"), "copies")
     out = rows.join(picked, rows["_id"].eqNullSafe(picked["_of"]) & (rows["_hash"] == picked["_with"]))
-    return out.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(*names)
+    return put_back(out.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))), names)
 
 
 @query("op2_mixing")
