@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lowtide.llm.columns import keep_columns, put_back
 from lowtide.llm.registry import query, table
 from lowtide.llm.text import WORD
 from lowtide.session import materialise
@@ -161,12 +162,16 @@ def judge(docs: DataFrame, refs: dict[str, tuple[list[float], dict[str, float]]]
 
     Null and empty texts have no words and fail the base rule. Texts under a limit's least number of characters or
     words are not judged by it; without references no text is rejected for its distances. Repeated rows are judged
-    alike; an empty table gives no rows; other columns pass through, but for those of the added names.
+    alike; an empty table gives no rows; other columns pass through, whatever they are called, but for those of the
+    added names, which are replaced.
     """
+    docs, names = keep_columns(docs, "text")
     out = with_distances(with_base(docs), refs)
     failed = (F.col("n_words") < limits.least_words) | (100 * F.col("n_repeat_words") > limits.repeat_percent * F.col("n_words"))
     bad = _over("class_distance", "word_chars", limits.characters) | _over("word_distance", "n_letter_words", limits.words)
-    return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~bad)
+    added = [c for c in out.columns if c not in docs.columns]
+    out = out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~bad)
+    return put_back(out, names, *added, "base_failed", "kept")
 
 
 COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
