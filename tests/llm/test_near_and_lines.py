@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lowtide.llm import line_dedup, near_dedup, span_dedup
+from lowtide.llm import line_dedup, mixing, near_dedup, span_dedup
 from lowtide.llm.registry import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -159,13 +159,14 @@ def _text_hash(text):
     return _HASHES[text]
 
 
+def learn_hashes(spark, rows):
+    for r in spark.createDataFrame([(t,) for _, t in rows], "text string").select("text", F.xxhash64("text").alias("h")).collect():
+        _HASHES[r.text] = r.h
+
+
 @pytest.fixture
 def hashes(spark):
-    def learn(rows):
-        for r in spark.createDataFrame([(t,) for _, t in rows], "text string").select("text", F.xxhash64("text").alias("h")).collect():
-            _HASHES[r.text] = r.h
-
-    return learn
+    return lambda rows: learn_hashes(spark, rows)
 
 
 @pytest.mark.parametrize("bits", [128, 9])
@@ -345,5 +346,31 @@ def test_sentence_spans_of_the_table(spark):
 
 
 def test_sketch_share_is_far_below_the_least_similarity():
-    sd = math.sqrt(0.75 * 0.25 / near_dedup.SKETCH)
-    assert (0.75 - near_dedup.SKETCH_SHARE) / sd > 4.5
+    n, least = near_dedup.SKETCH, math.ceil(near_dedup.SKETCH_SHARE * near_dedup.SKETCH)
+    missed = sum(math.comb(n, k) * 0.75**k * 0.25 ** (n - k) for k in range(least))
+    print("sketch misses", missed)
+    assert missed < 1e-7
+
+
+NAMES = ("_at", "_doc", "_place", "_spans", "_id", "_hash", "_copy", "copies", "_rest", "_of", "taken", "place", "kept", "a.b", "`x`")
+
+
+def test_other_columns_pass_through_whatever_they_are_called(make, odd_rows, prose):
+    passage = prose(80, 5)
+    rows = [r for r in odd_rows if len(r[1] or "") < 5000] + [(60, prose(30, 8) + passage), (61, passage + prose(30, 9)), (None, passage + prose(40, 7))]
+    docs = make(rows).withColumns({c: F.concat(F.lit(f"{c} of "), F.coalesce(F.xxhash64("text").cast("string"), F.lit("none"))) for c in NAMES})
+    for out in (span_dedup.deduplicate(docs).drop("removed_sentences"), near_dedup.without_near_duplicates(docs), mixing.mixed_documents(docs)):
+        assert out.columns == docs.columns
+        found = out.collect()
+        assert found and all(str(r[c]).startswith(f"{c} of ") for r in found for c in NAMES)
+    sized = docs.withColumn("n", F.length("text"))
+    mixed = mixing.mix(sized, "n")
+    assert sorted(mixed.columns) == sorted({*sized.columns, "source_size", "target", "copies", "taken"})
+    assert all(r["_rest"].startswith("_rest of ") for r in mixed.collect())
+
+
+def test_passages_of_rows_without_id_go_once(make, prose):
+    passage = " ".join(prose(90, 55).split())
+    docs = make([(None, passage + " " + prose(25, 70 + k)) for k in range(3)])
+    got = [r.removed_sentences for r in span_dedup.deduplicate(docs).collect()]
+    assert sorted(got)[0] == 0 and sorted(got)[1] > 3

@@ -90,7 +90,7 @@ def test_quality_odd_rows(make, odd_rows, prose):
     assert quality.references(make([])) == {} and quality.judge(make([]), {}).count() == 0
 
 
-def _brute_rank(edges, seeds, steps=link_trust.STEPS, d=link_trust.DAMPING):
+def _brute_rank(edges, seeds, steps=400, d=link_trust.DAMPING):
     out = Counter()
     for src, dst, n in edges:
         out[src] += n
@@ -137,6 +137,24 @@ def test_trust_walks_along_and_distrust_against_the_links(spark):
     assert link_trust.judge(empty).count() == 0
 
 
+def test_walks_go_on_as_long_as_they_reach_further_hosts(spark):
+    """A path of 40 hosts to one blocked seed, with links of the hosts to themselves, and a ring."""
+    name = lambda k: f"https://h{k}.net/"
+    rows = [(0, "https://bad.com/de/", "")]
+    rows += [(k, name(k), f"<a href='{name(k - 1) if k > 1 else 'https://bad.com/de/'}'>x</a>" + "<a href=/own>" * (k % 3)) for k in range(1, 41)]
+    rows += [(100 + k, f"https://r{k}.net/", f"<a href='https://r{(k + 1) % 5}.net/'><a href=/a>") for k in range(5)]
+    rows += [(200, "https://seed.org/", "<a href='https://r0.net/'>"), (201, "https://apart.net/", "<a href=/a>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit(f"mine {c}") for c in ("_says", "w", "x", "score", "_rest")})
+    got = {r.page_id: r for r in link_trust.judge(pages).collect()}
+    assert {got[k].verdict for k in range(41)} == {"block"} and all(got[k].distrust > 0 for k in range(41))
+    assert {got[k].verdict for k in (200, 201, *range(100, 105))} == {"allow"}
+    assert all(r[c] == f"mine {c}" for r in got.values() for c in ("_says", "w", "x", "score", "_rest"))
+    edges = [(f"r{k}.net", f"r{(k + 1) % 5}.net", 1) for k in range(5)] + [(f"r{k}.net", f"r{k}.net", 1) for k in range(5)] + [("seed.org", "r0.net", 1)]
+    want = _brute_rank(edges, {"seed.org": 1.0})
+    for k in range(5):
+        assert got[100 + k].trust == pytest.approx(want[f"r{k}.net"], rel=1e-5)
+
+
 def test_languages_held_out(spark):
     docs = {r.doc_id: r for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
     got = QUERIES["op10_language"](spark, "/root/testdata/sf0.01").collect()
@@ -216,8 +234,9 @@ def test_pipeline_stage_by_stage(spark):
     good = {r[0] for r in _brute_quality([(r.doc_id, r.text, r.lang) for r in before]) if r[-1]}
     assert {r.doc_id for r in rows["quality_rules"]} == good and len(rows["quality_rules"]) == len(good)
     assert all(r.n_chars == len(r.text) and r.text.strip() for r in rows["line_dedup"])
-    from tests.llm.test_near_and_lines import _brute_components, _brute_lines
+    from tests.llm.test_near_and_lines import _brute_components, _brute_lines, learn_hashes
 
+    learn_hashes(spark, [(r.doc_id, r.text) for r in rows["quality_rules"]])
     lines = {d: t for d, t, _ in _brute_lines([(r.doc_id, r.text) for r in rows["quality_rules"]]) if t.strip()}
     assert {r.doc_id: r.text for r in rows["line_dedup"]} == lines
     stay = {d for d, _, _, k in _brute_components(list(lines.items())) if k}
@@ -246,3 +265,23 @@ def test_no_scrap_of_a_copy_reaches_packing(spark, make):
         if name == "line_dedup":
             assert {(r.doc_id, r.text) for r in docs.collect()} == {(r[0], r[1]) for r in rows if r[0] < 1000}
     assert {r.doc_id for r in docs.collect()} <= firsts and docs.count()
+
+
+def test_stages_with_odd_rows_and_other_columns(spark, make, odd_rows, prose):
+    names = ("kept", "_row", "_w", "n_words", "removed_lines", "_at", "_lines", "_id", "_copy", "copies", "_rest", "_spans")
+    odd = [r for r in odd_rows if len(r[1] or "") < 5000]
+    docs = make(odd + [(20 + k, prose(200, k), "en", None) for k in range(4)]).withColumns({c: F.lit(f"mine {c}") for c in names})
+    for rows in (docs, docs.where("false")):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, rows, SMALL)
+            assert out.columns == docs.columns and dict(out.dtypes) == dict(docs.dtypes), name
+            found = out.collect()
+            assert all(r[c] == f"mine {c}" for r in found for c in names)
+            if name == "near_dedup":  # null and blank texts stay
+                assert len(found) == 0 or {1, 2, 3} <= {r.doc_id for r in found}
+            if name == "line_dedup" and found:
+                assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in found)
+    last = corpus_pipeline.STAGES[-1][1]
+    packed = last(spark, docs, SMALL).collect()
+    assert len({r.doc_id for r in packed}) == len({r.doc_id for r in docs.select("doc_id").collect()})
+    assert last(spark, docs.where("false"), SMALL).count() == 0
