@@ -15,6 +15,7 @@ from lowtide.plans.tables import sample_blocks, sql_with
 from lowtide.session import shared_dir
 from lowtide.sources import wav as A
 from lowtide.sources.files import find_files, put_file, stem
+from lowtide.sources.wav_source import wav_blocks
 
 FRAMES = 64
 
@@ -66,6 +67,15 @@ def read_wav_range(spark, sf):
     return _series(A.read_wav(spark, f"{audio_folder(spark, sf)}/*.wav", 100, 600)).withColumn("v", F.col("v") + 0.0)
 
 
+@query("read_wav_source", FILES + """select signal_id, cast(block as bigint) as block, channel_no, cast(i as bigint) as i, v from au where i >= 16 and i < 48 and channel_no = 1""")
+def read_wav_source(spark, sf):
+    """A range of one channel through the data source: the filters reach its reader."""
+    blocks = wav_blocks(spark, audio_folder(spark, sf), block=16).where("start_i between 16 and 32 and channel_no = 1")
+    name = F.split(stem(F.col("path")), "_")
+    rows = blocks.select(name[0].alias("signal_id"), name[1].cast("long").alias("block"), "channel_no", "start_i", F.posexplode("samples").alias("k", "x"))
+    return rows.select("signal_id", "block", "channel_no", (F.col("start_i") + F.col("k")).alias("i"), (F.col("x") + 0.0).alias("v"))
+
+
 @query("load_channel", FILES + "select signal_id, cast(block as bigint) as block, channel_no, cast(i as bigint) as i, round(v*pow(10.0::double, -6.0::double/20), 9) + 0.0 as v from au where channel_no = 1")
 def load_channel(spark, sf):
     out = A.load_channel(spark, f"{audio_folder(spark, sf)}/*.wav", channel=2, target_fs=None, offset_db=-6.0)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gzip
 import uuid
 
 from pyspark.sql import functions as F
@@ -13,9 +12,9 @@ from lowtide.plans.registry import query
 from lowtide.plans.tables import catalogue, curves, filters, sql_with, table
 from lowtide.session import shared_dir
 from lowtide.sinks import exports as K
+from lowtide.sinks.grouped import write_files
 from lowtide.sources import documents as D
 from lowtide.sources import text as X
-from lowtide.sources.files import put_file
 from lowtide.sources.wav import channel_name
 from lowtide.streaming import ingest as I
 from lowtide.streaming import meter as V
@@ -80,25 +79,101 @@ def project_documents(spark, sf):
     return points.select("name", "kind", "f", (F.col("db") + 0.0).alias("db"))
 
 
-def _write_gzip(folder):
-    def write(frames):
-        for frame in frames:
-            for name, content in zip(frame["path"], frame["content"]):
-                put_file(f"{folder}/{name}.signal", gzip.compress(content.encode()))
-            yield frame[["path"]]
-
-    return write
-
-
 @query("gzip_projects", sql_with("curves") + "select cast(curve_id as varchar) as name, 'avg' as kind, f, round(db, 6) + 0.0 as db from curves")
 def gzip_projects(spark, sf):
-    """The same documents as gzip files whose extension says nothing."""
+    """The same documents, 256 to a gzip project whose extension says nothing, read as they are inflated."""
     folder = f"{shared_dir(spark)}/projects-{uuid.uuid4().hex}"
-    _signal_documents(spark, sf).mapInPandas(_write_gzip(folder), "path string").write.format("noop").mode("overwrite").save()
+    docs = _signal_documents(spark, sf).withColumn("id", F.col("path").cast("long"))
+    K.write_projects(docs, folder, F.floor(F.col("id") / 256), ["id"], ".signal")
     points = D.curve_points(D.project_signals(D.read_projects(spark, folder)))
     return points.select("name", "kind", "f", (F.col("db") + 0.0).alias("db"))
 
 
+@query("response_files", sql_with("curves") + "select cast(curve_id as varchar) as name, 'avg' as kind, round(f, 3) as f, round(cast(printf('%.3f', db) as double), 3) + 0.0 as db from curves where curve_id % 8 = 0")
+def response_files(spark, sf):
+    """Every eighth curve as a text file of its own, written with a commit and read back."""
+    folder = f"{shared_dir(spark)}/responses-{uuid.uuid4().hex}"
+    K.write_responses(_curve_lines(spark, sf).where("signal_id % 8 = 0"), folder)
+    return X.read_response(spark, folder).withColumn("db", F.col("db") + 0.0)
+
+
+# Every kind of filter that a document can hold.
+DOCUMENT_KINDS = list(D.KIND_OF.values())
+EVERY_KIND = f"""kinds as (select p_partkey // 8 as filter_set_id, p_partkey % 8 as seq, ({DOCUMENT_KINDS})[p_partkey % {len(DOCUMENT_KINDS)} + 1] as kind,
+ cast(3 * p_size + 5 as double) / 7 as freq, cast(p_partkey % 8 + 5 as double) / 10 as q, (p_retailprice - 950.0::double) / 10.0::double as gain,
+ cast(p_partkey % 3 + 1 as integer) as n from part)"""
+
+
+def _every_kind(spark, sf):
+    p = table(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice")
+    key, kind = F.col("p_partkey"), F.array(*[F.lit(k) for k in DOCUMENT_KINDS])
+    return p.select(
+        F.floor(key / 8).alias("filter_set_id"), (key % 8).alias("seq"), F.element_at(kind, (key % len(DOCUMENT_KINDS) + 1).cast("int")).alias("kind"),
+        F.lit(48000).alias("fs"), ((F.col("p_size") * 3 + 5) / 7).alias("freq"), ((key % 8 + 5) / 10.0).alias("q"),
+        ((F.col("p_retailprice") - 950.0) / 10.0).alias("gain"), (key % 3 + 1).cast("int").alias("n"),
+        F.when(key % 2 == 0, "BW").otherwise("LR").alias("family"), (key % 4 * 2 + 2).cast("int").alias("order"),
+        (F.col("p_size") + 20.5).alias("f0"), F.lit(0.7).alias("q0"), (F.col("p_size") + 10.25).alias("fp"), F.lit(0.5).alias("qp"),
+    )
+
+
+def _project_groups(spark, sf):
+    """Two filter sets a group: a master with the other as its slave, each with all its filters and a curve."""
+    rows = _every_kind(spark, sf)
+    sets = K.filter_set_json(rows)
+    id = F.col("filter_set_id")
+    name = lambda c: F.concat(F.lit('channel "'), c.cast("string"), F.lit('"'))
+    signals = sets.select(
+        id.alias("signal_id"), F.lit(48000).alias("fs"), (id % 5 * 0.5).alias("offset_db"), F.col("content").alias("filter_json"),
+        F.when(id % 2 == 1, (id - 1).cast("string")).alias("master_name"),
+        F.when(id % 2 == 0, F.array((id + 1).cast("string"), F.lit("nowhere"))).otherwise(F.array().cast("array<string>")).alias("slave_names"),
+    )
+    curve = rows.select(id.alias("signal_id"), F.lit("peak").alias("kind"), (F.col("seq") + 1.0).alias("f"), F.col("gain").alias("db"))
+    channels = K.signal_json(signals, curve).select(F.floor(F.col("signal_id") / 2).alias("group_id"), (F.col("signal_id") % 2).alias("seq"), "content")
+    g = F.col("group_id")
+    groups = channels.select("group_id").distinct().select(
+        g, F.concat(F.lit('room "'), g.cast("string"), F.lit('"\n')).alias("name"), (g % 3 * 40.0 + 80).alias("lpf_fs"),
+        F.when(g % 2 == 0, "Before").otherwise("After").alias("lpf_position"), F.lit("WCS").alias("headroom_type"),
+        (g % 2 == 0).alias("clip_before"), (g % 3 == 0).alias("clip_after"), F.lit(0.0).alias("offset_db"),
+    )
+    docs = K.group_json(groups, channels)
+    folder = f"{shared_dir(spark)}/groups-{uuid.uuid4().hex}"
+    K.write_projects(docs, folder, F.floor(g / 64), ["group_id"])
+    return D.project_signals(D.read_projects(spark, folder))
+
+
+@query("project_groups", f"""with {EVERY_KIND}, s as (select distinct filter_set_id as id from kinds)
+select 'room "' || id // 2 || '"' || chr(10) as group_name, cast(id as varchar) as name, cast(48000 as integer) as fs, id % 5 * 0.5::double as offset_db,
+ id // 2 % 3 * 40.0::double + 80 as lpf_fs, case when id // 2 % 2 = 0 then 'Before' else 'After' end as lpf_position, 'WCS' as headroom_type,
+ id // 2 % 2 = 0 as clip_before, id // 2 % 3 = 0 as clip_after, case when id % 2 = 1 then cast(id - 1 as varchar) end as master_name from s""")
+def project_groups(spark, sf):
+    return _project_groups(spark, sf).select(
+        "group_name", "name", "fs", "offset_db", "bm.lpf_fs", "bm.lpf_position", "bm.headroom_type", F.col("clip.before").alias("clip_before"),
+        F.col("clip.after").alias("clip_after"), "master_name",
+    )
+
+
+@query("project_links", f"""with {EVERY_KIND}, s as (select distinct filter_set_id as id from kinds)
+select cast(a.id as varchar) as master, cast(b.id as varchar) as slave from s a join s b on b.id = a.id + 1 where a.id % 2 = 0""")
+def project_links(spark, sf):
+    return D.project_links(_project_groups(spark, sf)).select("master", "slave")
+
+
+@query("project_filters", f"""with {EVERY_KIND}
+select cast(filter_set_id as varchar) as name, seq, kind, cast(48000 as integer) as fs,
+ case when kind like 'Complex%' then freq when kind not in ('Passthrough', 'Gain', 'LinkwitzTransform') then round(freq, 2) end as freq,
+ case when kind in ('PeakingEQ', 'LowShelf', 'HighShelf', 'LowPass2', 'HighPass2', 'AllPass') then q end as q,
+ case when kind in ('PeakingEQ', 'LowShelf', 'HighShelf', 'Gain') then round(gain, 3) + 0.0 end as gain,
+ cast(case when kind in ('LowShelf', 'HighShelf') then n else 1 end as integer) as n,
+ case when kind like 'Complex%' then case when (filter_set_id * 8 + seq) % 2 = 0 then 'BW' else 'LR' end end as family,
+ cast(case when kind like 'Complex%' then (filter_set_id * 8 + seq) % 4 * 2 + 2 end as integer) as "order",
+ case when kind = 'LinkwitzTransform' then (freq * 7 - 5) / 3 + 20.5 end as f0, case when kind = 'LinkwitzTransform' then 0.7::double end as q0,
+ case when kind = 'LinkwitzTransform' then (freq * 7 - 5) / 3 + 10.25 end as fp, case when kind = 'LinkwitzTransform' then 0.5::double end as qp from kinds""")
+def project_filters(spark, sf):
+    signals = _project_groups(spark, sf).select("name", F.to_json("filter").alias("content"))
+    rows = D.filter_rows(signals)
+    return rows.select("name", "seq", "kind", "fs", "freq", "q", (F.col("gain") + 0.0).alias("gain"), "n", "family", "order", "f0", "q0", "fp", "qp")
+
+
 @query("catalogue_documents", sql_with("catalogue") + """select cast(cast(idx as bigint) % 64 as varchar) as idx, cast(cast(idx as bigint) // 64 as varchar) as file, title, author, case when year % 10 = 0 then 0 else year end as year,
  content_type, audio_types[1] as audio, cast(mv as double) as mv_adjust, '' as overview from catalogue""")
 def catalogue_documents(spark, sf):
@@ -114,6 +189,22 @@ def catalogue_documents(spark, sf):
     return out.select("idx", F.col("note").alias("file"), "title", "author", "year", "content_type", F.col("audio_types")[0].alias("audio"), "mv_adjust", "overview")
 
 
+@query("catalogue_array", sql_with("catalogue") + """select cast(idx as bigint) // 4096 as file, cast(cast(idx as bigint) % 4096 as varchar) as idx, title, author, year, content_type, audio_types[1] as audio,
+ 'in [' || cast(idx as varchar) || ', "{' || chr(92) || '"' as overview from catalogue""")
+def catalogue_array(spark, sf):
+    """Large catalogue arrays of 4096 entries, with brackets, quotes and backslashes in their texts, read in ranges of 16 KB."""
+    n = F.col("idx").cast("long")
+    doc = F.struct(
+        "title", "author", F.col("year").cast("string").alias("year"), "content_type", F.col("audio_types").alias("audioTypes"),
+        F.floor(n / 4096).cast("string").alias("note"), F.concat(F.lit("in ["), "idx", F.lit(', "{\\"')).alias("overview"),
+    )
+    folder = f"{shared_dir(spark)}/arrays-{uuid.uuid4().hex}"
+    rows = catalogue(spark, sf).withColumn("at", n)
+    write_files(rows, folder, F.floor(n / 4096), F.to_json(doc), ["at"], head="[\n", between=",\n", tail="\n]", extension=".json")
+    out = D.read_catalogue(spark, folder, 1 << 14)
+    return out.select(F.col("note").cast("long").alias("file"), "idx", "title", "author", "year", "content_type", F.col("audio_types")[0].alias("audio"), "overview")
+
+
 @query("optimiser_documents", sql_with("filters") + """select cast(filter_set_id as varchar) as path, cast(seq as integer) as seq, kind, case when seq % 2 = 0 then 'L' else 'R' end as channel,
  format('{:.12g}', freq) as frequency, format('{:.12g}', q) as q, case when kind <> 'AllPass' then format('{:.12g}', gain + 0.0) end as gain from filters""")
 def optimiser_documents(spark, sf):

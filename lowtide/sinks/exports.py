@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lowtide.functions.text import general
+from lowtide.sinks.grouped import write_files
 from lowtide.sources.documents import KIND_OF
 
 TIMES = ("duration_seconds", "start_seconds", "duration_hhmmss", "start_hhmmss")
@@ -33,8 +34,9 @@ def response_lines(curves: DataFrame, signals: DataFrame) -> DataFrame:
 
 
 def write_responses(lines: DataFrame, path: str) -> None:
-    ordered = lines.repartition("signal_id", "kind").sortWithinPartitions("signal_id", "kind", "line_no")
-    ordered.select("signal_id", "kind", "value").write.partitionBy("signal_id", "kind").text(path)
+    """A text file for each curve, ``<signal>_<kind>.frd``; all of them appear when all are written."""
+    name = F.concat_ws("_", F.col("signal_id").cast("string"), "kind")
+    write_files(lines, path, name, F.col("value"), ["line_no"], extension=".frd")
 
 
 def filter_json(kind: Column, columns: Sequence[str] = ()) -> Column:
@@ -116,6 +118,6 @@ def group_json(groups: DataFrame, channels: DataFrame) -> DataFrame:
     return groups.join(inner, "group_id", "left").select("group_id", body.alias("content"))
 
 
-def write_gzip(documents: DataFrame, path: str) -> None:
-    """One document per line, gzip text."""
-    documents.select("content").write.option("compression", "gzip").text(path)
+def write_projects(documents: DataFrame, path: str, project: Column, order: list[str], extension: str = ".beq") -> None:
+    """A gzip file for each ``project``: the JSON array of its documents' ``content``."""
+    write_files(documents, path, project, F.col("content"), order, head="[", between=",", tail="]", extension=extension, compression="gzip")

@@ -3,16 +3,12 @@ device settings. Parsers take (path, content); readers list the files first."""
 
 from __future__ import annotations
 
-import gzip
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lowtide import schemas
 from lowtide.functions.text import general
-from lowtide.sources.files import read_documents
+from lowtide.sources.json_split import RANGE_BYTES, gzip_elements, json_elements
 
 # Document names of the filter kinds.
 KIND_OF = {
@@ -38,9 +34,14 @@ def _lookup(key: Column, values: dict) -> Column:
 
 
 def parse_catalogue(files: DataFrame) -> DataFrame:
-    """Entries of catalogue arrays; ``idx`` is the place in the array. Missing fields
+    """Entries of small catalogue arrays, one a row; see ``parse_entries``."""
+    return parse_entries(files.select(F.posexplode(F.from_json("content", schemas.CATALOGUE)).alias("at", "e")))
+
+
+def parse_entries(entries: DataFrame) -> DataFrame:
+    """Catalogue entries of (at, e); ``idx`` is the place in the array. Missing fields
     get their defaults, unreadable numbers become 0."""
-    rows = files.select(F.posexplode(F.from_json("content", schemas.CATALOGUE)).alias("_at", "e"))
+    rows = entries.select(F.col("at").alias("_at"), "e")
     words = lambda c: F.coalesce(F.col(f"e.{c}"), F.lit(""))
     lists = lambda c: F.coalesce(F.col(f"e.{c}"), F.array().cast("array<string>"))
     whole = lambda c: F.coalesce(F.col(f"e.{c}").try_cast("int"), F.lit(0))
@@ -63,20 +64,16 @@ def parse_catalogue(files: DataFrame) -> DataFrame:
     )
 
 
-def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
-    return parse_catalogue(read_documents(spark, path))
-
-
-def _unzip(blobs: pd.Series) -> pd.Series:
-    return blobs.map(lambda b: gzip.decompress(b).decode("utf8"))
-
-
-unzip = F.pandas_udf(_unzip, T.StringType())
+def read_catalogue(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Entries of catalogue files of any size: each array is read in byte ranges by many tasks."""
+    entry = schemas.CATALOGUE.strip().removeprefix("array<").removesuffix(">")
+    return parse_entries(json_elements(spark, path, range_bytes).select("at", F.from_json("content", entry).alias("e")).where("e IS NOT NULL"))
 
 
 def read_projects(spark: SparkSession, path: str) -> DataFrame:
-    """(path, content) of gzip documents whatever their extension."""
-    return spark.read.format("binaryFile").load(path).select("path", unzip("content").alias("content"))
+    """(path, at, content): the top-level signals of gzip documents whatever their extension, each as soon as it is
+    inflated."""
+    return gzip_elements(spark, path)
 
 
 def project_signals(files: DataFrame) -> DataFrame:

@@ -34,7 +34,8 @@ def stem(path):
     return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
 
 
-def _store(path: str):
+def store(path: str):
+    """The Arrow filesystem of a path as Spark names it, and the path in it."""
     path = re.sub(r"^s3[an]://", "s3://", re.sub(r"^hdfs:/(?!/)", "hdfs:///", path))  # as Spark names them
     if path.startswith("file:") or "://" not in path:
         return arrow_fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
@@ -43,16 +44,16 @@ def _store(path: str):
 
 def open_range(path: str, offset: int, size: int) -> bytes:
     """Bytes of a file on any filesystem Arrow knows."""
-    store, inner = _store(path)
-    with store.open_input_file(inner) as f:
+    files, inner = store(path)
+    with files.open_input_file(inner) as f:
         f.seek(offset)
         return f.read(size)
 
 
 def reader(path: str):
     """A function (offset, size) to bytes over one open file; close it by ``reader(path).close``."""
-    store, inner = _store(path)
-    source = store.open_input_file(inner)
+    files, inner = store(path)
+    source = files.open_input_file(inner)
 
     def read(offset: int, size: int) -> bytes:
         source.seek(offset)
@@ -63,7 +64,7 @@ def reader(path: str):
 
 
 def put_file(path: str, content: bytes) -> None:
-    store, inner = _store(path)
-    store.create_dir(inner.rsplit("/", 1)[0], recursive=True)
-    with store.open_output_stream(inner) as f:
+    files, inner = store(path)
+    files.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+    with files.open_output_stream(inner) as f:
         f.write(content)

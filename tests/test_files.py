@@ -129,7 +129,7 @@ def test_store_names():
     with mock.patch.object(L, "arrow_fs") as fs:
         fs.FileSystem.from_uri.side_effect = lambda uri: seen.append(uri) or (None, uri)
         for path in ("s3a://b/x y", "s3n://b/k", "s3://b/k", "hdfs:/d/f", "hdfs://h/d/f"):
-            L._store(path)
+            L.store(path)
     assert seen == ["s3://b/x%20y", "s3://b/k", "s3://b/k", "hdfs:///d/f", "hdfs://h/d/f"]
 
 
@@ -180,11 +180,11 @@ def test_response_round_trip(spark, tmp_path):
     curve = spark.createDataFrame([(s, k, float(f), f * 0.5 - 3) for s in ("a", "b") for k in ("avg", "peak") for f in range(1, 20)], "signal_id string, kind string, f double, db double")
     lines = K.response_lines(curve, spark.createDataFrame([("a", 100), ("b", 100)], "signal_id string, fs int"))
     K.write_responses(lines, f"{tmp_path}/out")
-    back = spark.read.text(f"{tmp_path}/out").groupBy("signal_id", "kind").count().collect()
-    assert len(back) == 4 and all(r["count"] == 22 for r in back)
-    one = next(f for f in os.listdir(f"{tmp_path}/out/signal_id=a/kind=avg") if f.endswith(".txt"))
-    rows = open(f"{tmp_path}/out/signal_id=a/kind=avg/{one}").read().splitlines()
-    assert rows[0].startswith("# Signal Name: a") and rows[3] == "   1.000   -2.500"
+    assert sorted(f for f in os.listdir(f"{tmp_path}/out") if not f.startswith(".")) == ["a_avg.frd", "a_peak.frd", "b_avg.frd", "b_peak.frd"]
+    rows = open(f"{tmp_path}/out/a_avg.frd").read().splitlines()
+    assert len(rows) == 22 and rows[0].startswith("# Signal Name: a") and rows[3] == "   1.000   -2.500"
+    got = X.read_response(spark, f"{tmp_path}/out")
+    assert sorted((r.name, r.kind, r.f, r.db) for r in got.collect()) == sorted((r.signal_id, r.kind, r.f, r.db) for r in curve.collect())
 
 
 def test_equaliser_text(spark):
