@@ -109,33 +109,31 @@ def rescale(curve: DataFrame, keys: Sequence[str], points: int = 32769, smooth:
     return interpolate(curve, grid.select(*keys, (F.col("c_lo") + F.col("_j") * step).alias("f")), keys, smooth)
 
 
-def _both(a: DataFrame, b: DataFrame, grid: DataFrame, keys: list[str], smooth: bool) -> DataFrame:
-    left = interpolate(a, grid, keys, smooth).withColumnRenamed("db", "_a")
-    right = interpolate(b, grid, keys, smooth).withColumnRenamed("db", "_b")
-    return left.join(right, [*keys, "f"])
+def _on_one_grid(curve: DataFrame, other: DataFrame, keys: list[str], smooth: bool, own: Column, kept: Column) -> DataFrame:
+    """(keys..., f, _a, _b): both curves on the grid of one of them, ``own`` says per key whether the first's; only the
+    side whose grid differs is interpolated, since at its own points a curve has its own values."""
+    ends = _extent(curve, keys, "c").join(_extent(other, keys, "t"), keys)
+    points = curve.select(*keys, "f", "db", F.lit(True).alias("_own")).unionByName(other.select(*keys, "f", "db", F.lit(False).alias("_own")))
+    grid = points.join(ends, keys).where((F.col("_own") == own) & kept).select(*keys, "f", "db", "_own")
+    across = interpolate(other, grid.where("_own"), keys, smooth).unionByName(interpolate(curve, grid.where("NOT _own"), keys, smooth))
+    met = grid.join(across.withColumnRenamed("db", "_there"), [*keys, "f"])
+    here, there = F.col("db"), F.col("_there")
+    return met.select(*keys, "f", F.when(F.col("_own"), here).otherwise(there).alias("_a"), F.when(F.col("_own"), there).otherwise(here).alias("_b"))
 
 
 def normalise(curve: DataFrame, target: DataFrame, keys: Sequence[str], smooth: bool = True) -> DataFrame:
     """Difference to the target over their common range, on the finer of the two grids."""
     keys = list(keys)
-    ends = _extent(curve, keys, "c").join(_extent(target, keys, "t"), keys)
     fine = (F.col("c_hi") - F.col("c_lo")) / (F.col("c_n") - 1) <= (F.col("t_hi") - F.col("t_lo")) / (F.col("t_n") - 1)
-    points = curve.select(*keys, "f", F.lit(True).alias("_own")).unionByName(target.select(*keys, "f", F.lit(False).alias("_own")))
-    grid = points.join(ends, keys).where(
-        (F.col("_own") == fine)
-        & F.col("f").between(F.greatest("c_lo", "t_lo"), F.least("c_hi", "t_hi"))
-    )
-    out = _both(curve, target, grid.select(*keys, "f"), keys, smooth)
+    common = F.col("f").between(F.greatest("c_lo", "t_lo"), F.least("c_hi", "t_hi"))
+    out = _on_one_grid(curve, target, keys, smooth, fine, common)
     return out.select(*keys, "f", (F.col("_a") - F.col("_b")).alias("db"))
 
 
 def apply_filter(curve: DataFrame, response: DataFrame, keys: Sequence[str], smooth: bool = True) -> DataFrame:
     """Curve plus filter response in dB; the grid with more points is kept."""
     keys = list(keys)
-    ends = _extent(curve, keys, "c").join(_extent(response, keys, "t"), keys)
-    points = curve.select(*keys, "f", F.lit(True).alias("_own")).unionByName(response.select(*keys, "f", F.lit(False).alias("_own")))
-    grid = points.join(ends, keys).where(F.col("_own") == (F.col("c_n") >= F.col("t_n")))
-    out = _both(curve, response, grid.select(*keys, "f"), keys, smooth)
+    out = _on_one_grid(curve, response, keys, smooth, F.col("c_n") >= F.col("t_n"), F.lit(True))
     return out.select(*keys, "f", (F.col("_a") + F.col("_b")).alias("db"))
 
 

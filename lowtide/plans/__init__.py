@@ -2,6 +2,7 @@
 
 from lowtide.plans import (  # noqa: F401
     audio_queries,
+    block_queries,
     catalogue_queries,
     channel_queries,
     curve_queries,
