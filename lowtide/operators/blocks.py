@@ -42,7 +42,7 @@ def recut(blocks: DataFrame, keys: Sequence[str], block: int = BLOCK) -> DataFra
     targets = F.array_union(F.coalesce(lands, F.array().cast("array<bigint>")), F.array_compact(F.array(own)))
     to = F.col("block_no")
     a, b = F.greatest(low, to * block), F.least(high, (to + 1) * block)
-    part = F.slice("samples", (a - F.col("start_i") + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
+    part = F.slice("samples", F.greatest(a - F.col("start_i") + 1, F.lit(1)).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
     sent = blocks.select(*keys, "fs", "n", "start_i", "samples", F.explode(targets).alias("block_no"))
     part = F.when(a < b, part).otherwise(F.array().cast("array<double>"))
     sent = sent.select(*keys, "fs", "n", "block_no", F.struct(F.greatest(a - to * block, F.lit(0)).cast("int").alias("at"), part.alias("s")).alias("piece"))
@@ -72,7 +72,8 @@ def cut(blocks: DataFrame, keys: Sequence[str], start_s: float, end_s: float) ->
     met = sized.where(outside | ((F.col("start_i") <= last) & (F.col("start_i") + size > first)))
     low = F.when(outside, F.col("start_i")).otherwise(F.greatest("start_i", first))
     high = F.when(outside, F.col("start_i") + size).otherwise(F.least(F.col("start_i") + size, last + 1))
-    part = F.slice("samples", (low - F.col("start_i") + 1).cast("int"), (high - low).cast("int"))
+    # Never negative, as Spark may look at the slice before it has tested the block.
+    part = F.slice("samples", F.greatest(low - F.col("start_i") + 1, F.lit(1)).cast("int"), F.greatest(high - low, F.lit(0)).cast("int"))
     return met.withColumns({"samples": part, "start_i": low}).select(*[c for c in blocks.columns if c != "n"])
 
 

@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from lowtide.functions.levels import rounded
 from lowtide.operators import blocks as B
+from lowtide.operators import pyramid as P
 from lowtide.operators import samples as S
 from lowtide.plans import signal_queries  # noqa: F401  its SQL is stated here again
 from lowtide.plans.channel_queries import KEYS, channel_blocks, title_routes
 from lowtide.plans.registry import ORACLES, query
-from lowtide.plans.tables import sample_blocks
+from lowtide.plans.tables import _stored, sample_blocks, sql_with
 
 BLOCK = 64
 
@@ -48,6 +49,33 @@ def concatenate_on_blocks(spark, sf):
     return _rows(joined, "merged_id", "fs")
 
 
+def _pyramid(spark, sf):
+    """The blocks of all signals with their energies and peaks, stored once as a user keeps them."""
+    return _stored(spark, sf, "pyramid", lambda: P.with_pyramid(_signals(spark, sf)))
+
+
+@query("windowed_peaks_on_blocks", ORACLES["windowed_peaks"])
+def windowed_peaks_on_blocks(spark, sf):
+    return P.windowed_peaks(_pyramid(spark, sf), ["signal_id"]).withColumn("db", rounded(F.col("db")))
+
+
+@query("level_report_on_blocks", ORACLES["level_report"])
+def level_report_on_blocks(spark, sf):
+    out = P.levels(_pyramid(spark, sf), ["signal_id"])
+    return out.select("signal_id", *[rounded(F.col(c)).alias(c) for c in out.columns if c != "signal_id"])
+
+
+@query("range_levels", sql_with("samples") + """, r as (select signal_id, k*7 as low, k*7 + 5 + k*40 as high from (select distinct signal_id from samples), (select unnest(range(8)) as k))
+select signal_id, low, high, round(10*log10(avg(v*v)), 6) as rms_db, round(20*log10(max(abs(v))), 6) as peak_db from r join samples using (signal_id) where i >= low and i < high group by all""")
+def range_levels(spark, sf):
+    """Eight stretches of every signal, across blocks and beyond its end."""
+    blocks = _pyramid(spark, sf)
+    k = F.col("k")
+    ranges = blocks.where("start_i = 0").select("signal_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("k"))
+    out = P.range_levels(blocks, ranges.select("signal_id", (k * 7).alias("low"), (k * 47 + 5).alias("high")), ["signal_id"], BLOCK)
+    return out.withColumns({c: rounded(F.col(c)) for c in ("rms_db", "peak_db")})
+
+
 def _out(blocks, *keys):
     return _rows(blocks, *keys).withColumn("v", rounded(F.col("v"), 8))
 

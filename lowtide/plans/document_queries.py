@@ -315,6 +315,29 @@ def live_levels(spark, sf):
     return _meter_out(spark.read.schema("signal_id string, start timestamp, end timestamp, n bigint, peak_db double, rms_db double").parquet(f"{base}/out"))
 
 
+@query("live_loudest", "select *, max(rms_db) over (partition by signal_id order by start) as loudest_db from (select * from (" + METER + """) where "end" <= (select max(ts) - interval '2 hours' from events))""")
+def live_loudest(spark, sf):
+    """The meter with state, stopped and started again between two batches of files."""
+    base = f"{shared_dir(spark)}/loudest-{uuid.uuid4().hex}"
+    events = table(spark, sf, "events").select("event_id", "user_id", "ts", "value")
+    middle = events.agg(F.expr("min(ts) + (max(ts) - min(ts)) / 2").alias("t")).first().t
+    kept = spark.conf.get(V.STATE_STORE[0], None)
+    spark.conf.set(*V.STATE_STORE)
+    try:
+        for now in (F.col("ts") < F.lit(middle), F.col("ts") >= F.lit(middle)):
+            events.where(now).write.mode("append").parquet(f"{base}/in")
+            stream = spark.readStream.schema(events.schema).parquet(f"{base}/in")
+            stream = _meter_events(stream.withColumn("ts", F.col("ts").cast("timestamp")))
+            V.run_to_table(V.loudest_windows(stream, "1 hour", "2 hours", "400 days"), f"{base}/out", f"{base}/checkpoint")
+    finally:
+        if kept is None:
+            spark.conf.unset(V.STATE_STORE[0])
+        else:
+            spark.conf.set(V.STATE_STORE[0], kept)
+    out = spark.read.schema(f"signal_id string, {V.LOUDEST}").parquet(f"{base}/out")
+    return _meter_out(out).join(out.select("signal_id", F.col("start").cast("timestamp_ntz").alias("start"), rounded(F.col("loudest_db")).alias("loudest_db")), ["signal_id", "start"])
+
+
 ENTRY = "digest string, title string, updated_at bigint"
 
 

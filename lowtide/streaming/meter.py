@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+#: The state store that timers and typed state need.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def window_levels(events: DataFrame, width: str = "1 second", keys: tuple[str, ...] = ("signal_id",)) -> DataFrame:
@@ -32,3 +41,81 @@ def run_to_table(levels: DataFrame, table: str, checkpoint: str) -> None:
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()
+
+
+LOUDEST = "start timestamp, end timestamp, n long, peak_db double, rms_db double, loudest_db double"
+
+
+def with_loudest(levels: DataFrame, keys: tuple[str, ...] = ("signal_id",)) -> DataFrame:
+    """Window levels with ``loudest_db``, the greatest rms of the windows up to each: the batch form of ``loudest_windows``."""
+    w = Window.partitionBy(*keys).orderBy("start").rowsBetween(Window.unboundedPreceding, 0)  # windows, not samples
+    return levels.withColumn("loudest_db", F.max("rms_db").over(w))
+
+
+class _Meter(StatefulProcessor):
+    """Of each signal: the windows still open (count, peak, energy) and the loudest closed one.
+
+    A timer at a window's end sends it once the watermark has passed; one ``idle`` after the last window forgets the
+    signal. So the state is a few numbers for each window that may still change, and nothing for silent signals.
+    """
+
+    def __init__(self, width_ms: int, idle_ms: int):
+        self.width, self.idle = width_ms, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getMapState("open", "start long", "n long, top double, e double")
+        self.best = handle.getValueState("best", "db double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        late = timerValues.getCurrentWatermarkInMs()
+        for frame in rows:
+            ms = frame["ts"].astype("datetime64[ms]").astype("int64").to_numpy()
+            start, v = ms - ms % self.width, frame["v"].to_numpy(float)
+            for s in np.unique(start).tolist():
+                if s + self.width <= late:
+                    continue  # sent already
+                x = v[start == s]
+                n, top, e = len(x), float(np.abs(x).max()), float((x * x).sum())
+                if self.open.containsKey((s,)):
+                    before = self.open.getValue((s,))
+                    n, top, e = n + before[0], max(top, before[1]), e + before[2]
+                else:
+                    self.handle.registerTimer(s + self.width)
+                self.open.updateValue((s,), (n, top, e))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        closed = sorted(s for (s,) in list(self.open.keys()) if s + self.width <= now)
+        best = self.best.get()[0] if self.best.exists() else -math.inf
+        db = lambda x: 10.0 * math.log10(x) if x > 0 else -math.inf
+        out = []
+        for s in closed:
+            n, top, e = self.open.getValue((s,))
+            self.open.removeKey((s,))
+            best = max(best, db(e / n))
+            out.append((*key, pd.Timestamp(s, unit="ms"), pd.Timestamp(s + self.width, unit="ms"), n, 2 * db(top), db(e / n), best))
+        if closed:
+            self.best.update((best,))
+            self.handle.registerTimer(closed[-1] + self.width + self.idle)
+            yield pd.DataFrame(out, columns=["signal_id", "start", "end", "n", "peak_db", "rms_db", "loudest_db"])
+        elif not list(self.open.keys()) and not any(t > now for t in self.handle.listTimers()):
+            self.best.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def loudest_windows(stream: DataFrame, width: str = "1 second", late: str = "10 seconds", idle: str = "1 day") -> DataFrame:
+    """Level windows of a stream (signal_id, ts, v) with the loudest rms that the signal has had so far.
+
+    Windows are sent as in ``live_levels``; ``loudest_db`` is kept in state from window to window, and begins anew for a
+    signal of which nothing has come for ``idle``. The session needs the RocksDB state store.
+    """
+    spark = stream.sparkSession
+    ms = [spark.sql(f"SELECT unix_millis(timestamp'1970-01-01 00:00:00Z' + interval '{d}') AS ms").first().ms for d in (width, idle)]
+    marked = stream.select("signal_id", "ts", "v").withWatermark("ts", late)
+    return marked.groupBy("signal_id").transformWithStateInPandas(
+        _Meter(*ms), outputStructType=f"signal_id string, {LOUDEST}", outputMode="Append", timeMode="EventTime"
+    )
