@@ -31,7 +31,7 @@ BRANCHES = 2
 DEPTH = 4
 #: Minwise tokens of a sketch, and the share of equal ones from which full sets are compared. A pair at a similarity of 0.75
 #: has less than 68 of 128 equal with a probability of 5 in a hundred million (exact binomial).
-SKETCH = 128
+SKETCH = 128  # at most 255, as counts are kept in bytes
 SKETCH_SHARE = 0.53
 #: Documents of a node that are compared exhaustively at once, and shingles that they have together: both bound a task.
 NODE = 2048
@@ -140,17 +140,25 @@ def _roots(n: int) -> tuple[list[int], "callable"]:
 
 
 def sketch_groups(pdf: pd.DataFrame, share: float = SKETCH_SHARE) -> list[np.ndarray]:
-    """Rows of a node that are connected through sketches with at least ``share`` of their tokens equal."""
+    """Rows of a node that are connected through sketches with at least ``share`` of their tokens equal.
+
+    The low half of each token is compared: pairs that are equal by chance in it are sorted out on the full sets. Tokens
+    of one hash function lie together, so counting runs along them.
+    """
     s = np.stack([np.frombuffer(x, np.uint32) for x in pdf["sketch"]])
     n, least = len(s), math.ceil(share * s.shape[1])
+    by_function = np.ascontiguousarray(s.astype(np.uint16).T)
     parent, find = _roots(n)
     for i in range(n - 1):
-        for j in np.flatnonzero((s[i + 1 :] == s[i]).sum(axis=1) >= least).tolist():
+        same = (by_function[:, i + 1 :] == by_function[:, i : i + 1]).view(np.uint8)
+        for j in np.flatnonzero(np.add.reduce(same, axis=0, dtype=np.uint8) >= least).tolist():
             a, b = find(i), find(i + 1 + j)
             if a != b:
                 parent[max(a, b)] = min(a, b)
     root = np.array([find(i) for i in range(n)])
-    return [g for g in (np.flatnonzero(root == r) for r in np.unique(root)) if len(g) > 1]
+    order = np.argsort(root, kind="stable")
+    groups = np.split(order, np.flatnonzero(np.diff(root[order])) + 1)
+    return [g for g in groups if len(g) > 1]
 
 
 def linked(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
