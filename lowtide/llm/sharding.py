@@ -52,7 +52,24 @@ def with_slots(df: DataFrame, order: Sequence[str]) -> DataFrame:
     return with_position(df, ["shard"], order, "slot")
 
 
-@query("op5_sharding")
+def _sql(shards: int = 24) -> str:
+    """The same draws; the checksum byte by byte, over a table that follows from its polynomial (a fixed value)."""
+    draw = f"(('0x' || substr(md5(coalesce(cast(doc_id AS VARCHAR), '') || ':' || s), 1, {HEX_DIGITS}))::BIGINT::DOUBLE + 1) / {float(16**HEX_DIGITS + 1)!r}"
+    first = lambda n: f"list_position(cost[1:{n}], list_min(cost[1:{n}])) - 1"
+    return f"""
+WITH RECURSIVE bit(i, k, v) AS (SELECT i, 0, i FROM range(256) AS x(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM bit WHERE k < 8),
+tab AS (SELECT list(v ORDER BY i) AS t FROM bit WHERE k = 8),
+d AS (SELECT doc_id, encode(coalesce(text, '')) AS bytes FROM documents),
+e AS (SELECT doc_id, octet_length(bytes) + 8 AS size, list_transform(regexp_extract_all(hex(bytes), '..'), lambda x: ('0x' || x)::BIGINT) AS b FROM d),
+f AS (SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8)), 4294967295) AS text_crc32 FROM e, tab),
+g AS (SELECT *, [-ln({draw}) FOR s IN range({shards + 1})] AS cost FROM f),
+h AS (SELECT doc_id, size, text_crc32, {first(shards)} AS shard, {first(shards + 1)} AS grown_shard FROM g)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard::INTEGER AS shard,
+  row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, grown_shard::INTEGER AS grown_shard FROM h"""
+
+
+@query("op5_sharding", _sql())
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents over shards 0 to 23 by ``doc_id``, and where they go with one shard more.
 
