@@ -18,15 +18,17 @@ ORDER = 3
 SAMPLE = 4000
 #: Bytes looked at together.
 BUFFER = 1 << 20
+#: Costs held together: bytes times languages.
+PLACES = 1 << 23
 UNKNOWN = "und"
 PAD = b"\n" * ORDER
 
 
-def segments(data: bytes) -> Iterator[bytes]:
+def segments(data: bytes, size: int | None = None) -> Iterator[bytes]:
     """A-Z lower-cased parts of a text, each after the ``ORDER`` bytes before it (line feeds before the first)."""
-    data = PAD + data.lower()
-    for lo in range(ORDER, len(data), BUFFER):
-        yield data[lo - ORDER : lo + BUFFER]
+    data, size = PAD + data.lower(), size or BUFFER
+    for lo in range(ORDER, len(data), size):
+        yield data[lo - ORDER : lo + size]
 
 
 def gram_counts(labelled: DataFrame) -> DataFrame:
@@ -56,60 +58,92 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
     return parts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+def _rows(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of a sorted array, and where the entries of each begin, with the end of all."""
+    keys, begin = np.unique(values, return_index=True)
+    return keys.astype(np.uint32), np.append(begin, len(values)).astype(np.uint32)
+
+
+def _entries(wanted: np.ndarray, keys: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in ``wanted``, entry) for all entries of the wanted values."""
+    if not len(keys):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    known = np.flatnonzero(keys[at] == wanted)
+    lo, hi = begin[at[known]].astype(np.int64), begin[at[known] + 1].astype(np.int64)
+    n = hi - lo
+    first = np.cumsum(n) - n
+    return np.repeat(known, n), np.arange(int(n.sum())) + np.repeat(lo - first, n)
+
+
 class ContextTrees:
-    """Frozen byte context trees of several languages, laid out as tables of exact code lengths.
+    """Frozen byte context trees of several languages, with exact code lengths.
 
     A byte is coded in the longest context that a language has seen, three bytes at most. A context met ``n`` times, with
     ``d`` different bytes, codes a byte met ``c`` times with probability (2c - 1) / 2n; any other byte pays for an escape,
     d / 2n, and is coded in the next shorter context, below the empty one as one of 256. A context that a language never
-    met costs no escape. ``node`` finds the longest context that any language has met; ``bits`` holds, for each context
-    and next byte, the code length in every language.
+    met costs no escape.
+
+    Only what a language has met is held: for each order, sorted strings of context and byte with the languages that
+    have them and their code lengths, and sorted contexts with the languages' escapes, 6 bytes an entry and 8 a string.
+    So the size follows the sum of the trees, of which the bounded sample of a language bounds each.
     """
 
     def __init__(self, langs: Sequence[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray):
         self.langs = list(langs)
-        known = np.unique(np.concatenate([(gram >> 8 * k) & 0xFF for k in range(ORDER + 1)] + [np.frombuffer(PAD, np.uint8)]))
-        self.symbol = np.full(256, len(known), np.int32)  # the last symbol stands for all bytes never met
-        self.symbol[known] = np.arange(len(known))
-        self.width = width = len(known) + 1
-        node = np.zeros((width,) * ORDER, np.int32)
-        bits, rows = [], 0
-        shorter, lower = None, None
+        many = max(1, len(self.langs))
+        self.orders = []
         for k in range(ORDER + 1):
-            cut = gram & ((1 << 8 * (k + 1)) - 1)
-            contexts = np.unique(cut >> 8)
-            p = np.full((len(contexts), width, len(langs)), 1 / 256)
-            if k:
-                p[:] = lower[np.searchsorted(shorter, contexts & ((1 << 8 * (k - 1)) - 1))]
-            for i in range(len(langs)):
-                grams, back = np.unique(cut[lang == i], return_inverse=True)
-                count = np.bincount(back, weights=n[lang == i], minlength=len(grams))
-                at, byte = np.searchsorted(contexts, grams >> 8), self.symbol[grams & 0xFF]
-                total = np.bincount(at, weights=count, minlength=len(contexts))
-                kinds = np.bincount(at, minlength=len(contexts))
-                met = total > 0
-                p[met, :, i] *= (kinds[met] / (2 * total[met]))[:, None]
-                p[at, byte, i] = (2 * count - 1) / (2 * total[at])
-            place = tuple(self.symbol[(contexts >> 8 * j) & 0xFF] for j in range(k))  # the nearest byte first
-            node[(...,) + place[::-1] if k else ...] = rows + np.arange(len(contexts)) if k else 0
-            bits.append((-np.log2(p)).astype(np.float32))
-            rows += len(contexts)
-            shorter, lower = contexts, p
-        self.node, self.bits = node.ravel(), np.concatenate(bits).reshape(rows * width, len(langs))
+            pairs, back = np.unique((gram & ((1 << 8 * (k + 1)) - 1)) * many + lang, return_inverse=True)
+            count = np.bincount(back, weights=n, minlength=len(pairs))
+            met, of = np.unique((pairs // many >> 8) * many + pairs % many, return_inverse=True)
+            total = np.bincount(of, weights=count, minlength=len(met))
+            kinds = np.bincount(of, minlength=len(met))
+            codes = -np.log2((2 * count - 1) / (2 * total[of]))
+            escapes = -np.log2(kinds / (2 * total))
+            self.orders.append([
+                (*_rows(keys // many), (keys % many).astype(np.uint16 if many <= 1 << 16 else np.int32), bits.astype(np.float32)) for keys, bits in ((pairs, codes), (met, escapes))
+            ])
+
+    @property
+    def nbytes(self) -> int:
+        return sum(a.nbytes for order in self.orders for table_ in order for a in table_)
+
+    def costs(self, grams: np.ndarray) -> np.ndarray:
+        """Bits of the last byte of each four-byte string after the three before it, in each language."""
+        out = np.zeros((len(grams), len(self.langs)), np.float32)
+        still = np.ones(out.shape, bool)
+        for k in range(ORDER, -1, -1):
+            (strings, at_string, coder, bits), (contexts, at_context, leaver, escapes) = self.orders[k]
+            here = grams & np.uint32((1 << 8 * (k + 1)) - 1)
+            row, entry = _entries(here, strings, at_string)
+            open_ = still[row, coder[entry]]
+            row, entry = row[open_], entry[open_]
+            out[row, coder[entry]] += bits[entry]
+            still[row, coder[entry]] = False
+            row, entry = _entries(here >> np.uint32(8), contexts, at_context)
+            open_ = still[row, leaver[entry]]
+            row, entry = row[open_], entry[open_]
+            out[row, leaver[entry]] += escapes[entry]
+        out[still] += 8
+        return out
 
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
-        """Bits of each text in each language."""
+        """Bits of each text in each language. Bytes are looked at together as far as their costs take PLACES numbers;
+        each string of four bytes among them is costed once."""
         out = np.zeros((len(texts), len(self.langs)))
+        most = max(1024, min(BUFFER, PLACES // max(1, len(self.langs))))
         owners: list[int] = []
         held: list[bytes] = []
         size = 0
 
         def add() -> None:
-            s = self.symbol[np.frombuffer(b"".join(held), np.uint8)]
-            context = np.zeros(len(s) - ORDER, np.int32)
-            for k in range(ORDER):
-                context = context * self.width + s[k : len(s) - ORDER + k]
-            cost = self.bits[self.node[context] * self.width + s[ORDER:]]
+            b = np.frombuffer(b"".join(held), np.uint8).astype(np.uint32)
+            gram = b[ORDER:].copy()
+            for k in range(1, ORDER + 1):
+                gram |= b[ORDER - k : -k] << np.uint32(8 * k)
+            each, back = np.unique(gram, return_inverse=True)
+            cost = self.costs(each)[back]
             ends = np.cumsum([len(h) for h in held]) - ORDER
             starts = ends - [len(h) - ORDER for h in held]
             # Sums alternate between a part and the ORDER bytes in front of the next.
@@ -117,11 +151,11 @@ class ContextTrees:
             np.add.at(out, owners, sums)
 
         for i, text in enumerate(texts):
-            for part in segments(text):
+            for part in segments(text, min(most, BUFFER)):
                 owners.append(i)
                 held.append(part)
                 size += len(part)
-                if size >= BUFFER:
+                if size >= most:
                     add()
                     owners, held, size = [], [], 0
         if held:
@@ -130,14 +164,22 @@ class ContextTrees:
 
 
 def learn(labelled: DataFrame, sample: int = SAMPLE, key: str = "doc_id") -> ContextTrees:
-    """Trees of every language in (key, lang, text), grown from about ``sample`` documents of each."""
-    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("_docs"))
-    draw = F.pmod(F.xxhash64(key), F.lit(1 << 30)) / float(1 << 30)
-    drawn = labelled.join(F.broadcast(counts) if counts.count() < 1000 else counts, "lang").where(draw < sample / F.col("_docs"))
-    grams = gram_counts(drawn).toPandas()
-    langs = sorted(grams["lang"].unique())
-    at = grams["lang"].map({v: i for i, v in enumerate(langs)}).to_numpy(np.int64)
-    return ContextTrees(langs, at, grams["gram"].to_numpy(np.int64), grams["n"].to_numpy(np.float64))
+    """Trees of every language in (key, lang, text), grown from about ``sample`` documents of each.
+
+    The draw hashes key and text, so rows without a key, or with one key, are drawn one by one. The driver gets one row per
+    language and the counts of the trees as three numbers a row.
+    """
+    counts = labelled.where("lang IS NOT NULL").groupBy("lang").agg(F.count(F.lit(1)).alias("_docs")).collect()
+    langs = sorted(r.lang for r in counts)
+    docs = {r.lang: r["_docs"] for r in counts}
+    spark = labelled.sparkSession
+    known = spark.createDataFrame([(v, i, docs[v]) for i, v in enumerate(langs)], "lang string, _lang int, _docs long")
+    draw = F.pmod(F.xxhash64(key, "text"), F.lit(1 << 30)) / float(1 << 30)
+    drawn = labelled.join(known, "lang").where(draw < sample / F.col("_docs"))
+    grams = gram_counts(drawn).join(known, "lang").select(F.col("_lang").alias("lang"), "gram", "n").toPandas()
+    held = sorted(grams["lang"].unique())
+    at = np.searchsorted(held, grams["lang"].to_numpy(np.int64))
+    return ContextTrees([langs[i] for i in held], at, grams["gram"].to_numpy(np.int64), grams["n"].to_numpy(np.float64))
 
 
 def identify(docs: DataFrame, trees: ContextTrees, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
@@ -146,7 +188,8 @@ def identify(docs: DataFrame, trees: ContextTrees, keep: Sequence[str] = ("doc_i
     The language of the shortest code wins, the first by name among equals; the score is its share when every bit of
     code length halves a language's weight. A text that is null or has no letter (Unicode category L) is ``und`` with
     score 0, as is every text where no language was learned. Whole texts are coded, very long ones part by part.
-    Repeated rows are answered alike; null ids stay null; an empty table gives no rows.
+    Repeated rows are answered alike; null ids stay null; an empty table gives no rows. Columns that are not kept, whatever
+    they are called, play no part.
     """
     shared = docs.sparkSession.sparkContext.broadcast(trees)
     n = len(keep)

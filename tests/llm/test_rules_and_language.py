@@ -285,3 +285,27 @@ def test_stages_with_odd_rows_and_other_columns(spark, make, odd_rows, prose):
     packed = last(spark, docs, SMALL).collect()
     assert len({r.doc_id for r in packed}) == len({r.doc_id for r in docs.select("doc_id").collect()})
     assert last(spark, docs.where("false"), SMALL).count() == 0
+
+
+def test_models_of_many_languages_stay_small(make, monkeypatch):
+    """Sixty made languages: what is held follows what each has met, not contexts times bytes times languages."""
+    r = np.random.default_rng(8)
+    n = 60
+    lang, gram, count = [], [], []
+    for i in range(n):  # about 200,000 strings of four bytes each, over letters of its own
+        letters = r.choice(np.arange(32, 256), 60, replace=False)
+        b = letters[r.integers(0, 60, (200_000, 4))].astype(np.int64)
+        u, c = np.unique(b[:, 0] << 24 | b[:, 1] << 16 | b[:, 2] << 8 | b[:, 3], return_counts=True)
+        lang.append(np.full(len(u), i)), gram.append(u), count.append(c.astype(float))
+    trees = language.ContextTrees([f"l{i:02}" for i in range(n)], np.concatenate(lang), np.concatenate(gram), np.concatenate(count))
+    assert trees.nbytes < 500e6
+    monkeypatch.setattr(language, "PLACES", 1 << 18)
+    texts = [bytes(((gram[i][:50, None] >> np.array([24, 16, 8, 0])) & 255).astype(np.uint8).ravel()) for i in (3, 31)]
+    got = trees.code_lengths([*texts, b""])
+    assert got.shape == (3, n) and got[:2].argmin(axis=1).tolist() == [3, 31] and not got[2].any()
+
+
+def test_rows_of_one_id_are_drawn_one_by_one(make, prose):
+    rows = [(None, prose(30, k), "aa") for k in range(200)] + [(5, prose(30, 1000 + k), "bb") for k in range(200)]
+    trees = language.learn(make(rows), sample=50)
+    assert trees.langs == ["aa", "bb"]
