@@ -213,12 +213,14 @@ def last_updated(entries: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return entries.groupBy(*by).agg(F.max("updated_at").alias("last_updated"))
 
 
-def publish_status(entries: DataFrame, slots: int) -> DataFrame:
-    """(idx, status): failed with an unknown filter, optimised if shelves must be
-    merged to fit the slots, else ok."""
+def publish_status(entries: DataFrame, slots: int, optimise: bool = True) -> DataFrame:
+    """(idx, status, excess): failed with an unknown filter; with more filters than slots, ``excess`` of them, optimised
+    if shelves may be merged to fit and failed if not; else ok."""
     n = F.size(F.filter("filters", lambda f: f["type"].isin(*KINDS)))
     bad = F.exists("filters", lambda f: ~F.coalesce(f["type"].isin(*KINDS), F.lit(False)))
-    return entries.select("idx", F.when(bad, "failed").when(n > slots, "optimised").otherwise("ok").alias("status"))
+    many = "optimised" if optimise else "failed"
+    status = F.when(bad, "failed").when(n > slots, many).otherwise("ok")
+    return entries.select("idx", status.alias("status"), F.when(~bad & (n > slots), n - slots).alias("excess"))
 
 
 def status_report(status: DataFrame) -> DataFrame:

@@ -61,10 +61,14 @@ def bass_manage(blocks: DataFrame, config: DataFrame, keys: Sequence[str] = ("ti
     ``config`` has (title, lpf_hz, lpf_position, headroom_type, clip_before,
     clip_after). Mains are cut by the headroom, LFE by 10 dB less; the low pass is
     designed at the signal's own rate and sits before the sum on all channels,
-    after it, or nowhere. An optional ``sos`` column is each channel's filter.
+    after it, or nowhere. A ``lpf_lfe`` column of false leaves the LFE out of the low pass before the sum; without it all
+    channels take part. An optional ``sos`` column is each channel's filter.
     """
     keys = list(keys)
-    counts = blocks.select(*keys, "channel").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("_channels"))
+    if "lpf_lfe" not in config.columns:
+        config = config.withColumn("lpf_lfe", F.lit(True))
+    # Every channel has one first block, so no other block is looked at.
+    counts = blocks.where("start_i = 0").groupBy(*keys).agg(F.count_distinct("channel").alias("_channels"))
     df = blocks.join(config, keys).join(counts, keys)
     room = headroom_db(F.col("headroom_type"), F.col("_channels"))
     gain = levels.gain_ratio(F.when(is_lfe(F.col("channel")), 10.0 - room).otherwise(-room))
@@ -74,6 +78,8 @@ def bass_manage(blocks: DataFrame, config: DataFrame, keys: Sequence[str] = ("ti
     def low_passed(rows: DataFrame, position: str, by: list[str]) -> DataFrame:
         """Only titles with the low pass here run it; the others go by."""
         here = F.coalesce(F.col("lpf_position") == position, F.lit(False))
+        if position == "Before":
+            here &= ~is_lfe(F.col("channel")) | F.coalesce(F.col("lpf_lfe"), F.lit(True))
         done = R.cascade(rows.where(here).withColumn("sos", lpf), by)
         return done.unionByName(rows.where(~here).withColumn("samples", F.col("samples").cast("array<double>")).select(*done.columns))
 
@@ -81,7 +87,7 @@ def bass_manage(blocks: DataFrame, config: DataFrame, keys: Sequence[str] = ("ti
         on = F.transform("samples", lambda v: levels.clip(v))
         return rows.withColumn("samples", F.when(F.col(flag), on).otherwise(F.col("samples")))
 
-    settings = ["lpf_hz", "lpf_position", "clip_before", "clip_after"]
+    settings = ["lpf_hz", "lpf_position", "lpf_lfe", "clip_before", "clip_after"]
     own = "sos" in blocks.columns
     if own:
         df = df.withColumnRenamed("sos", "_own")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import struct
 import uuid
 
@@ -9,8 +10,10 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lowtide.functions.levels import rounded
+from lowtide.operators import channels as M
 from lowtide.operators import samples as S
 from lowtide.plans.registry import query
+from lowtide.plans.spectral_queries import CONVERTED
 from lowtide.plans.tables import sample_blocks, sql_with
 from lowtide.session import shared_dir
 from lowtide.sources import wav as A
@@ -82,6 +85,37 @@ def load_channel(spark, sf):
     return _series(out).withColumn("v", rounded(F.col("v"), 9))
 
 
+LOADED = ", long as (select signal_id || '_' || block as signal_id, i, v*0.5::double as v from au where channel_no = 1)"
+
+
+# The kernel from 64 to 16 Hz and its sums, as the rate conversion states them.
+@query("load_channel_resampled", FILES + LOADED + CONVERTED)
+def load_channel_resampled(spark, sf):
+    """One channel of every file at a lower rate, then at half its level."""
+    out = A.load_channel(spark, f"{audio_folder(spark, sf)}/*.wav", channel=2, target_fs=16, offset_db=20 * math.log10(0.5))
+    rows = S.from_blocks(out, ["path"])
+    return rows.select(stem(F.col("path")).alias("signal_id"), "i", rounded(F.col("v"), 8).alias("v"))
+
+
+def _composite_config(files):
+    return files.select(
+        stem(F.col("path")).alias("title"), F.lit(20.0).alias("lpf_hz"), F.lit("Off").alias("lpf_position"), F.lit("WCS").alias("headroom_type"),
+        F.lit(False).alias("clip_before"), F.lit(True).alias("clip_after"),
+    )
+
+
+@query("load_composite", FILES + """select signal_id || '_' || block as title, 2 as channel_count, cast(i as bigint) as i,
+ round(greatest(least(sum(v*case channel_no when 0 then 6.0::double else 1.0 end)/(1 + sqrt(10.0::double)), 1), -1), 8) + 0.0 as v from au group by all""")
+def load_composite(spark, sf):
+    """The bass-managed composite of every multichannel file, its left channel louder."""
+    named, composite = A.load_signals(spark, f"{audio_folder(spark, sf)}/*.wav")
+    louder = F.when(F.col("channel_no") == 0, F.transform("samples", lambda v: v * 6.0)).otherwise(F.col("samples"))
+    blocks = named.select(stem(F.col("path")).alias("title"), F.col("name").alias("channel"), "block_no", "start_i", "fs", louder.alias("samples"))
+    files = composite.select(stem(F.col("path")).alias("title"), "channel_count")
+    out = S.from_blocks(M.bass_manage(blocks, _composite_config(composite)), ["title"]).join(files, "title")
+    return out.select("title", F.col("channel_count").cast("int").alias("channel_count"), "i", (rounded(F.col("v"), 8) + 0.0).alias("v"))
+
+
 @query("load_signals", FILES + "select signal_id || '_' || block || case channel_no when 0 then '_FL' else '_FR' end as name, count(*) as frames from au group by all")
 def load_signals(spark, sf):
     named, _ = A.load_signals(spark, f"{audio_folder(spark, sf)}/*.wav")

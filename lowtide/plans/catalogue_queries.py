@@ -153,10 +153,19 @@ def catalogue_last_updated(spark, sf):
 @query("publish_status", sql_with("filters") + """, s as (select filter_set_id, case when bool_or(kind = 'AllPass') then 'failed' when count(*) filter (kind <> 'AllPass') > 6 then 'optimised' else 'ok' end as status
  from filters group by 1) select status, count(*) as entries from s group by 1""")
 def publish_status(spark, sf):
-    rows = filters(spark, sf)
+    return G.status_report(G.publish_status(_filter_sets(spark, sf), 6))
+
+
+def _filter_sets(spark, sf):
     each = F.struct(F.col("kind").alias("type"), "freq", "gain", "q")
-    sets = rows.groupBy(F.col("filter_set_id").alias("idx")).agg(F.collect_list(each).alias("filters"))
-    return G.status_report(G.publish_status(sets, 6))
+    return filters(spark, sf).groupBy(F.col("filter_set_id").alias("idx")).agg(F.collect_list(each).alias("filters"))
+
+
+@query("publish_status_unmerged", sql_with("filters") + """, s as (select filter_set_id as idx, bool_or(kind = 'AllPass') as bad, count(*) filter (kind <> 'AllPass') as n from filters group by 1)
+select idx, case when bad or n > 6 then 'failed' else 'ok' end as status, cast(case when not bad and n > 6 then n - 6 end as integer) as excess from s""")
+def publish_status_unmerged(spark, sf):
+    """The same where shelves may not be merged: too many filters is a failure, with the number to remove."""
+    return G.publish_status(_filter_sets(spark, sf), 6, optimise=False)
 
 
 @query("publish_names", W + """select idx, replace(title || ' (' || year || ')' || case when season = '' then '' else ' (Season ' || season || ')' end

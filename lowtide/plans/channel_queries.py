@@ -59,6 +59,19 @@ def bass_managed_sum(spark, sf):
     return _out(S.from_blocks(out, ["title"]))
 
 
+@query("bass_managed_sum_dry_lfe", W + ", " + BASS_CONFIG + ", " + sql_design(LOW_4) + ", " + sql_recursion("scaled", "ss", key="id") + """,
+pre as (select s.title, s.channel, s.i, case when pos = 'Before' and s.channel <> 'LFE' then r.y else s.v end as x, clip_before from scaled s join rec r on r.id = s.id and r.i = s.i join hr using (title)),
+total as (select title as id, i, sum(case when clip_before then greatest(least(x, 1.0), -1.0) else x end) as v from pre group by all), """
+       + sql_recursion("total", "ss", key="id", name="rec2") + """,
+fin as (select t.id as title, t.i, case when pos = 'After' then r.y else t.v end as x, clip_after from total t join rec2 r on r.id = t.id and r.i = t.i join hr on hr.title = t.id)
+select title, i, round(case when clip_after then greatest(least(x, 1.0), -1.0) else x end, 8) + 0.0 as v from fin""")
+def bass_managed_sum_dry_lfe(spark, sf):
+    """The low pass before the sum on the mains alone."""
+    loud = S.map_blocks(channel_blocks(spark, sf), lambda v: v * 6.0)
+    out = M.bass_manage(loud, bass_config(spark, sf).withColumn("lpf_lfe", F.lit(False)))
+    return _out(S.from_blocks(out, ["title"]))
+
+
 @query("bass_headroom", W + ", " + BASS_CONFIG + " select title, round(h, 6) as headroom_db from hr")
 def bass_headroom(spark, sf):
     counts = channel_samples(spark, sf).select(*KEYS).distinct().groupBy("title").agg(F.count(F.lit(1)).alias("n"))

@@ -19,7 +19,7 @@ from lowtide.sources.files import find_files, open_range, reader
 
 RANGE_FRAMES = 1 << 18
 HEADER = "path string, fs int, channels int, bits int, is_float boolean, data_at long, n long, error string"
-BLOCKS = "path string, channel_no int, fs int, n long, block_no long, start_i long, samples array<double>"
+BLOCKS = "path string, channel_no int, channels int, fs int, n long, block_no long, start_i long, samples array<double>"
 
 
 def walk_header(read: Callable[[int, int], bytes], length: int) -> tuple[int, int, int, bool, int, int]:
@@ -112,9 +112,9 @@ def _ranges(block: int, channel: int | None):
                 for at in range(0, len(x), block):
                     start = int(r.first - r.origin) + at
                     for c in range(r.channels) if channel is None else [channel]:
-                        rows.append((r.path, c, r.fs, r.total, start // block, start, x[at:at + block, c]))
+                        rows.append((r.path, c, r.channels, r.fs, r.total, start // block, start, x[at:at + block, c]))
                 yield pd.DataFrame(
-                    rows, columns=["path", "channel_no", "fs", "n", "block_no", "start_i", "samples"]
+                    rows, columns=["path", "channel_no", "channels", "fs", "n", "block_no", "start_i", "samples"]
                 )
 
     return read
@@ -124,7 +124,8 @@ def read_wav(
     spark: SparkSession, search: str, start_ms: int | None = None, end_ms: int | None = None, block: int = 4096,
     channel: int | None = None,
 ) -> DataFrame:
-    """Blocks of every channel of every file, or of the one counted from 0; ``n`` is the length in frames. The time
+    """Blocks of every channel of every file, or of the one counted from 0; ``n`` is the length in frames and
+    ``channels`` the file's number of channels. The time
     range is half-open and is applied before any sample is read. Files that cannot be read, and those without the
     channel, are left out (see ``rejected_wav``)."""
     heads = headers(spark, search).where("error IS NULL")
@@ -160,15 +161,13 @@ def channel_name(spark: SparkSession, rows: DataFrame) -> DataFrame:
 
 def load_signals(spark: SparkSession, search: str, layout: str = "unknown", **how) -> tuple[DataFrame, DataFrame]:
     """All channels of all files as named blocks, and a bass-management row (path,
-    channel_count) for every file with more than one channel."""
+    channel_count) for every file with samples of more than one channel. Headers are read once: blocks carry the count."""
     from lowtide.sources.files import stem
 
-    blocks = read_wav(spark, search, **how)
-    heads = headers(spark, search).where("error IS NULL")
-    named = blocks.join(heads.select("path", F.col("channels").alias("channel_count")), "path")
-    named = channel_name(spark, named.withColumn("text", stem(F.col("path"))).withColumn("layout", F.lit(layout)))
-    composite = heads.where("channels > 1").select("path", F.col("channels").alias("channel_count"))
-    return named, composite
+    blocks = read_wav(spark, search, **how).withColumnRenamed("channels", "channel_count")
+    named = channel_name(spark, blocks.withColumn("text", stem(F.col("path"))).withColumn("layout", F.lit(layout)))
+    first = blocks.where("block_no = 0 AND channel_no = 0 AND channel_count > 1")
+    return named, first.select("path", "channel_count")
 
 
 def load_channel(

@@ -146,10 +146,11 @@ class WavReader(DataSourceReader):
                 numbers = np.array([r[1] for r in rows], np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([path] * count), pa.array([r[0] for r in rows], pa.int32()), pa.array([fs] * count, pa.int32()),
+                        pa.array([path] * count), pa.array([r[0] for r in rows], pa.int32()), pa.array([channels] * count, pa.int32()),
+                        pa.array([fs] * count, pa.int32()),
                         pa.array([n] * count, pa.int64()), pa.array(numbers), pa.array(numbers * self.block), samples,
                     ],
-                    ["path", "channel_no", "fs", "n", "block_no", "start_i", "samples"],
+                    ["path", "channel_no", "channels", "fs", "n", "block_no", "start_i", "samples"],
                 )
 
 
