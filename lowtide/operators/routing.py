@@ -5,7 +5,7 @@ Routes are distinct, so one matrix has at most inputs x ways x outputs rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ID = "matrix_id"
@@ -58,13 +58,16 @@ def outputs_by_way(routes: DataFrame) -> DataFrame:
 def violations(routes: DataFrame) -> DataFrame:
     """(matrix, o, problem): a direct route onto another input, and a summed output
     that another summed group reads. Groups are outputs with the same inputs."""
-    matrix = Window.partitionBy(ID)  # one small object; the routes already lie together by it
+    fed = fed_by(routes)
     several, only = F.size("fed") > 1, F.col("fed")[0]["i"]
-    rows = fed_by(routes).withColumns({
-        "_inputs": F.array_distinct(F.flatten(F.collect_list("fed.i").over(matrix))),
-        "_sums": F.collect_set(F.when(several, F.col("fed"))).over(matrix),
-    })
-    onto_input = ~several & (only != F.col("o")) & F.array_contains("_inputs", F.col("o"))
-    read = several & F.exists("_sums", lambda g: (g != F.col("fed")) & F.array_contains(g["i"], F.col("o")))
+    # Whether an output is an input as well, and which summed groups read it: one row per matrix and input.
+    by_input = fed.select(ID, "fed", F.explode(F.array_distinct(F.col("fed.i"))).alias("_i"))
+    readers = by_input.groupBy(ID, F.col("_i").alias("o")).agg(
+        F.min(F.when(several, F.col("fed"))).alias("_first"), F.max(F.when(several, F.col("fed"))).alias("_last"), F.lit(True).alias("_input")
+    )
+    rows = fed.join(readers, [ID, "o"], "left")
+    onto_input = ~several & (only != F.col("o")) & F.coalesce("_input", F.lit(False))
+    # Another group reads it if the least or the greatest of its readers is not its own.
+    read = several & ((F.col("_first") != F.col("fed")) | (F.col("_last") != F.col("fed")))
     problem = F.when(onto_input, "overwrites input").when(read, "feeds another sum")
     return rows.select(ID, "o", problem.alias("problem")).where("problem IS NOT NULL")

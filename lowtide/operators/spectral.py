@@ -7,11 +7,12 @@ larger than one frame and a long track spreads over the cluster by frame.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +25,7 @@ SEGMENT_LIMIT = 10 * 60 * 48000  # samples analysed as one segment
 RESPONSE_POINTS = 32769
 TUKEY_TAPER = 0.25
 RESOLUTIONS = (0.25, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0, 32.0)
+FRAMES_AT_ONCE = 1 << 22  # samples of the frames that are transformed together
 SPECTRUM_REF = levels.REFERENCE_LEVEL * levels.REFERENCE_LEVEL
 
 
@@ -46,16 +48,21 @@ def window_shape(name: str, n: int) -> np.ndarray:
     raise ValueError(f"unknown window {name}")
 
 
+def frame_power(x: np.ndarray, name: str) -> np.ndarray:
+    """One-sided power of frames (rows), scaled so a sine shows its mean square."""
+    n = x.shape[1]
+    w = window_shape(name, n)
+    p = np.abs(np.fft.rfft(x * w, axis=1)) ** 2 / w.sum() ** 2
+    p[:, 1:(-1 if n % 2 == 0 else None)] *= 2.0
+    return p
+
+
 def _power(name: str):
     def spectrum(frames: pd.Series) -> pd.Series:
-        """One-sided power of each frame, scaled so a sine shows its mean square."""
         out: list = [None] * len(frames)
         sizes = frames.map(len)
         for n, rows in sizes.groupby(sizes).groups.items():
-            w = window_shape(name, int(n))
-            x = np.stack([np.asarray(frames[r], dtype=float) for r in rows]) * w
-            p = np.abs(np.fft.rfft(x, axis=1)) ** 2 / w.sum() ** 2
-            p[:, 1:(-1 if n % 2 == 0 else None)] *= 2.0
+            p = frame_power(np.stack([np.asarray(frames[r], dtype=float) for r in rows]), name)
             for r, row in zip(rows, p):
                 out[r] = row
         return pd.Series(out)
@@ -120,6 +127,46 @@ def framed_power(blocks: DataFrame, keys: Sequence[str], window: str, **how) ->
     return rows.withColumn("f", F.col("bin") * F.col("fs") / F.col("nperseg"))
 
 
+def combined_power(blocks: DataFrame, keys: Sequence[str], window: str, largest: bool = False, **how) -> DataFrame:
+    """(keys..., seg, bin, f, p, frames): the powers of each segment's frames added up, or the largest of each bin.
+
+    Frames of one segment that meet in an Arrow batch are combined there, so a bin of a segment is a row per batch and
+    not per frame. A batch of frames is taken in parts of at most FRAMES_AT_ONCE samples.
+    """
+    keys = list(keys)
+    cut = frames(blocks, keys, **how).select(*keys, "fs", "seg", "nperseg", "x")
+    head = [*keys, "fs", "seg", "nperseg"]
+    schema = T.StructType([*[cut.schema[c] for c in head], T.StructField("_n", T.LongType()), T.StructField("_p", T.ArrayType(T.DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            members: dict[tuple, list[int]] = {}
+            for k, key in enumerate(zip(*[batch.column(c).to_pylist() for c in range(len(head))])):
+                members.setdefault(key, []).append(k)
+            lists = batch.column(len(head))
+            values, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+            firsts, counts, powers = [], [], []
+            for rows in members.values():
+                each = max(1, FRAMES_AT_ONCE // max(1, int(ends[rows[0] + 1] - ends[rows[0]])))
+                whole = None
+                for at in range(0, len(rows), each):
+                    p = frame_power(np.stack([values[ends[r] : ends[r + 1]] for r in rows[at : at + each]]), window)
+                    part = p.max(axis=0) if largest else p.sum(axis=0)
+                    whole = part if whole is None else (np.maximum(whole, part) if largest else whole + part)
+                firsts.append(rows[0])
+                counts.append(len(rows))
+                powers.append(whole)
+            flat = np.concatenate(powers) if powers else np.zeros(0)
+            told = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, powers)]), pa.int32()), pa.array(flat, pa.float64()))
+            kept = [batch.column(c).take(pa.array(firsts, pa.int64())) for c in range(len(head))]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(counts, pa.int64()), told], schema.names)
+
+    rows = cut.mapInArrow(run, schema).select(*head, "_n", F.posexplode("_p").alias("bin", "p"))
+    rows = rows.withColumn("f", F.col("bin") * F.col("fs") / F.col("nperseg"))
+    whole = F.max("p") if largest else F.sum("p")
+    return rows.groupBy(*keys, "seg", "bin", "f").agg(whole.alias("p"), F.sum("_n").alias("frames"))
+
+
 def with_floor(curve: DataFrame, keys: Sequence[str], power: Column, ref: float = SPECTRUM_REF) -> DataFrame:
     """dB, limited to 80 dB under the curve's own peak. A curve is one bounded grid."""
     raw = curve.withColumn("_db", levels.db_from_power(power, ref))
@@ -129,8 +176,7 @@ def with_floor(curve: DataFrame, keys: Sequence[str], power: Column, ref: float
 
 def avg_spectrum(blocks: DataFrame, keys: Sequence[str], window: str = "hann", **how) -> DataFrame:
     """Welch mean: over frames, then over segments."""
-    p = framed_power(blocks, keys, window, **how)
-    seg = p.groupBy(*keys, "seg", "bin", "f").agg(F.avg("p").alias("p"))
+    seg = combined_power(blocks, keys, window, **how).withColumn("p", F.col("p") / F.col("frames"))
     mean = seg.groupBy(*keys, "bin", "f").agg(F.avg("p").alias("p"))
     return with_floor(mean, keys, F.col("p")).select(*keys, "bin", "f", "db")
 
@@ -152,7 +198,7 @@ def median_spectrum(blocks: DataFrame, keys: Sequence[str], window: str = "hann"
 
 
 def peak_spectrum(blocks: DataFrame, keys: Sequence[str], window: str = "tukey", **how) -> DataFrame:
-    p = framed_power(blocks, keys, window, **how)
+    p = combined_power(blocks, keys, window, largest=True, **how)
     top = p.groupBy(*keys, "bin", "f").agg(F.max("p").alias("p"))
     return with_floor(top, keys, F.col("p")).select(*keys, "bin", "f", "db")
 
