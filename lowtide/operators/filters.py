@@ -253,7 +253,8 @@ def upsert(filters: DataFrame, changes: DataFrame, deletes: DataFrame | None = N
 
 
 def _share_out(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Walk sets in order of weight, giving each shelf its share of what is left.
+    """Walk sets in order of weight, giving each shelf its share of what is left, a half
+    to the even number; where no weight is left (shelves without gain), each takes what it can.
     Rows arrive sorted, so a set of any size needs two numbers of state."""
     current, left, weight = None, 0, 0.0
     for frame in frames:
@@ -261,7 +262,8 @@ def _share_out(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for row in frame.itertuples(index=False):
             if row.filter_set_id != current:
                 current, left, weight = row.filter_set_id, row.to_save, row.total_weight
-            take = min(round(row.weight / weight * left), row.n - 1) if weight > 0 else 0
+            share = round(round(row.weight / weight * left, 9)) if weight > 1e-9 else left
+            take = min(share, row.n - 1)
             left, weight = left - take, weight - row.weight
             given.append(take)
         yield frame.assign(take=given)

@@ -229,10 +229,10 @@ r as (select *, row_number() over (partition by filter_set_id order by -gain*n,
   sum(weight) over (partition by filter_set_id) as total from s),
 walk as (
  select filter_set_id, seq, rk, n, weight, total - weight as w_left, cast(used - 6 as bigint) as before,
-  cast(least(round_even(weight/total*(used - 6), 0), n - 1) as bigint) as take from r where rk = 1
+  cast(least(case when total > 1e-9 then round_even(round(weight/total*(used - 6), 9), 0) else used - 6 end, n - 1) as bigint) as take from r where rk = 1
  union all
  select r.filter_set_id, r.seq, r.rk, r.n, r.weight, w.w_left - r.weight, w.before - w.take,
-  cast(least(round_even(r.weight/w.w_left*(w.before - w.take), 0), r.n - 1) as bigint)
+  cast(least(case when w.w_left > 1e-9 then round_even(round(r.weight/w.w_left*(w.before - w.take), 9), 0) else w.before - w.take end, r.n - 1) as bigint)
  from walk w join r on r.filter_set_id = w.filter_set_id and r.rk = w.rk + 1),
 m as (select c.*, coalesce(take, 0) as take from coef c left join walk using (filter_set_id, seq)),
 g as (select *, gain*n/(n - take) as ng from m),
@@ -299,7 +299,7 @@ def device_unsupported(spark, sf):
 
 @query("device_slots", W + """, o as (select *, coalesce(sum(copies) over (partition by filter_set_id order by seq rows between unbounded preceding and 1 preceding)  , 0) as done,
  sum(copies) over (partition by filter_set_id) as total from coef where kind <> 'AllPass')
-select filter_set_id, cast(16 - total + done + copy - 1 as bigint) as slot, freq, q, round(gain, 3) as gain,
+select filter_set_id, case when total <= 16 then cast(16 - total + done + copy - 1 as bigint) end as slot, freq, q, round(gain, 3) as gain,
  cast(case kind when 'PeakingEQ' then 0 when 'LowShelf' then 1 else 2 end as integer) as filter_type
  from o, lateral (select unnest(range(1, copies + 1)) as copy)""")
 def device_slots(spark, sf):
