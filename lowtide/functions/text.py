@@ -23,6 +23,20 @@ def general(v: Column, digits: int = 6) -> Column:
     )
 
 
+def to_places(v: Column, places: int = 3) -> Column:
+    """The double nearest to ``v`` with so many decimals, judged by its exact binary value and a half to the even digit,
+    as C prints it (a Java format judges the shortest decimal text and rounds its half up). For 3 places or fewer."""
+    scale, cut = float(10 ** places), float(1 << 26)
+    size = F.abs(v)
+    part = size - F.floor(size)  # this and the halves below are exact
+    high = F.floor(part * cut) / cut
+    unit = F.floor(high * scale)
+    over = (high * scale - unit - 0.5) + (part - high) * scale
+    up = (over > 0) | ((over == 0) & (unit % 2 == 1))
+    out = (F.floor(size) * 10 ** places + unit + up.cast("long")) / scale
+    return F.when((size > 0) & (size < float(1 << 40)), F.when(v < 0, -out).otherwise(out)).otherwise(v)
+
+
 def signed(v: Column, text: Column) -> Column:
     return F.when(v >= 0, F.concat(F.lit("+"), text)).otherwise(text)
 

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lowtide.functions.text import general
+from lowtide.functions.text import general, to_places
 from lowtide.sinks.grouped import write_files
 from lowtide.sources.documents import KIND_OF
 
@@ -22,7 +22,7 @@ def response_lines(curves: DataFrame, signals: DataFrame) -> DataFrame:
     w = Window.partitionBy("signal_id", "kind").orderBy("f")  # one bounded grid
     body = curves.select(
         "signal_id", "kind", (F.row_number().over(w) + 2).cast("long").alias("line_no"),
-        F.format_string("%8.3f %8.3f", F.col("f"), F.col("db")).alias("value"),
+        F.format_string("%8.3f %8.3f", to_places(F.col("f")), to_places(F.col("db"))).alias("value"),
     )
     kinds = curves.select("signal_id", "kind").distinct().join(signals, "signal_id")
     head = F.array(
