@@ -309,7 +309,7 @@ def window_levels(spark, sf):
 def live_levels(spark, sf):
     base = f"{shared_dir(spark)}/meter-{uuid.uuid4().hex}"
     schema = table(spark, sf, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    stream = spark.readStream.schema(schema).parquet(f"{sf}/events.parque[t]")  # a pattern fits one file as well as a folder
     stream = _meter_events(stream.withColumn("ts", F.col("ts").cast("timestamp")))
     V.run_to_table(V.live_levels(stream, "1 hour", "2 hours"), f"{base}/out", f"{base}/checkpoint")
     return _meter_out(spark.read.schema("signal_id string, start timestamp, end timestamp, n bigint, peak_db double, rms_db double").parquet(f"{base}/out"))
