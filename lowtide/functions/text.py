@@ -12,15 +12,18 @@ def _strip(s: Column) -> Column:
 
 def general(v: Column, digits: int = 6) -> Column:
     """Shortest of fixed and exponent form with ``digits`` significant digits (%g)."""
-    v = v.cast("double") + F.lit(0.0)
-    parts = F.split(F.format_string(f"%.{digits - 1}e", v), "e")
-    power = F.get(parts, F.lit(1)).cast("int")
-    fixed = F.call_function(
-        "format_string", F.concat(F.lit("%."), F.greatest(F.lit(digits - 1) - power, F.lit(0)).cast("string"), F.lit("f")), v
-    )
-    return F.when(v.isNull(), None).when((power >= -4) & (power < digits), _strip(fixed)).otherwise(
-        F.concat(_strip(parts[0]), F.lit("e"), F.get(parts, F.lit(1)))
-    )
+    parts = lambda x: F.split(F.format_string(f"%.{digits - 1}e", x), "e")
+    return _bound(v.cast("double") + F.lit(0.0), lambda x: F.when(x.isNotNull(), _bound(parts(x), lambda p: _general(p, digits))))
+
+
+def _general(parts: Column, digits: int) -> Column:
+    mantissa, power = parts[0], F.get(parts, F.lit(1)).cast("int")
+    minus, figures = F.when(F.startswith(mantissa, F.lit("-")), "-").otherwise(""), F.translate(mantissa, "-.", "")
+    whole = F.when(power < 0, "0").otherwise(F.substring(figures, F.lit(1), power + 1))
+    rest = F.when(power < 0, F.concat(F.repeat(F.lit("0"), -power - 1), figures)).otherwise(F.substring(figures, power + 2, F.lit(digits)))
+    short = lambda s: F.rtrim(F.rtrim(s, F.lit("0")), F.lit("."))  # of texts with a point
+    fixed = short(F.concat(minus, whole, F.lit("."), rest))
+    return F.when((power >= -4) & (power < digits), fixed).otherwise(F.concat(short(mantissa), F.lit("e"), F.get(parts, F.lit(1))))
 
 
 def to_places(v: Column, places: int = 3) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lowtide.sources.files import read_documents, stem
@@ -41,15 +41,21 @@ def parse_equaliser(lines: DataFrame, fs: int = 48000) -> DataFrame:
     # Names of the text format.
     kinds = {"PK": "PeakingEQ", "LSC": "LowShelf", "HSC": "HighShelf", "AP": "AllPass"}
     part = F.split(F.trim(F.regexp_replace("line", r"^\s*Filter\s+\d+:\s*", "")), r"\s+")
-    at = lambda k: F.get(part, F.lit(k))
-    name = F.lit(None).cast("string")
-    for short, kind in kinds.items():
-        name = F.when((at(0) == "ON") & (at(1) == short), kind).otherwise(name)
-    name = F.when(at(0).rlike("^Preamp:?$"), "Gain").otherwise(name)
+
+    def parsed(part: Column) -> Column:
+        at = lambda k: F.get(part, F.lit(k))
+        name = F.lit(None).cast("string")
+        for short, kind in kinds.items():
+            name = F.when((at(0) == "ON") & (at(1) == short), kind).otherwise(name)
+        name = F.when(at(0).rlike("^Preamp:?$"), "Gain").otherwise(name)
+        return F.struct(
+            name.alias("kind"), F.lit(fs).alias("fs"),
+            F.when(at(0) == "ON", at(3).try_cast("double")).alias("freq"),
+            F.when(at(1) == "AP", at(6).try_cast("double")).when(at(0) == "ON", at(9).try_cast("double")).alias("q"),
+            F.when(at(0).rlike("^Preamp:?$"), at(1).try_cast("double")).when((at(0) == "ON") & (at(1) != "AP"), at(6).try_cast("double")).alias("gain"),
+        )
+
     kept = [c for c in lines.columns if c != "line"]
-    return lines.select(
-        *kept, name.alias("kind"), F.lit(fs).alias("fs"),
-        F.when(at(0) == "ON", at(3).try_cast("double")).alias("freq"),
-        F.when(at(1) == "AP", at(6).try_cast("double")).when(at(0) == "ON", at(9).try_cast("double")).alias("q"),
-        F.when(name == "Gain", at(1).try_cast("double")).when((at(0) == "ON") & (at(1) != "AP"), at(6).try_cast("double")).alias("gain"),
-    ).where(F.col("kind").isNotNull())
+    # A generator: each line is made, split and parsed once, whatever is selected or filtered later.
+    known = F.filter(F.transform(F.array(part), parsed), lambda r: r["kind"].isNotNull())
+    return lines.select(*kept, F.inline(known))
