@@ -167,16 +167,8 @@ def _carry(pieces: DataFrame, keys: list[str], first: DataFrame | None, fanout:
     return folded.select(*keys, F.explode(zipped).alias("_z")).select(*keys, "_z.at", "_z.start")
 
 
-def cascade(
-    blocks: DataFrame, keys: Sequence[str], fanout: int = FANOUT, tiers: int = 2, initial: str | None = None
-) -> DataFrame:
-    """Run each row's cascade ``sos`` (flat, five doubles per section) causally over
-    its series. ``blocks`` has (keys..., block_no, samples, sos, ...) and the cascade
-    is one per key. The state before the first block is silence, or the array column
-    named by ``initial``. Add a tier for every factor ``fanout`` in series length.
-    """
-    keys = list(keys)
-    passed = [c for c in blocks.columns if c not in (*keys, "block_no", "sos", "samples", initial)]
+def _block_starts(blocks: DataFrame, keys: list[str], fanout: int, tiers: int, initial: str | None) -> DataFrame:
+    """(keys..., at, start): the state before every block."""
     ids = [blocks.schema[k] for k in keys]
     slim = blocks.select(*keys, F.col("block_no").cast("long").alias("at"), "sos", F.col("samples").cast(_STATE).alias("samples"))
     shape = T.StructType([
@@ -186,10 +178,27 @@ def cascade(
     first = None
     if initial is not None:
         first = blocks.where(F.col("block_no") == 0).select(*keys, F.col(initial).alias("start"))
-    starts = _carry(slim.mapInPandas(_end_states, shape), keys, first, fanout, tiers)
+    return _carry(slim.mapInPandas(_end_states, shape), keys, first, fanout, tiers)
+
 
+def cascade(
+    blocks: DataFrame, keys: Sequence[str], fanout: int = FANOUT, tiers: int = 2, initial: str | None = None
+) -> DataFrame:
+    """Run each row's cascade ``sos`` (flat, five doubles per section) causally over
+    its series. ``blocks`` has (keys..., block_no, samples, sos, ...) and the cascade
+    is one per key. The state before the first block is silence, or the array column
+    named by ``initial``. Add a tier for every factor ``fanout`` in series length; with no tier, every series is one block
+    and nothing is carried.
+    """
+    keys = list(keys)
+    passed = [c for c in blocks.columns if c not in (*keys, "block_no", "sos", "samples", initial)]
     full = blocks.withColumn("samples", F.col("samples").cast(_STATE))
-    full = full.join(starts.select(*keys, F.col("at").alias("block_no"), F.col("start").alias("state")), [*keys, "block_no"])
+    if tiers:
+        starts = _block_starts(blocks, keys, fanout, tiers, initial)
+        full = full.join(starts.select(*keys, F.col("at").alias("block_no"), F.col("start").alias("state")), [*keys, "block_no"])
+    else:
+        silence = F.array_repeat(F.lit(0.0), (F.size("sos") / 5 * 2).cast("int"))
+        full = full.withColumn("state", silence if initial is None else F.col(initial))
     fields = [*keys, "block_no", *passed, "samples"]
     out_schema = T.StructType([full.schema[name] for name in fields])
     return full.select(*fields, "sos", "state").mapInPandas(_filter_from, out_schema)
