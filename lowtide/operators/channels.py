@@ -202,7 +202,11 @@ def route(samples: DataFrame, routes: DataFrame, on: Sequence[str] = ("title",))
     """Apply a routing table (title, i, w, o) to samples (title, ch, i, v): each output is the
     sum of the inputs routed to it, once per input whatever the number of ways."""
     pairs = routes.select(*on, F.col("i").alias("ch"), "o").distinct()
-    return samples.join(pairs, [*on, "ch"]).groupBy(*on, "o", "i").agg(F.sum("v").alias("v"))
+    # Dealt by sample before they are summed: groups are a few rows each, so sums begun in the tasks of the join would hold
+    # nearly all of their rows.
+    tasks = 4 * int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = samples.join(pairs, [*on, "ch"]).repartition(tasks, *on, "i")
+    return dealt.groupBy(*on, "o", "i").agg(F.sum("v").alias("v"))
 
 
 def sum_ways(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
