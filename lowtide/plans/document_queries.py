@@ -294,15 +294,21 @@ def _meter_events(df):
     return df.select(F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("signal_id"), "ts", ((F.col("value") - 50.5) / 500.0).alias("v"))
 
 
-def _meter_out(df):
-    return df.select("signal_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n",
-                     rounded(F.col("peak_db")).alias("peak_db"), rounded(F.col("rms_db")).alias("rms_db"))
+def _meter_out(df, *more):
+    return df.select("signal_id", "start", "end", "n", *[rounded(F.col(c)).alias(c) for c in ("peak_db", "rms_db", *more)])
+
+
+def _live(stream):
+    """The events of a stream, at instants, and what takes the levels' times back to the type of the events' times."""
+    if stream.schema["ts"].dataType.typeName() == "timestamp":
+        return _meter_events(stream), lambda df: df
+    back = lambda df: df.withColumns({c: V.clock(F.col(c)) for c in ("start", "end")})
+    return _meter_events(stream.withColumn("ts", V.instant(F.col("ts")))), back
 
 
 @query("window_levels", METER)
 def window_levels(spark, sf):
-    events = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return _meter_out(V.window_levels(_meter_events(events), "1 hour"))
+    return _meter_out(V.window_levels(_meter_events(table(spark, sf, "events")), "1 hour"))
 
 
 @query("live_levels", "select * from (" + METER + """) where "end" <= (select max(ts) - interval '2 hours' from events)""")
@@ -310,9 +316,9 @@ def live_levels(spark, sf):
     base = f"{shared_dir(spark)}/meter-{uuid.uuid4().hex}"
     schema = table(spark, sf, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf}/events.parque[t]")  # a pattern fits one file as well as a folder
-    stream = _meter_events(stream.withColumn("ts", F.col("ts").cast("timestamp")))
+    stream, back = _live(stream)
     V.run_to_table(V.live_levels(stream, "1 hour", "2 hours"), f"{base}/out", f"{base}/checkpoint")
-    return _meter_out(spark.read.schema("signal_id string, start timestamp, end timestamp, n bigint, peak_db double, rms_db double").parquet(f"{base}/out"))
+    return _meter_out(back(spark.read.schema("signal_id string, start timestamp, end timestamp, n bigint, peak_db double, rms_db double").parquet(f"{base}/out")))
 
 
 @query("live_loudest", "select *, max(rms_db) over (partition by signal_id order by start) as loudest_db from (select * from (" + METER + """) where "end" <= (select max(ts) - interval '2 hours' from events))""")
@@ -326,8 +332,7 @@ def live_loudest(spark, sf):
     try:
         for now in (F.col("ts") < F.lit(middle), F.col("ts") >= F.lit(middle)):
             events.where(now).write.mode("append").parquet(f"{base}/in")
-            stream = spark.readStream.schema(events.schema).parquet(f"{base}/in")
-            stream = _meter_events(stream.withColumn("ts", F.col("ts").cast("timestamp")))
+            stream, back = _live(spark.readStream.schema(events.schema).parquet(f"{base}/in"))
             V.run_to_table(V.loudest_windows(stream, "1 hour", "2 hours", "400 days"), f"{base}/out", f"{base}/checkpoint")
     finally:
         if kept is None:
@@ -335,7 +340,7 @@ def live_loudest(spark, sf):
         else:
             spark.conf.set(V.STATE_STORE[0], kept)
     out = spark.read.schema(f"signal_id string, {V.LOUDEST}").parquet(f"{base}/out")
-    return _meter_out(out).join(out.select("signal_id", F.col("start").cast("timestamp_ntz").alias("start"), rounded(F.col("loudest_db")).alias("loudest_db")), ["signal_id", "start"])
+    return _meter_out(back(out), "loudest_db")
 
 
 ENTRY = "digest string, title string, updated_at bigint"
